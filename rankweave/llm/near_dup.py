@@ -7,14 +7,15 @@ random value of that round; from round `bins` on, round `bins + j` throws all el
 2 * bins rounds always fill every bin. Rounds stop as soon as all bins are filled. Bands of the
 sketch name buckets; candidate pairs are confirmed on the full sets; links make components.
 
-No bucket is expanded into all its pairs. Each bucket first compares its members with one leader
-only. Where a bucket then still holds several components, small buckets compare the members of
-different components, and members of larger ones go through an exact prefix join on their rarest
-shingles. Every pair that shares a bucket is thus either confirmed, refuted or already connected.
+No bucket is expanded into all its pairs. Each bucket first compares its members with a few leaders
+only. Where a bucket then still holds several components, larger ones try further leaders; what stays
+apart is compared across components in small buckets, and goes through an exact prefix join on the
+rarest shingles in larger ones. Every pair that shares a bucket is thus confirmed, refuted or already
+connected.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing. Texts with
-fewer words than a shingle count as one shingle. Rows that repeat (the same doc_id twice) each come
-back, in the same class. An empty table gives an empty result. Other columns are not read, so names
+fewer words than a shingle count as one shingle. Rows that repeat (the same doc_id twice) are one
+document and each come back, in the same class. An empty table gives an empty result. Other columns are not read, so names
 can't clash.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.shared import ASCII_LOWER, cut, materialised, mix64, shingle_hashes, word_hashes
@@ -32,6 +33,10 @@ from rankweave.llm.shared import ASCII_LOWER, cut, materialised, mix64, shingle_
 BINS = 160
 BAND_ROWS = 5
 SMALL_BUCKET = 32
+PARITY_WORDS = 16
+BROADCAST_IDS = 1 << 18
+FIRST_LEADERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+LATER_LEADERS = tuple(int(x) for x in np.random.default_rng(11).integers(1, 2**62, 8))
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, 4 * 4096, dtype=np.uint64)
 
 
@@ -60,50 +65,47 @@ def fast_similarity_sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     return mix64(sketch)
 
 
-def _set_rows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, low, high = [], [], []
-            for text in batch.column(1):
-                items = shingle_set(text.as_py(), width)
-                n.append(len(items))
-                low.append(int(np.bitwise_xor.reduce(mix64(items)).view(np.int64)) if len(items) else 0)
-                high.append(int(np.add.reduce(items).view(np.int64)) if len(items) else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
-                names=["doc_id", "n_shingles", "d1", "d2"],
-            )
+def _sketch_rows(width: int, bins: int, band_rows: int):
+    """Size, digest, one-bit coordinates and band keys of each text's set."""
 
-    return run
-
-
-def _band_rows(width: int, bins: int, band_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, sizes, low, high = [], [], [], []
+            rows: list[tuple[int, int, int, int, int]] = []
+            bands = []
             for text in batch.column(1):
                 items = shingle_set(text.as_py(), width)
+                if not len(items):
+                    rows.append((0, 0, 0, 0, 0))
+                    bands.append(np.empty(0, np.int64))
+                    continue
                 sketch = fast_similarity_sketch(items, bins)
                 grid = sketch.reshape(-1, band_rows)
                 key = np.arange(len(grid), dtype=np.uint64)
                 for column in grid.T:
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + column)
-                bands.append(key.view(np.int64))
-                sizes.append(len(items))
                 bits = np.packbits((sketch[:128] & np.uint64(1)).astype(np.uint8)).view(np.int64)
-                low.append(int(bits[0]))
-                high.append(int(bits[1]))
-            each = len(bands[0]) if bands else 0
+                digest = (np.bitwise_xor.reduce(mix64(items)), np.add.reduce(items))
+                rows.append((len(items), *(int(x.view(np.int64)) for x in digest), int(bits[0]), int(bits[1])))
+                bands.append(key.view(np.int64))
+            offsets = np.zeros(len(bands) + 1, dtype=np.int32)
+            np.cumsum([len(x) for x in bands], out=offsets[1:])
             flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64), pa.int64())
-            offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * each)
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                names=["id", "n", "s1", "s2", "bands"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                names=["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "bands"],
             )
 
     return run
 
 
+def _parity(items: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS * 64 bits, each the parity of how many items fall on it: two sets differ in at
+    least as many items as these bits differ."""
+    odd = np.bincount((items.view(np.uint64) >> np.uint64(11)) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +113,9 @@ def _full_sets(width: int):
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in sets], out=offsets[1:])
             flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "items"])
+            bits = pa.array(np.concatenate([_parity(x) for x in sets]) if sets else np.empty(0, np.int64), pa.int64())
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=["id", "items", "parity"])
 
     return run
 
@@ -132,21 +136,53 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def _confirmed(pairs: DataFrame, info: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among distinct candidate pairs. Sizes and 128 one-bit coordinates first rule out
-    pairs that can't reach the bound (at the bound 88 agreeing bits lie 8 deviations below the mean);
-    the full sets decide about all others."""
-    left = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    right = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (
-        128 - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) >= 88
+def _pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents. Up to BROADCAST_IDS ids (a few MB) go to all tasks; more are joined
+    by a shuffle."""
+    ids = materialised(ids.select(F.col("id").alias("doc_id")).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _likely(percent: int) -> Column:
+    """Over columns na, nb, a1, a2, b1, b2, pa, pb: rules out pairs that can't reach the bound, by
+    their sizes, by 128 one-bit coordinates (a pair at 80 percent agrees on 115 on average, with a
+    deviation of 3.4, and on fewer than 95 with a probability of 1e-8), and by the parities, which
+    never rule out a pair over the bound."""
+    agree = 128 - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    differ = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY_WORDS)), F.lit(0))
+    return (
+        (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        & (agree >= (95 if percent >= 80 else 0))
+        & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     )
-    likely = materialised(pairs.join(left, "a").join(right, "b").where(fits).select("a", "b"))
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialised(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(width), "id long, items array<long>"))
+
+
+def _sides(rows: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of rows that have id, n, s1, s2, parity and perhaps component."""
+    names = (("a", "na", "a1", "a2", "pa", "ca"), ("b", "nb", "b1", "b2", "pb", "cb"))
+    more = ["component"] if "component" in rows.columns else []
+    return tuple(rows.select(*keep, *(F.col(c).alias(x) for c, x in zip(("id", "n", "s1", "s2", "parity", *more), n, strict=False))) for n in names)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of distinct pairs (a, b) whose full sets reach the bound."""
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    met = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return met.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    return cut(met.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b"))
+
+
+def _led_pairs(members: DataFrame, info: DataFrame, masks: tuple[int, ...], percent: int) -> DataFrame:
+    """Likely pairs of each bucket's members with as many leaders of the bucket as there are masks:
+    for each mask the member whose id comes first once the mask's bits are flipped. With a column
+    component, only pairs of different components."""
+    flipped = lambda c, m: F.col(c).bitwiseXOR(F.lit(m))
+    leaders = members.groupBy("key").agg(*(F.min(flipped("id", m)).alias(f"l{k}") for k, m in enumerate(masks)))
+    led = members.join(leaders, "key").select("id", F.explode(F.array_distinct(F.array(*(flipped(f"l{k}", m) for k, m in enumerate(masks))))).alias("leader"))
+    pairs = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    left, right = _sides(info)
+    met = pairs.join(left, "a").join(right, "b").where(_likely(percent))
+    return materialised((met.where("ca <> cb") if "ca" in met.columns else met).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, band_rows: int = BAND_ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -156,61 +192,65 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     (1 - 0.8**5)**32 = 3e-6, and less above it.
     """
     texts = docs.select("doc_id", "text")
-    sets = materialised(texts.mapInArrow(_set_rows(width), "doc_id long, n_shingles long, d1 long, d2 long"))
+    sketches = materialised(texts.mapInArrow(_sketch_rows(width, bins, band_rows), "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"))
     key = ["n_shingles", "d1", "d2"]
     # One representative for each different set; only its bands, sketch and links matter from here on.
-    groups = materialised(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")))
-    first = texts.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(sets) else texts.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sketches = materialised(first.mapInArrow(_band_rows(width, bins, band_rows), "id long, n long, s1 long, s2 long, bands array<long>"))
-    info = sketches.select("id", "n", "s1", "s2")
-    buckets = sketches.select("id", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    members = materialised(buckets.join(leaders, "key").select("key", "id", "leader", "members"))
-    pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(_confirmed(pairs, info, texts, width, percent))
+    groups = materialised(sketches.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "s1", "s2", "bands")).alias("r")).select(*key, F.col("r.doc_id").alias("id"), "r.s1", "r.s2", "r.bands"))
+    buckets = groups.select("id", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = materialised(buckets.join(shared, "key").select("key", "id", "members"))
+    sets = materialised(_pick(texts, members).mapInArrow(_full_sets(width), "id long, items array<long>, parity array<long>").dropDuplicates(["id"]))
+    info = materialised(groups.select("id", F.col("n_shingles").alias("n"), "s1", "s2").dropDuplicates(["id"]).join(sets.select("id", "parity"), "id"))
+    links = _confirmed(_led_pairs(members, info, FIRST_LEADERS, percent), sets, percent)
     component = connected_components(links)
-    rest = _split_buckets(members, component, sketches, info, texts, width, percent, small_bucket)
-    if rest is not None:
-        component = connected_components(links.union(rest))
+    for step in (_more_leaders, _split_buckets):
+        found = step(members, component, info, sets, percent, small_bucket)
+        if found is not None:
+            links = links.union(found)
+            component = connected_components(links)
     classes = groups.join(component, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
-    full = sets.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    full = sketches.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return full.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _repeats(sets: DataFrame) -> bool:
-    """Whether a doc_id comes twice."""
-    return sets.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-
-
-def _split_buckets(members: DataFrame, component: DataFrame, sketches: DataFrame, info: DataFrame, texts: DataFrame, width: int, percent: int, small_bucket: int) -> DataFrame | None:
-    """Links between members of one bucket that the leaders' links have not connected yet."""
+def _open_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
     placed = members.join(component, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = materialised(placed.join(mixed, "key"))
-    small = open_.where(F.col("members") <= small_bucket)
-    left, right = (small.select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
-    direct = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    found = cut(_confirmed(direct, info, texts, width, percent))
-    large = open_.where(F.col("members") > small_bucket).select("id", "component").distinct()
+    return materialised(placed.join(mixed, "key"))
+
+
+def _more_leaders(members: DataFrame, component: DataFrame, info: DataFrame, sets: DataFrame, percent: int, small_bucket: int) -> DataFrame:
+    """Links of further leaders of the large buckets that hold several components."""
+    open_ = _open_buckets(members.where(F.col("members") > small_bucket), component)
+    placed = info.join(open_.select("id", "component").distinct(), "id")
+    return _confirmed(_led_pairs(open_, placed, LATER_LEADERS, percent), sets, percent)
+
+
+def _split_buckets(members: DataFrame, component: DataFrame, info: DataFrame, sets: DataFrame, percent: int, small_bucket: int) -> DataFrame | None:
+    """Links between members of one bucket that the leaders' links have not connected: directly in
+    small buckets, by an exact prefix join in larger ones."""
+    open_ = _open_buckets(members, component).join(info, "id")
+    left, right = _sides(open_.where(F.col("members") <= small_bucket), "key")
+    direct = left.join(right, (left["key"] == right["key"]) & F.expr("a < b and ca <> cb") & _likely(percent)).select("a", "b").distinct()
+    found = _confirmed(direct, sets, percent)
+    large = materialised(open_.where(F.col("members") > small_bucket).select("id", "n", "s1", "s2", "parity", "component").dropDuplicates(["id"]))
     if large.limit(1).count():
-        found = found.union(cut(_prefix_links(large, info, texts, width, percent)))
+        found = found.union(_prefix_links(large, sets, percent))
     return found if found.limit(1).count() else None
 
 
-def _prefix_links(large: DataFrame, info: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _prefix_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact for any bucket size: two sets over the bound share one of their rarest
     n - ceil(n * percent / 100) + 1 shingles, whatever the order, so only these are joined."""
-    wanted = materialised(large)
-    items = texts.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
-    tokens = materialised(items.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).distinct())
+    tokens = materialised(sets.join(large.select("id"), "id", "left_semi").select("id", F.size("items").alias("n"), F.explode("items").alias("item")).distinct())
     often = tokens.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(often, "item", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item").alias("t"))
     prefix = ranked.groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("t")).alias("ts")).select(
         "id", F.explode(F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("t")
     )
-    placed = materialised(prefix.where("t.df > 1").select("id", F.col("t.item").alias("item")).join(wanted, "id"))
+    placed = materialised(prefix.where("t.df > 1").select("id", F.col("t.item").alias("item")).join(large, "id"))
     mixed = placed.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("item")
-    met = placed.join(mixed, "item").join(info.select("id", "n"), "id")
-    left, right = (met.select("item", F.col("id").alias(i), F.col("component").alias(c), F.col("n").alias(n)) for i, c, n in (("a", "ca", "na"), ("b", "cb", "nb")))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    return _confirmed(left.join(right, "item").where(near).select("a", "b").distinct(), info, texts, width, percent)
+    left, right = _sides(placed.join(mixed, "item"), "item")
+    near = (left["item"] == right["item"]) & F.expr("a < b and ca <> cb") & _likely(percent)
+    return _confirmed(left.join(right, near).select("a", "b").distinct(), sets, percent)
