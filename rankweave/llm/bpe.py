@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame
 
 #: The pattern that cuts texts into words, as the vocabulary's authors publish it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_CHARS = 1 << 20
-TRIE_WORDS = 4096
-KEPT_WORDS = 400_000
+BLOCK_CHARS = 1 << 22
+KEPT_WORDS = 600_000
 KEPT_PAIRS = 1_000_000
 
 
@@ -59,17 +58,8 @@ class ByteBpe:
             left, right = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
         self.single = [vocab[bytes([b])] for b in range(256)]
-        # Tokens by their bytes read backwards; -1 holds the token that ends the walk there.
-        self.backward: dict[int, dict] = {}
-        for token, number in vocab.items():
-            if self._merge(token) != [number]:
-                continue  # no text's encoding holds it
-            node = self.backward
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[-1] = number
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, str] = {}
+        self._build_matcher([(token, number) for token, number in vocab.items() if self._merge(token) == [number]])
+        self.pairs: dict[int, bool] = {}
         self.ids_of: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, word: bytes) -> list[int]:
@@ -82,58 +72,84 @@ class ByteBpe:
             ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
         return ids
 
+    def _build_matcher(self, tokens: list[tuple[bytes, int]]) -> None:
+        """A suffix automaton over the tokens that encodings can hold: for each state the tokens that
+        end there as (id, length), longest first, and the state of its longest proper suffix."""
+        self.step: dict[int, int] = {}
+        ending: list[tuple[tuple[int, int], ...]] = [()]
+        back, parent = [0], [(0, 0)]
+        for token, number in tokens:
+            state = 0
+            for byte in token:
+                key = state << 8 | byte
+                if (to := self.step.get(key)) is None:
+                    to = self.step[key] = len(ending)
+                    ending.append(())
+                    back.append(0)
+                    parent.append((state, byte))
+                state = to
+            ending[state] = ((number, len(token)),)
+        depth = [0] * len(ending)
+        for state in range(1, len(ending)):
+            depth[state] = depth[parent[state][0]] + 1
+        self.ending, self.back = ending, back
+        for state in sorted(range(1, len(ending)), key=depth.__getitem__):
+            above, byte = parent[state]
+            back[state] = self._next(back[above], byte) if above else 0
+            ending[state] += ending[back[state]]
+
+    def _next(self, state: int, byte: int) -> int:
+        key = state << 8 | byte
+        if (to := self.step.get(key)) is None:
+            to = self._next(self.back[state], byte) if state else 0
+            if len(self.step) < KEPT_PAIRS:
+                self.step[key] = to
+        return to
+
     def _follows(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives just these two tokens."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 20 | right] = self._merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
         return known
 
-    def _last_token(self, path: bytearray, tokens: list[int], depth: int) -> int:
-        """Of the prefix path[:depth], given the last tokens of all shorter prefixes."""
-        node, at, ends = self.backward, depth, []
-        while at and (node := node.get(path[at - 1])) is not None:
-            at -= 1
-            if -1 in node:
-                ends.append((node[-1], at))
-        for token, start in reversed(ends):
-            if start == 0 or self._follows(tokens[start], token):
-                return token
-        raise AssertionError("a prefix without an encoding")
-
-    def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct words through one trie."""
-        root: dict = {}
+    def encode_words(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
+        """Ids of sorted distinct words. In sorted order the words are a trie laid out depth first: the
+        walk holds the path from the root to the current node, steps back to the last node that the
+        next word shares, and works out the last tokens of the new nodes only."""
+        pairs, step, ending = self.pairs, self.step, self.ending
+        tokens, lengths, states = [-1], [0], [0]
+        last = b""
         for word in words:
-            node = root
-            for byte in word:
-                node = node.setdefault(byte, {})
-            node[-1] = True
-        found: dict[bytes, tuple[int, ...]] = {}
-        path, tokens = bytearray(), [-1]
-        walk = [iter(root.items())]
-        while walk:
-            step = next(walk[-1], None)
-            if step is None:
-                walk.pop()
-                if path:
-                    path.pop()
-                    tokens.pop()
-                continue
-            byte, child = step
-            if byte == -1:
-                ids, at = [], len(path)
-                while at:
-                    ids.append(tokens[at])
-                    at -= len(self.token_bytes[tokens[at]])
-                found[bytes(path)] = tuple(reversed(ids))
-                continue
-            path.append(byte)
-            tokens.append(self._last_token(path, tokens, len(path)))
-            walk.append(iter(child.items()))
-        return found
+            shared = 0
+            for x, y in zip(last, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            last = word
+            del tokens[shared + 1 :], lengths[shared + 1 :], states[shared + 1 :]
+            state = states[-1]
+            for depth in range(shared + 1, len(word) + 1):
+                byte = word[depth - 1]
+                to = step.get(state << 8 | byte)
+                state = self._next(state, byte) if to is None else to
+                for token, length in ending[state]:
+                    if length == depth:
+                        break
+                    left = tokens[depth - length]
+                    fits = pairs.get(left << 20 | token)
+                    if fits or fits is None and self._follows(left, token):
+                        break
+                else:
+                    raise AssertionError("a prefix without an encoding")
+                tokens.append(token)
+                lengths.append(length)
+                states.append(state)
+            at, ids = len(word), []
+            while at:
+                ids.append(tokens[at])
+                at -= lengths[at]
+            yield tuple(reversed(ids))
 
     def _pieces(self, text: str) -> list[str]:
         if self.special_cut is None or not any(s in text for s in self.special):
@@ -150,10 +166,7 @@ class ByteBpe:
             self.ids_of[special] = (self.special[special],)
             new.discard(special)
         ordered = sorted((w.encode("utf-8", "surrogatepass"), w) for w in new)
-        for first in range(0, len(ordered), TRIE_WORDS):
-            part = ordered[first : first + TRIE_WORDS]
-            ids = self.encode_words([b for b, _ in part])
-            self.ids_of.update((w, ids[b]) for b, w in part)
+        self.ids_of.update(zip((w for _, w in ordered), self.encode_words([b for b, _ in ordered]), strict=True))
 
     def encode_block(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""

@@ -6,8 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankweave.llm import bpe, language_id
 from rankweave.llm.near_dup import near_duplicates
-from rankweave.llm.shared import table
+from rankweave.llm.shared import fold_of, table
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer's vocabulary file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them, for all documents."""
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those outside the fold crc32(doc_id) mod 4 = 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +36,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op8_language": op8_language, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {}
