@@ -8,10 +8,9 @@ random value of that round; from round `bins` on, round `bins + j` throws all el
 sketch name buckets; candidate pairs are confirmed on the full sets; links make components.
 
 No bucket is expanded into all its pairs. Each bucket first compares its members with a few leaders
-only. Where a bucket then still holds several components, larger ones try further leaders; what stays
-apart is compared across components in small buckets, and goes through an exact prefix join on the
-rarest shingles in larger ones. Every pair that shares a bucket is thus confirmed, refuted or already
-connected.
+only. Where a bucket then still holds several components, members of different components are
+compared directly in small buckets, and by an exact prefix join on the rarest shingles in larger ones.
+Every pair that shares a bucket is thus confirmed, refuted or already connected.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing. Texts with
 fewer words than a shingle count as one shingle. Rows that repeat (the same doc_id twice) are one
@@ -35,8 +34,7 @@ BAND_ROWS = 5
 SMALL_BUCKET = 32
 PARITY_WORDS = 16
 BROADCAST_IDS = 1 << 18
-FIRST_LEADERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
-LATER_LEADERS = tuple(int(x) for x in np.random.default_rng(11).integers(1, 2**62, 8))
+LEADERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, 4 * 4096, dtype=np.uint64)
 
 
@@ -174,15 +172,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _led_pairs(members: DataFrame, info: DataFrame, masks: tuple[int, ...], percent: int) -> DataFrame:
     """Likely pairs of each bucket's members with as many leaders of the bucket as there are masks:
-    for each mask the member whose id comes first once the mask's bits are flipped. With a column
-    component, only pairs of different components."""
+    for each mask the member whose id comes first once the mask's bits are flipped."""
     flipped = lambda c, m: F.col(c).bitwiseXOR(F.lit(m))
     leaders = members.groupBy("key").agg(*(F.min(flipped("id", m)).alias(f"l{k}") for k, m in enumerate(masks)))
     led = members.join(leaders, "key").select("id", F.explode(F.array_distinct(F.array(*(flipped(f"l{k}", m) for k, m in enumerate(masks))))).alias("leader"))
     pairs = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     left, right = _sides(info)
-    met = pairs.join(left, "a").join(right, "b").where(_likely(percent))
-    return materialised((met.where("ca <> cb") if "ca" in met.columns else met).select("a", "b"))
+    return materialised(pairs.join(left, "a").join(right, "b").where(_likely(percent)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, band_rows: int = BAND_ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -201,13 +197,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     members = materialised(buckets.join(shared, "key").select("key", "id", "members"))
     sets = materialised(_pick(texts, members).mapInArrow(_full_sets(width), "id long, items array<long>, parity array<long>").dropDuplicates(["id"]))
     info = materialised(groups.select("id", F.col("n_shingles").alias("n"), "s1", "s2").dropDuplicates(["id"]).join(sets.select("id", "parity"), "id"))
-    links = _confirmed(_led_pairs(members, info, FIRST_LEADERS, percent), sets, percent)
+    links = _confirmed(_led_pairs(members, info, LEADERS, percent), sets, percent)
     component = connected_components(links)
-    for step in (_more_leaders, _split_buckets):
-        found = step(members, component, info, sets, percent, small_bucket)
-        if found is not None:
-            links = links.union(found)
-            component = connected_components(links)
+    rest = _split_buckets(members, component, info, sets, percent, small_bucket)
+    if rest is not None:
+        component = connected_components(links.union(rest))
     classes = groups.join(component, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     full = sketches.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return full.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -220,13 +214,6 @@ def _open_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
     return materialised(placed.join(mixed, "key"))
 
 
-def _more_leaders(members: DataFrame, component: DataFrame, info: DataFrame, sets: DataFrame, percent: int, small_bucket: int) -> DataFrame:
-    """Links of further leaders of the large buckets that hold several components."""
-    open_ = _open_buckets(members.where(F.col("members") > small_bucket), component)
-    placed = info.join(open_.select("id", "component").distinct(), "id")
-    return _confirmed(_led_pairs(open_, placed, LATER_LEADERS, percent), sets, percent)
-
-
 def _split_buckets(members: DataFrame, component: DataFrame, info: DataFrame, sets: DataFrame, percent: int, small_bucket: int) -> DataFrame | None:
     """Links between members of one bucket that the leaders' links have not connected: directly in
     small buckets, by an exact prefix join in larger ones."""
