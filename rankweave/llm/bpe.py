@@ -232,22 +232,26 @@ def decode(encoded: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFr
     return picked.mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The carried columns and n_tokens, ids_sha256, decoded_sha256 of each row: encode, then decode
-    from the ids, in one pass over the texts."""
+def round_trip_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """The carried columns and n_tokens, ids_sha256, decoded_sha256 (and ids) of each row: encode, then
+    decode from the ids, in one pass over the texts."""
     kept = ["doc_id", *carry]
     picked = docs.select(*kept, docs["text"].alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text") + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text") + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(path)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
+            first = 0
             for block in _blocks(batch.column("__text").to_pylist()):
-                for ids in bpe.encode_block(block):
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
+                part = batch.slice(first, len(block))
+                first += len(block)
+                ids = bpe.encode_block(block)
+                columns = {
+                    "n_tokens": pa.array(map(len, ids), pa.int64()),
+                    "ids_sha256": pa.array((hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids), pa.string()),
+                    "decoded_sha256": pa.array((hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids), pa.string()),
+                } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns.values()], names=[*kept, *columns])
 
     return picked.mapInArrow(run, schema)

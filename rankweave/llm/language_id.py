@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -295,6 +296,3 @@ def accepts(model: CharModel, docs: DataFrame) -> Column:
         return text.map(lambda t: shared.value.predict(t)[2]).astype(bool)
 
     return accepted(F.col("text"))
-
-
-import pandas as pd  # noqa: E402  (the annotation of the UDF above)

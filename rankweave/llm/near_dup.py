@@ -241,3 +241,18 @@ def _prefix_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = _sides(placed.join(mixed, "item"), "item")
     near = (left["item"] == right["item"]) & F.expr("a < b and ca <> cb") & _likely(percent)
     return _confirmed(left.join(right, near).select("a", "b").distinct(), sets, percent)
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, with one document of each class: that with the smallest doc_id.
+    Of rows that repeat a doc_id one stays."""
+    classes = materialised(near_duplicates(docs, width, percent))
+    dropped = classes.where(~F.col("kept")).select("doc_id").distinct()
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
+    return left.dropDuplicates(["doc_id"]) if _repeats(classes) else left
+
+
+def _repeats(classes: DataFrame) -> bool:
+    """Whether a doc_id comes twice."""
+    return classes.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, language_id
+from rankweave.llm import bpe, language_id, line_rules, media, mixing, sharding, toxicity, warc, weak_labels
 from rankweave.llm.near_dup import near_duplicates
 from rankweave.llm.shared import fold_of, table
 
@@ -36,5 +37,58 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op8_language": op8_language, "op10_minhash": op10_minhash}
-ORACLES: dict[str, str] = {}
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's bytes stored as 8-bit audio, read back, with a digest of its features."""
+    return media.digests(media.store_media(table(spark, sf_dir, "documents")))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by sources of weight 5, 2, 1, to 150% of all words."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, and what the archives' records say when read back."""
+    return warc.archived_index(table(spark, sf_dir, "pages"))
+
+
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of line-first cleaning for all documents."""
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the votes of heuristic labellers."""
+    return weak_labels.quality_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels outside the fold crc32(doc_id) mod 5 = 0."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of even row counts, equal texts together as far as room goes."""
+    placed = sharding.balanced_shards(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules,
+    "op6_weak_labels": op6_weak_labels, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_sharding": op9_sharding, "op10_minhash": op10_minhash,
+}
+#: Only what SQL expresses as a whole; the other queries are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+        FROM f
+    """,
+}
