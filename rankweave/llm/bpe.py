@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 
 #: The pattern that cuts texts into words, as the vocabulary's authors publish it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_CHARS = 1 << 22
-KEPT_WORDS = 600_000
-KEPT_PAIRS = 1_000_000
+BLOCK_CHARS = 1 << 21
+KEPT_WORDS = 250_000
+KEPT_PAIRS = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:

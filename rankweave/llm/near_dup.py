@@ -63,11 +63,18 @@ def fast_similarity_sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     return mix64(sketch)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that the sets of few texts are in memory at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sketch_rows(width: int, bins: int, band_rows: int):
     """Size, digest, one-bit coordinates and band keys of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             bands = []
             for text in batch.column(1):
@@ -106,7 +113,7 @@ def _parity(items: np.ndarray) -> np.ndarray:
 
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column(1)]
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in sets], out=offsets[1:])

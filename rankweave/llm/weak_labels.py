@@ -139,7 +139,7 @@ class _TokenScores(dict):
         self.weights = weights
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[token] = float(self.weights[token_features(token)].sum())
         return found
