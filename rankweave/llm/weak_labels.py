@@ -29,7 +29,6 @@ from rankweave.llm.shared import cut
 
 MAX_DOCS = 4000
 BITS = 18
-_DIGITS = re.compile(r"\d")
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")
 
 
@@ -57,7 +56,7 @@ def _word_length(text: str, f: dict) -> int:
 
 
 def _lower_case(text: str, f: dict) -> int:
-    letters = sum(map(str.isalpha, text[:0])) or f["letters"]
+    letters = f["letters"]
     return 0 if letters < 20 else -1 if f["upper"] > 0.3 * letters else 1 if f["upper"] < 0.1 * letters else 0
 
 
@@ -128,7 +127,8 @@ def expectation_maximisation(patterns: np.ndarray, weights: np.ndarray, rounds:
 
 def token_features(token: str) -> list[int]:
     """Hashed features of a token: itself in lower case, and its shape."""
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[^\W\d_a-z]", "A", _DIGITS.sub("0", token))))[:8]
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
+    shape = re.sub(r"(.)\1+", r"\1", kinds)[:8]
     mask = (1 << BITS) - 1
     return [zlib.crc32(b"t" + token.lower().encode("utf-8", "surrogatepass")) & mask, zlib.crc32(b"s" + shape.encode("utf-8", "surrogatepass")) & mask]
 
