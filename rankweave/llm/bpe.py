@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rankweave.llm.memory import give_back
+
 #: The pattern that cuts texts into words, as the vocabulary's authors publish it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_CHARS = 1 << 21
@@ -253,5 +255,7 @@ def round_trip_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = (),
                     "decoded_sha256": pa.array((hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids), pa.string()),
                 } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns.values()], names=[*kept, *columns])
+        bpe.ids_of.clear()  # the worker stays for other stages
+        give_back()
 
     return picked.mapInArrow(run, schema)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.memory import give_back
 from rankweave.llm.shared import ASCII_LOWER, cut, materialised, mix64, shingle_hashes, word_hashes
 
 BINS = 160
@@ -68,6 +69,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def _sketch_rows(width: int, bins: int, band_rows: int):

@@ -49,7 +49,7 @@ class _WordScores(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         found = self[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
         return found
