@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators import content, graph, performance, rules, series
+from rankweave.plans import more, scoring
 from rankweave.sources import tables
 from rankweave.sources.tables import table, twin
 
@@ -178,3 +179,6 @@ _add("AGG41", _given("lineitem", lambda x: series.gini(graph.degrees(graph.edges
 _add("WIN7", _given("lineitem", lambda x: series.tie_averaged_rank(graph.degrees(graph.edges(x)), "inbound")), f"WITH {_DEGREES}, t AS (SELECT inbound, count(*) AS ties FROM g GROUP BY inbound) SELECT inbound, ties, (coalesce(sum(ties) OVER (ORDER BY inbound DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + ties / 2)::DOUBLE / sum(ties) OVER () AS percentile FROM t")
 _add("MTH6", _given("lineitem", lambda x: graph.page_rank(graph.edges(x))))
 _add("GRF2", _given("lineitem", lambda x: graph.components(graph.edges(x))))
+
+more.register(_add, _over, _given)
+scoring.register(_add, _over, _given, _PAGES)
