@@ -190,38 +190,41 @@ def fit_scorer(texts: list[str | None], good: np.ndarray, steps: int = 120) -> L
     return LinearScorer(bias, w.astype(np.float32))
 
 
+def _marks(text: str | None) -> str:
+    """Votes as one character each."""
+    return "".join("-0+"[v + 1] for v in votes(text))
+
+
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = ["".join("-0+"[v + 1] for v in votes(t)) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "votes"])
+        found = [_marks(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["doc_id", "h", "votes"])
 
 
 def quality_scores(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """doc_id, votes, posterior, score and predicted (score of at least 0.5) of every row."""
+    """doc_id, votes, posterior, score and predicted (score of at least 0.5) of every row. Votes, the dear
+    part, are cast once; the score's pass finds them by doc_id and a hash of the text."""
     spark = docs.sparkSession
-    voted = cut(docs.select("doc_id", "text").mapInArrow(_vote_rows, "doc_id long, votes string"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    voted = cut(keyed.mapInArrow(_vote_rows, "doc_id long, h long, votes string"))
     table_ = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
     if not len(table_):
         return voted.select("doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     patterns = np.array([["-0+".index(c) - 1 for c in p] for p in table_["votes"]])
     model = expectation_maximisation(patterns, table_["n"].to_numpy(dtype=float))
     known = {p: model.posterior(tuple(row)) for p, row in zip(table_["votes"], patterns, strict=True)}
-    total = int(table_["n"].sum())
     at = F.xxhash64(F.lit("quality-sample"), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    sample = docs.where(at < min(1.0, max_docs / total)).select("doc_id", "text").toPandas()
-    soft = np.array([known.get("".join("-0+"[v + 1] for v in votes(t)), 0.5) for t in sample["text"]])
-    scorer = fit_scorer(sample["text"].tolist(), soft)
-    shared = spark.sparkContext.broadcast((scorer, known))
+    sample = docs.where(at < min(1.0, max_docs / int(table_["n"].sum()))).select("doc_id", "text").toPandas()
+    scorer = fit_scorer(sample["text"].tolist(), np.array([known.get(_marks(t), 0.5) for t in sample["text"]]))
+    shared = spark.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, seen = shared.value
-            texts = batch.column(1).to_pylist()
-            marks = ["".join("-0+"[v + 1] for v in votes(t)) for t in texts]
-            scores = [own.score(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(marks, pa.string()), pa.array([seen[x] for x in marks], pa.float64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
-                names=["doc_id", "votes", "posterior", "score", "predicted"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, votes string, posterior double, score double, predicted int")
+            scores = [shared.value.score(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "h", "score"])
+
+    scored = keyed.mapInArrow(run, "doc_id long, h long, score double")
+    seen = voted.distinct().select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "votes")
+    means = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    met = scored.join(seen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    return met.select("doc_id", "votes", means[F.col("votes")].alias("posterior"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
