@@ -42,12 +42,12 @@ _STOCK = re.compile(
 def failed_rule(line: str, words: int, heading_words: int = HEADING_WORDS) -> str | None:
     """The rule that a line with words breaks, if any."""
     bare = line.strip()
-    visible = sum(map(len, bare.split()))
-    if 10 * len(_LINE_SYMBOLS.findall(bare)) >= visible:
+    symbols = len(_LINE_SYMBOLS.findall(bare))
+    if not bare or symbols and 10 * symbols >= sum(map(len, bare.split())):
         return "symbols"
     if (cuts := len(_SEPARATORS.findall(bare))) >= 2 and 4 * cuts >= words:
         return "navigation"
-    if _STOCK.search(bare) and words <= 25:
+    if words <= 25 and _STOCK.search(bare):
         return "boilerplate"
     if words > heading_words and not _ENDS.search(bare):
         return "punctuation"

@@ -30,6 +30,10 @@ from rankweave.llm.shared import cut
 MAX_DOCS = 4000
 BITS = 18
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_MASK = (1 << BITS) - 1
 
 
 def _few_symbols(text: str, f: dict) -> int:
@@ -80,8 +84,8 @@ def text_counts(text: str) -> dict:
     pieces = text.split()
     return {
         "words": words, "chars": chars, "symbols": symbols, "dup_lines": dup_lines, "repeats": repeats, "lost": before - after,
-        "lines": sum(1 for x in text.split("\n") if x.strip()), "letters": len(text) - len(re.sub(r"[^\W\d_]", "", text)),
-        "upper": len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text)), "plain": sum(1 for p in pieces if _PLAIN.fullmatch(p)),
+        "lines": sum(1 for x in text.split("\n") if x.strip()), "letters": sum(map(len, _LETTERS.findall(text))),
+        "upper": sum(map(len, _UPPER.findall(text))), "plain": len(pieces) - list(map(_PLAIN.fullmatch, pieces)).count(None),
     }
 
 
@@ -125,23 +129,49 @@ def expectation_maximisation(patterns: np.ndarray, weights: np.ndarray, rounds:
     return model
 
 
+class _Kinds(dict):
+    """For str.translate: a code point to A (upper), a (other letter), 0 (digit) or itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        found = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return found
+
+
+_KINDS = _Kinds()
+
+
+def _shape_feature(kinds: str) -> int:
+    """Of a token's kinds, with runs as one; of long tokens the first eight runs."""
+    return zlib.crc32(b"s" + _RUN.sub(r"\1", kinds)[:8].encode("utf-8", "surrogatepass")) & _MASK
+
+
+def _word_feature(token: str) -> int:
+    return zlib.crc32(b"t" + token.lower().encode("utf-8", "surrogatepass")) & _MASK
+
+
 def token_features(token: str) -> list[int]:
     """Hashed features of a token: itself in lower case, and its shape."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
-    shape = re.sub(r"(.)\1+", r"\1", kinds)[:8]
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(b"t" + token.lower().encode("utf-8", "surrogatepass")) & mask, zlib.crc32(b"s" + shape.encode("utf-8", "surrogatepass")) & mask]
+    return [_word_feature(token), _shape_feature(token.translate(_KINDS))]
 
 
 class _TokenScores(dict):
+    """Summed weights of tokens, worked out once while they stay in this bounded table."""
+
     def __init__(self, weights: np.ndarray) -> None:
         super().__init__()
-        self.weights = weights
+        self.weights = memoryview(weights.astype(np.float64))
+        self.shapes: dict[str, float] = {}
 
     def __missing__(self, token: str) -> float:
         if len(self) > 100_000:
             self.clear()
-        found = self[token] = float(self.weights[token_features(token)].sum())
+            self.shapes.clear()
+        kinds = token.translate(_KINDS)
+        by_shape = self.shapes.get(kinds)
+        if by_shape is None:
+            by_shape = self.shapes[kinds] = self.weights[_shape_feature(kinds)]
+        found = self[token] = self.weights[_word_feature(token)] + by_shape
         return found
 
 
