@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.memory import give_back
 from rankweave.llm.shared import cut, mix64
 
 ORDER = 4
@@ -292,7 +293,9 @@ def accepts(model: CharModel, docs: DataFrame) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def accepted(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: shared.value.predict(t)[2]).astype(bool)
+    def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield text.map(lambda t: shared.value.predict(t)[2]).astype(bool)
+        give_back()
 
     return accepted(F.col("text"))

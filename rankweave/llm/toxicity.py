@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.memory import give_back
+
 MAX_DOCS = 3000
 BITS = 18
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -176,8 +178,10 @@ def is_toxic(model: ToxicityModel, docs: DataFrame, least: float = 0.5) -> Colum
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def toxic(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: shared.value.score(t) >= least).astype(bool)
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield text.map(lambda t: shared.value.score(t) >= least).astype(bool)
+        give_back()
 
     return toxic(F.col("text"))
 
