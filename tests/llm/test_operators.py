@@ -416,3 +416,15 @@ def test_pipeline_odd_cases(spark, rows):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF).checkpoint()
     assert docs.count() >= 0
+
+
+def test_token_scores_are_sums_of_feature_weights():
+    import numpy as np
+
+    from rankweave.llm import weak_labels
+
+    weights = np.random.default_rng(5).normal(size=1 << weak_labels.BITS).astype(np.float32)
+    scorer = weak_labels.LinearScorer(0.25, weights)
+    tokens = ["Hello,", "AAaa11--x", "Été", "x²", "٣", "a" * 5000, "Hello,", "\ud800"]
+    mean = sum(float(weights[weak_labels.token_features(t)].astype(float).sum()) for t in tokens) / len(tokens)
+    assert abs(scorer.score(" ".join(tokens)) - 1 / (1 + np.exp(-(0.25 + mean)))) < 1e-9
