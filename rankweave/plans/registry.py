@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators import content, graph, performance, rules, series
-from rankweave.plans import more, scoring, wider
+from rankweave.plans import more, scoring, traffic, wider
 from rankweave.sources import tables
 from rankweave.sources.tables import table, twin
 
@@ -183,3 +183,4 @@ _add("GRF2", _given("lineitem", lambda x: graph.components(graph.edges(x))))
 more.register(_add, _over, _given)
 scoring.register(_add, _over, _given, _PAGES)
 wider.register(_add, _over, _given, _compared)
+traffic.register(_add, _given)
