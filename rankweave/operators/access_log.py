@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,22 +50,33 @@ AGENTS = [
 ]
 
 
+def _once(value: Column, work: Callable[[Column], Column]) -> Column:
+    """work over value, bound once: where a filter moves down, the optimizer can't copy the expression behind
+    the value into every place that work uses it."""
+    return F.get(F.transform(F.array(value), work), F.lit(0))
+
+
 def agent_key(agent: Column) -> Column:
     """The first known agent whose pattern the string meets; null for people."""
-    return F.coalesce(*(F.when(agent.rlike("(?i)" + pattern), key) for key, _, pattern in AGENTS))
+    first = lambda a: F.coalesce(*(F.when(a.rlike("(?i)" + pattern), key) for key, _, pattern in AGENTS))
+    return _once(agent, first)
 
 
 def agent_group(key: Column) -> Column:
-    return F.coalesce(*(F.when(key == k, g) for k, g, _ in AGENTS))
+    return F.try_element_at(F.create_map(*(F.lit(x) for k, g, _ in AGENTS for x in (k, g))), key)
 
 
 def wall_time(time: Column) -> Column:
     """The time as written: a zone offset is left out, so that a day of the log stays that day."""
-    part = lambda k: F.regexp_extract(time, r"^([0-9]{2})/([A-Za-z]{3})/([0-9]{4}):([0-9]{2}:[0-9]{2}:[0-9]{2})", k)
-    month = F.lpad(F.floor((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), part(2)) + 2) / 3).cast("string"), 2, "0")
-    common = F.concat(part(3), F.lit("-"), month, F.lit("-"), part(1), F.lit(" "), part(4))
-    iso = F.regexp_extract(time, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
-    return F.coalesce(common.try_cast("timestamp_ntz"), iso.try_cast("timestamp_ntz"))
+
+    def read(t: Column) -> Column:
+        part = lambda k: F.regexp_extract(t, r"^([0-9]{2})/([A-Za-z]{3})/([0-9]{4}):([0-9]{2}:[0-9]{2}:[0-9]{2})", k)
+        month = F.lpad(F.floor((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), part(2)) + 2) / 3).cast("string"), 2, "0")
+        common = F.concat(part(3), F.lit("-"), month, F.lit("-"), part(1), F.lit(" "), part(4))
+        iso = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
+        return F.coalesce(common.try_cast("timestamp_ntz"), iso.try_cast("timestamp_ntz"))
+
+    return _once(time, read)
 
 
 def layout_votes(lines: DataFrame, by: str) -> DataFrame:
@@ -76,11 +89,16 @@ def layout_votes(lines: DataFrame, by: str) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Typed fields of each line, by the first layout that it meets; lines of no layout keep nulls."""
-    found = lines.withColumn("layout", F.coalesce(*(F.when(F.col("line").rlike(p), k) for k, (p, _) in LAYOUTS.items())))
-    for place, field in enumerate(_FIELDS):
-        found = found.withColumn(field, F.coalesce(*(F.when(F.col("layout") == k, F.regexp_extract("line", p, groups[place])) for k, (p, groups) in LAYOUTS.items())))
-    return found.withColumn("status", F.col("status").cast("int")).withColumn("bytes", F.when(F.col("layout").isNotNull(), F.coalesce(F.col("bytes").try_cast("long"), F.lit(0)))).withColumn("time", wall_time(F.col("time")))
+    """Typed fields of each line, by the first layout that it meets; lines of no layout keep nulls. All fields
+    come from one pass of the layout's pattern."""
+    cut = lambda p, groups: F.split(F.regexp_replace("line", p + r"[\s\S]*$", "\u0001".join(f"${g}" for g in groups)), "\u0001")
+    meets = [(k, F.col("line").rlike(p), cut(p, groups)) for k, (p, groups) in LAYOUTS.items()]
+    found = lines.withColumn("layout", F.coalesce(*(F.when(m, k) for k, m, _ in meets)))
+    found = found.withColumn("cut", _once(F.col("layout"), lambda x: F.coalesce(*(F.when(x == k, c) for k, _, c in meets))))
+    typed = {f: F.get("cut", F.lit(place)) for place, f in enumerate(_FIELDS)}
+    typed["status"] = typed["status"].cast("int")
+    typed["bytes"] = F.when(F.col("layout").isNotNull(), F.coalesce(typed["bytes"].try_cast("long"), F.lit(0)))
+    return found.withColumns(typed).withColumn("time", wall_time(F.col("time"))).drop("cut")
 
 
 def counters(hits: DataFrame) -> DataFrame:
