@@ -59,6 +59,14 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("seen"), F.col("event_id").alias("id"), F.col("event_type").alias("status"), _cents().alias("value"))
 
 
+def visits_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """brand, date, entity, sessions, engaged, conversions, seconds of each landing page and day."""
+    value = F.col("value")
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("brand"), F.to_date("ts").alias("date"), F.col("user_id").alias("entity")).agg(
+        F.count("*").alias("sessions"), F.count_if(value > 10).alias("engaged"), F.count_if(value > 50).alias("conversions"), F.sum(F.round(value).cast("long")).alias("seconds")
+    )
+
+
 #: The same views as DuckDB SQL, for the independent twins.
 VIEWS = {
     "metric": """SELECT event_type AS brand, CAST(ts AS DATE) AS date, user_id AS entity, count(*) AS clicks,
@@ -73,6 +81,8 @@ VIEWS = {
         CAST(o_orderdate AS DATE) AS day, o_custkey AS person FROM orders""",
     "ranks": """SELECT user_id AS keyword, CAST(ts AS DATE) AS captured_on, min(CASE WHEN event_id % 120 + 1 <= 100 THEN event_id % 120 + 1 END) AS position
         FROM events GROUP BY 1, 2""",
+    "visits": """SELECT event_type AS brand, CAST(ts AS DATE) AS date, user_id AS entity, count(*) AS sessions, count(CASE WHEN value > 10 THEN 1 END) AS engaged,
+        count(CASE WHEN value > 50 THEN 1 END) AS conversions, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS seconds FROM events GROUP BY 1, 2, 3""",
     "series": "SELECT user_id AS key, ts AS seen, event_id AS id, event_type AS status, CAST(round(value * 100) AS BIGINT) AS value FROM events",
 }
 
