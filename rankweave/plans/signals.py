@@ -106,3 +106,33 @@ def register(add: Callable, over: Callable, given: Callable) -> None:
         SELECT user_id, round(least(50, floor(25 * log10(n + 1) + 0.5)) + coalesce(((g - b)::DOUBLE / nullif(g + b, 0) + 1) * 20, 25) + 10 - least(20, 5 * r), 6) AS score FROM m""")
     add("SCR10", given("events", lambda e: e.groupBy("user_id").agg(ratio_null(F.sum(F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 2)), F.sum(F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "error", 1))).alias("share"))),
         "SELECT user_id, sum(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 END)::DOUBLE / sum(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 1 END) AS share FROM events GROUP BY user_id")
+
+    # Buckets, shares, dates and tasks.
+    add("AGG12", given("orders", lambda o: o.groupBy(F.nullif(F.regexp_extract("o_orderpriority", "^[1-3]-(.*)$", 1), F.lit("")).alias("path")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("value")).where("path IS NULL").select("n", "value")),
+        "SELECT count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM orders WHERE o_orderpriority IS NULL OR NOT regexp_matches(o_orderpriority, '^[1-3]-.+$') HAVING count(*) > 0")
+
+    def group_shares(spark, sf_dir):
+        sums = table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+        all_ = sums.agg(F.sum("size").alias("all"))  # one row
+        return sums.crossJoin(F.broadcast(all_)).select("p_type", "n", "size", ratio_null(F.col("size"), F.col("all")).alias("share")).orderBy(F.desc("size"), "p_type").limit(40)
+
+    add("AGG34", group_shares, "WITH s AS (SELECT p_type, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1) SELECT p_type, n, size, size::DOUBLE / (SELECT sum(size) FROM s) AS share FROM s ORDER BY size DESC, p_type LIMIT 40")
+    add("DAT1", over(tables.visits_daily, lambda v: performance.anchored(v).groupBy("brand", "anchor").agg(F.count_if(performance.in_window(7)).alias("recent"), F.count_if(performance.in_window(7, 7)).alias("prior")).withColumn("starts", F.date_sub("anchor", 6))),
+        twin("WITH a AS (SELECT brand, max(date) AS anchor FROM visits GROUP BY 1) SELECT brand, anchor, count(CASE WHEN date > anchor - 7 THEN 1 END) AS recent, count(CASE WHEN date > anchor - 14 AND date <= anchor - 7 THEN 1 END) AS prior, CAST(anchor - 6 AS DATE) AS starts FROM visits JOIN a USING (brand) GROUP BY 1, 2", "visits"))
+
+    def not_queued(spark, sf_dir):
+        """Parts that were neither sold in returned lines nor ordered in small numbers: two anti joins."""
+        lines = table(spark, sf_dir, "lineitem")
+        fresh, queued = (lines.where(w).select(F.col("l_partkey").alias("p_partkey")).distinct() for w in ("l_returnflag = 'R' AND l_linenumber = 1", "l_quantity <= 3"))
+        return table(spark, sf_dir, "part").select("p_partkey").join(fresh, "p_partkey", "left_anti").join(queued, "p_partkey", "left_anti")
+
+    add("JOIN27", not_queued, "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity <= 3)")
+
+    def stale_tasks(spark, sf_dir):
+        """Open tasks (orders) whose key no current finding (event of that user) has: new ones are dismissed,
+        started ones only annotated."""
+        current = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("o_custkey")).distinct()
+        tasks = table(spark, sf_dir, "orders").where("o_orderstatus IN ('O', 'P')").select("o_orderkey", "o_custkey", "o_orderstatus")
+        return tasks.join(current, "o_custkey", "left_anti").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "dismissed").otherwise("annotated").alias("outcome"))
+
+    add("JOIN26", stale_tasks, "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'dismissed' ELSE 'annotated' END AS outcome FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
