@@ -6,7 +6,9 @@ language has seen gets its finished log-probability in all languages; these stan
 sorted by the 64-bit hash of the n-gram, so that scoring needs one binary search a character (and
 more only where the full context was never seen). A text goes to the language of the lowest
 cross-entropy a character. A second, disjoint part of the training rows calibrates a temperature for
-the score and, per language, the range of cross-entropies beyond which a text is rejected.
+the score and, per language, the range of cross-entropies beyond which a text is rejected; languages of
+fewer than five such rows share the others' width. Only with no calibration row that the model gets
+right (no language of two ids or more) is every text with a letter accepted.
 
 The fit uses a sample of about `max_docs` labelled rows per language, picked by a hash of doc_id at a
 rate that one count per language sets, so the model's size does not grow with the corpus. Whole texts
@@ -145,11 +147,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(rows: DataFrame, per_language: int, calibration: int) -> DataFrame:
-    """About so many rows of each language, with `part` 0 to count and 1 to calibrate."""
+    """About so many rows of each language, with `part` 0 to count and 1 to calibrate. A second hash
+    deals the picked rows of every language in the same proportion; of two ids or more, the lowest by
+    the first hash counts and the highest calibrates, so that no language lacks either."""
     at = (F.xxhash64(F.lit("language-sample"), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("at")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
-    picked = rows.select("doc_id", "lang", "text", at).join(F.broadcast(totals) if _few(totals) else totals, "lang")
-    return picked.where(F.col("at") * F.col("total") < per_language + calibration).select("lang", "text", (F.col("at") * F.col("total") >= per_language).cast("int").alias("part"))
+    placed = rows.select("doc_id", "lang", "text", at)
+    totals = placed.groupBy("lang").agg(F.count("*").alias("total"), F.min("at").alias("low"), F.max("at").alias("high"))
+    picked = placed.join(F.broadcast(totals) if _few(totals) else totals, "lang").where(F.col("at") * F.col("total") < per_language + calibration)
+    dealt = F.pmod(F.xxhash64(F.lit("language-part"), "doc_id"), F.lit(per_language + calibration)) < calibration
+    return picked.select("lang", "text", F.when(F.col("at") == F.col("low"), 0).when(F.col("at") == F.col("high"), 1).otherwise(dealt.cast("int")).alias("part"))
 
 
 def _few(totals: DataFrame, most: int = 1000) -> bool:
@@ -213,8 +219,7 @@ def _interpolate(languages: list[str], tables: dict) -> CharModel:
             order = np.argsort(before)
             context_keys.append(before[order])
             back_off.append(np.log(weight[order]))
-    one = np.ones(L)
-    return CharModel(languages, keys, log_p, context_keys, back_off, floor, 1.0, 0 * one, one, one, np.inf)
+    return CharModel(languages, keys, log_p, context_keys, back_off, floor, 1.0, np.zeros(L), np.ones(L), np.ones(L), np.inf)
 
 
 def _tail(gram: str) -> np.ndarray:
@@ -222,9 +227,15 @@ def _tail(gram: str) -> np.ndarray:
     return np.frombuffer((_PAD * (ORDER - len(gram)) + gram).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
+def _range(apart: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Spread of longer texts' distances from the median cross-entropy, and the noise of n characters."""
+    long_ = apart[n >= np.median(n)]
+    return max(0.02, 1.4826 * np.median(np.abs(long_))), max(1.0, np.sqrt(np.mean(apart**2 * n)))
+
+
 def _calibrate(model: CharModel, rows: DataFrame) -> CharModel:
     """Sets mean and spread of the cross-entropy per language, the share of noise that shorter texts
-    add, the rejection bound (beyond every calibration row that the model gets right, by a margin)
+    add (both pooled over languages where fewer than five rows tell), the rejection bound (beyond every calibration row that the model gets right, by a margin)
     and the temperature of the score."""
     if not model.languages:
         return model
@@ -247,19 +258,17 @@ def _calibrate(model: CharModel, rows: DataFrame) -> CharModel:
     n = seen["n"].to_numpy(dtype=float)
     truth = np.array([model.languages.index(x) if x in model.languages else -1 for x in seen["lang"]])
     best = entropy.argmin(axis=1)
-    odd = []
-    for k in range(len(model.languages)):
-        own = (truth == k) & (best == k)
-        if own.sum() < 5:
-            continue
-        h, m = entropy[own, k], n[own]
-        long_ = m >= np.median(m)
-        model.mean[k] = np.median(h)
-        model.spread[k] = max(0.02, 1.4826 * np.median(np.abs(h[long_] - np.median(h[long_]))))
-        model.noise[k] = max(1.0, np.sqrt(np.mean((h - model.mean[k]) ** 2 * m)))
-        odd.append((h - model.mean[k]) / np.sqrt(model.spread[k] ** 2 + model.noise[k] ** 2 / m))
-    if odd:
-        model.reject_at = 1.5 * max(4.0, float(np.concatenate(odd).max()))
+    own = [(truth == k) & (best == k) for k in range(len(model.languages))]
+    right = np.logical_or.reduce(own)
+    if right.any():
+        middle = np.array([np.median(entropy[o, k]) if o.any() else np.nan for k, o in enumerate(own)])
+        apart, m = entropy[right, truth[right]] - middle[truth[right]], n[right]
+        pooled = _range(apart, m)
+        model.mean = np.where(np.isnan(middle), np.median(entropy[right, truth[right]]), middle)
+        for k, o in enumerate(own):
+            model.spread[k], model.noise[k] = _range(entropy[o, k] - middle[k], n[o]) if o.sum() >= 5 else pooled
+        odd = apart / np.sqrt(model.spread[truth[right]] ** 2 + model.noise[truth[right]] ** 2 / m)
+        model.reject_at = 1.5 * max(4.0, float(odd.max()))
     known = truth >= 0
     if known.any():
         gaps = (entropy - entropy.min(axis=1, keepdims=True))[known] * np.minimum(n[known], 200)[:, None]

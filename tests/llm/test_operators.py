@@ -339,6 +339,24 @@ def test_language_odd_cases(spark):
     assert {r["lang_pred"] for r in language_id.predict(frame(spark, ODD), none).collect()} == {"und"}
 
 
+def test_language_rejects_foreign_texts_of_small_languages(spark, documents):
+    """No language of this table fills the sample, one has few rows and one has a single row."""
+    taken, rows = Counter(), []
+    for i, text, lang, _ in documents:
+        taken[lang] += 1
+        if lang != "fr" or taken[lang] <= 12:
+            rows.append((i, text, lang, None))
+    rows.append((10**6, "saya suka makan nasi goreng dengan teman teman", "ms", None))
+    model = language_id.train(frame(spark, rows))
+    assert np.isfinite(model.reject_at) and "ms" in model.languages and "fr" in model.languages
+    rng = np.random.default_rng(7)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400)) for _ in range(20)]
+    foreign = ["w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie " * 4, "hyvää päivää kuinka voitte tänään minä olen erittäin hyvin kiitos " * 4, "Добрый день, как ваши дела сегодня " * 6]
+    odd = [model.predict(t) for t in letters + foreign]
+    assert not any(accepted for _, _, accepted, _ in odd)
+    assert np.mean([model.predict(t)[2] for _, t, lang, _ in documents if lang != "fr"]) >= 0.99
+
+
 def test_language_probabilities_sum_to_one():
     """Over the seen alphabet and one unseen character, after any context."""
     import pandas as pd
