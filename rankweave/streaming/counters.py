@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,26 @@ def emit_once(stream: DataFrame, late: str = "40 days") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder that the cluster names, or, where there is none, one of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return f"{context.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is now and returns its result."""
-    name = f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what there is now and returns its result, which executors write as Parquet to
+    the shared folder. In complete mode each batch writes the whole result and the newest one counts."""
+    spark = stream.sparkSession
+    folder = _folder(spark)
+    newest = [f"{folder}/rows"]
+
+    def whole(rows: DataFrame, batch: int) -> None:
+        newest[0] = f"{folder}/rows-{batch}"
+        rows.write.mode("overwrite").parquet(newest[0])
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer = writer.foreachBatch(whole) if mode == "complete" else writer.format("parquet").option("path", newest[0])
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(newest[0])

@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.plans.registry import ORACLES, QUERIES
 from tests.conftest import SF, TABLES
@@ -48,3 +49,19 @@ def test_runs(spark, name):
 def test_page_rank_sums_to_one(spark):
     total = QUERIES["MTH6"](spark, SF).groupBy().sum("rank").first()[0]
     assert abs(total - 1) < 1e-6
+
+
+@pytest.mark.parametrize("mode, form", [("append", "emit_once"), ("complete", "daily_counters")])
+def test_streams_are_drained_to_shared_files(spark, tmp_path, mode, form):
+    """Batch by batch, and no row stays in the driver."""
+    from rankweave.streaming import counters
+
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(2000)
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/events.parquet")
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = counters.drained(getattr(counters, form)(stream, "400 days"), mode)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:").strip("/")
+    assert out.inputFiles() and all(folder in f for f in out.inputFiles())
+    want = whole.selectExpr("user_id", "event_type", "to_date(ts) AS day").distinct().count() if mode == "append" else whole.count()
+    assert (out.count() if mode == "append" else out.groupBy().sum("hits").first()[0]) == want
