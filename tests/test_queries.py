@@ -65,3 +65,23 @@ def test_streams_are_drained_to_shared_files(spark, tmp_path, mode, form):
     assert out.inputFiles() and all(folder in f for f in out.inputFiles())
     want = whole.selectExpr("user_id", "event_type", "to_date(ts) AS day").distinct().count() if mode == "append" else whole.count()
     assert (out.count() if mode == "append" else out.groupBy().sum("hits").first()[0]) == want
+
+
+def test_pairs_count_members_of_many_entities(spark, duck):
+    """JOIN16 over all members, without the bound on a member's entities that its twin has."""
+    got = QUERIES["JOIN16"](spark, SF)
+    want = duck.sql("""WITH r AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS m FROM lineitem), n AS (SELECT e, count(*) AS n FROM r GROUP BY e),
+        b AS (SELECT x.e AS a, y.e AS b, count(*) AS shared FROM r x JOIN r y ON x.m = y.m AND x.e < y.e GROUP BY 1, 2), j AS (SELECT a, b, shared, shared::DOUBLE / (p.n + q.n - shared) AS jaccard FROM b JOIN n p ON a = p.e JOIN n q ON b.b = q.e)
+        SELECT * FROM j WHERE jaccard >= 0.14""")
+    a, b = rows(got.columns, [tuple(r) for r in got.collect()]), rows(want.columns, want.fetchall())
+    assert len(a) == 3752 and a == b
+
+
+def test_pairs_of_sets_with_one_hot_member(spark):
+    from rankweave.operators import matching
+
+    sets = {e: {0} | {(e * 7 + k * k) % 23 + 1 for k in range(e % 5)} | ({None} if e % 9 == 0 else set()) for e in range(90)}
+    for percent in (14, 50, 100):
+        got = matching.shared_members(spark.createDataFrame([(e, m) for e, x in sets.items() for m in x], "e long, m long"), "e", "m", percent)
+        shared = {(a, b): len((x & y) - {None}) for a, x in sets.items() for b, y in sets.items() if a < b}
+        assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == {(a, b): n for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)}
