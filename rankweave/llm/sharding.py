@@ -1,9 +1,10 @@
 """Shards of even row counts by balanced label propagation, in DataFrame functions only.
 
 Documents of equal text are linked. They start in shards drawn by a hash. In each round every group's
-documents move towards the shard that holds most of their neighbours and still has room; a shard's
-quota is its free room, shared among all that want in. Rounds end when nothing moves. Documents of one
-group in one shard are alike, so a round joins and moves counts per (group, shard): a group of any
+documents move towards the shard that holds most of their neighbours. Quotas per pair of shards are
+what the shards can exchange in cycles plus what free room takes, so full shards trade. Where no cycle
+or room is left, groups move towards their fullest shard with room. Each move lowers the cut, and
+rounds end when no such move is left. Documents of one group in one shard are alike, so a round joins and moves counts per (group, shard): a group of any
 size is at most one row a shard, and no group meets in one task. In the end the counts are handed
 out to the documents, and documents without links fill what room is left, so that row counts differ by
 one at most and slots have no gaps.
@@ -14,12 +15,13 @@ and get a slot each. An empty table gives an empty result. Other columns are not
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.shared import cut, materialised
 
-ROUNDS = 40
 BLOCK = 4096
 
 
@@ -27,28 +29,59 @@ def _start(shards: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(shards)).cast("int")
 
 
-def propagate(cells: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -> DataFrame:
-    """Moves the counts c of (g, shard) towards each group's fullest shard with room, by quotas."""
-    for step in range(rounds):
-        load = cells.groupBy("shard").agg(F.sum("c").alias("load"))
-        free = {r["shard"]: max(0, room - r["load"]) for r in load.collect()}  # one number a shard
-        open_ = F.array(*(F.lit(free.get(s, room)) for s in range(shards)))
-        held = cells.withColumn("free", F.element_at(open_, F.col("shard") + 1))
-        best = held.where("free > 0").groupBy("g").agg(F.max(F.struct("c", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("best"))
-        # A smaller part moves to the larger; of equal parts one side only.
-        wants = cells.join(best, "g").where((F.col("best.shard") != F.col("shard")) & ((F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & (F.col("best.tie") > F.xxhash64("g", "shard")))))
-        wants = cut(wants.select("g", "shard", "c", F.col("best.shard").alias("to")))
-        wanted = {r["to"]: r["w"] for r in wants.groupBy("to").agg(F.sum("c").alias("w")).collect()}
-        if not wanted:
-            break
-        share = F.array(*(F.lit(min(1.0, free.get(s, room) / wanted[s]) if s in wanted else 0.0) for s in range(shards)))
-        draw = F.xxhash64(F.lit(step), "g", "shard").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-        moved = cut(wants.select("g", "shard", "to", F.least("c", F.floor(F.col("c") * F.element_at(share, F.col("to") + 1) + draw)).alias("m")).where("m > 0"))
-        if not moved.limit(1).count():
-            break
+def quotas(wanted: dict[tuple[int, int], int], free: dict[int, int], over: dict[int, int] | None = None) -> dict[tuple[int, int], int]:
+    """Of the counts wanted per (from, to), those that cycles of shards can exchange or free room takes.
+    Room is a node of its own, reached from shards that have some; it serves shards that hold too much first."""
+    room = -1
+    left = dict(wanted) | {(s, room): n for s, n in free.items() if n > 0}
+    for out in ({(room, s): n for s, n in (over or {}).items() if n > 0}, {(room, s): sum(free.values()) for s in {a for a, _ in wanted}}):
+        left = {e: n for e, n in left.items() if e[0] != room} | out
+        to: dict[int, list[int]] = {}
+        for a, b in sorted(left):
+            to.setdefault(a, []).append(b)
+        for a, b in sorted(wanted):
+            while left[a, b] > 0:
+                came, queue = {b: b}, deque([b])
+                while queue and a not in came:
+                    at = queue.popleft()
+                    for x in to.get(at, ()):
+                        if x not in came and left[at, x] > 0:
+                            came[x] = at
+                            queue.append(x)
+                if a not in came:
+                    break
+                path, at = [(a, b)], a
+                while at != b:
+                    path.append((came[at], at))
+                    at = came[at]
+                take = min(left[e] for e in path)
+                for e in path:
+                    left[e] -= take
+    return {e: n - left[e] for e, n in wanted.items() if n > left[e]}
+
+
+def propagate(cells: DataFrame, shards: int, room: int) -> DataFrame:
+    """Moves the counts c of (g, shard) towards each group's fullest shard, by quotas of (from, to)."""
+    while True:
+        load = {r["shard"]: r["load"] for r in cells.groupBy("shard").agg(F.sum("c").alias("load")).collect()}  # one number a shard
+        free = {s: max(0, room - load.get(s, 0)) for s in range(shards)}
+        for targets in (list(range(shards)), [s for s in range(shards) if free[s]]):
+            best = cells.where(F.col("shard").isin(targets)).groupBy("g").agg(F.max(F.struct("c", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("best"))
+            # A smaller part moves to the larger; of equal parts one side only.
+            wants = cells.join(best, "g").where((F.col("best.shard") != F.col("shard")) & ((F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & (F.col("best.tie") > F.xxhash64("g", "shard")))))
+            wants = cut(wants.select("g", "shard", "c", F.col("best.shard").alias("to")))
+            wanted = {(r["shard"], r["to"]): r["w"] for r in wants.groupBy("shard", "to").agg(F.sum("c").alias("w")).collect()}  # one number a pair of shards
+            granted = quotas(wanted, free, {s: n - room for s, n in load.items()})
+            if granted or not wanted and len(targets) == shards:
+                break
+        if not granted:
+            return cells
+        most = F.array(*(F.lit(granted.get((a, b), 0)).cast("long") for a in range(shards) for b in range(shards)))
+        wants = wants.withColumn("most", F.element_at(most, F.col("shard") * shards + F.col("to") + 1)).where("most > 0")
+        before = Window.partitionBy("shard", "to").orderBy(F.xxhash64("g"), "g").rowsBetween(Window.unboundedPreceding, -1)
+        moved = cut(wants.select("g", "shard", "to", F.least("c", F.col("most") - F.coalesce(F.sum("c").over(before), F.lit(0))).alias("m")).where("m > 0"))
         change = moved.select("g", "shard", (-F.col("m")).alias("c")).union(moved.select("g", F.col("to").alias("shard"), F.col("m").alias("c")))
         cells = cut(cells.select("g", "shard", "c").union(change).groupBy("g", "shard").agg(F.sum("c").alias("c")).where("c > 0"))
-    return cells
 
 
 def _ranked(rows: DataFrame, keys: list[str], blocks: Column, more: DataFrame | None = None) -> DataFrame:
@@ -70,7 +103,7 @@ def _place(position: Column, ranges: Column) -> Column:
     return F.filter(ranges, lambda r: (r["lo"] <= position) & (position < r["hi"]))[0]
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row; row counts of shards differ by one at most."""
     text = F.coalesce("text", F.lit(""))
     base = materialised(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("g")))
@@ -79,7 +112,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) ->
     quota = [least + (s < total % shards) for s in range(shards)]
     spread = base.groupBy("g", _start(shards).alias("shard")).agg(F.count("*").alias("c"))
     groups = materialised(spread.groupBy("g").agg(F.sum("c").alias("n")).where("n > 1"))
-    cells = propagate(cut(spread.join(groups.select("g"), "g")), shards, least, rounds)
+    cells = propagate(cut(spread.join(groups.select("g"), "g")), shards, least)
     before = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     lo = F.coalesce(F.sum("c").over(before), F.lit(0))
     ranges = cells.withColumn("lo", lo).groupBy("g").agg(F.sum("c").alias("n"), F.collect_list(F.struct("shard", "lo", (F.col("lo") + F.col("c")).alias("hi"))).alias("ranges"))

@@ -201,6 +201,23 @@ def test_shards_of_one_huge_group(spark):
     assert sharding.balanced_shards(frame(spark, []), shards=5).count() == 0
 
 
+def test_shards_trade_where_all_rows_are_linked(spark):
+    """No shard has free room, so groups only meet by exchange."""
+    rows = [(i, f"text {i // 4}", None, None) for i in range(4800)]
+    out = sharding.balanced_shards(frame(spark, rows), shards=6).collect()
+    assert set(Counter(r["shard"] for r in out).values()) == {800}
+    where: dict[int, set] = {}
+    for r in out:
+        where.setdefault(r["doc_id"] // 4, set()).add(r["shard"])
+    assert np.mean([len(v) == 1 for v in where.values()]) >= 0.9
+
+
+def test_shard_quotas_exchange_in_cycles():
+    assert sharding.quotas({(0, 1): 5, (1, 2): 4, (2, 0): 3}, {}) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert sharding.quotas({(0, 1): 5, (1, 2): 4}, {2: 2}) == {(0, 1): 2, (1, 2): 2}
+    assert sharding.quotas({(0, 1): 5}, {}) == {}
+
+
 # Media.
 def test_media_round_trip(spark):
     out = media.digests(media.store_media(frame(spark, ODD))).collect()
