@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,10 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Longer texts are hashed in blocks of about so many bytes, cut between words.
+TEXT_BLOCK = 1 << 20
+_scopes: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +30,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees. A session without the
-    setting (tests, local runs) gets a folder of its own first."""
+    """A new folder below spark.checkpoint.dir, which every executor sees."""
     ensure_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+    above = _scopes[-1] if _scopes else spark.sparkContext.getCheckpointDir().rstrip("/")
+    return f"{above}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Steps that are materialised inside go below one folder, which is deleted at the end: for work whose
+    result has been written elsewhere by then."""
+    folder = shared_folder(spark)
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in the cluster's store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Takes the checkpoint folder that the cluster names; only a session without one gets its own."""
+    """Takes the checkpoint folder that the cluster names. A local session without one gets its own; on a
+    cluster a folder of one machine would lose data, so that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
 
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
+            named = tempfile.mkdtemp(prefix="spark-ckpt-")
         context.setCheckpointDir(named)
 
 
@@ -71,18 +102,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            table_ = np.full(size, base & (2**64 - 1), dtype=np.uint64)
-            table_[0] = 1
-            _powers[name] = np.multiply.accumulate(table_)
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse; kept for texts of one block, made anew for longer words."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    size = 1 << max(12, int(n - 1).bit_length())
+    tables = {}
+    for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+        table_ = np.full(size, base & (2**64 - 1), dtype=np.uint64)
+        table_[0] = 1
+        tables[name] = np.multiply.accumulate(table_)
+    if size <= 2 * TEXT_BLOCK:
+        _powers.update(tables)
+    return tables["up"], tables["down"]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a UTF-8 text, in order, without a Python
-    loop over words: a polynomial prefix sum over bytes gives any word's hash from its two ends."""
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a whole UTF-8 text, in order, without a Python
+    loop over words. Memory beyond the text and its hashes is bounded by a block or the longest word."""
+    if len(text) <= TEXT_BLOCK:
+        return _block_hashes(text)
+    parts, at = [], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + TEXT_BLOCK)
+        end = space.start() if space else len(text)
+        parts.append(_block_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _block_hashes(text: bytes) -> np.ndarray:
+    """A polynomial prefix sum over bytes gives any word's hash from its two ends."""
     data = np.frombuffer(text, dtype=np.uint8)
     if not len(data):
         return np.empty(0, dtype=np.uint64)
