@@ -6,13 +6,16 @@ language has seen gets its finished log-probability in all languages; these stan
 sorted by the 64-bit hash of the n-gram, so that scoring needs one binary search a character (and
 more only where the full context was never seen). A text goes to the language of the lowest
 cross-entropy a character. A second, disjoint part of the training rows calibrates a temperature for
-the score and, per language, the range of cross-entropies beyond which a text is rejected; languages of
-fewer than five such rows share the others' width. Only with no calibration row that the model gets
-right (no language of two ids or more) is every text with a letter accepted.
+the score (on whole rows and on short pieces of them) and, per language, how far a text's cross-entropy
+lies from its own language's; languages of fewer than five such rows share the others' width. Texts
+farther out than KEEP of the calibration rows are rejected, and their score falls off with the
+distance. Only with no calibration row that the model gets right (no language of two ids or more) is
+every text with a letter accepted.
 
 The fit uses a sample of about `max_docs` labelled rows per language, picked by a hash of doc_id at a
-rate that one count per language sets, so the model's size does not grow with the corpus. Whole texts
-are counted and scored.
+rate that one count per language sets, so the model's size does not grow with the corpus. With many
+languages the rarest full-width n-grams are left out, so that the model stays below MODEL_BYTES. Whole
+texts are counted and scored.
 
 Null texts and texts without a letter get `und`, score 0 and are rejected. Rows without lang, or with
 an empty table, teach nothing; with no language learned every text is `und`. Ties go to the language
@@ -37,6 +40,9 @@ from rankweave.llm.shared import cut, mix64
 ORDER = 4
 MAX_DOCS = 1500
 CALIBRATION_DOCS = 500
+KEEP = 0.999
+PIECE = 24
+MODEL_BYTES = 256 << 20
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _PAD = "\x02"
 
@@ -123,7 +129,8 @@ class CharModel:
         best = int(np.argmin(entropy))
         share = np.exp(-(entropy - entropy[best]) * min(n, 200) / self.temperature)
         odd = (entropy[best] - self.mean[best]) / np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / n)
-        return self.languages[best], float(1 / share.sum()), bool(odd <= self.reject_at), float(entropy[best])
+        score = np.exp(min(0.0, self.reject_at - odd)) / share.sum()
+        return self.languages[best], float(score), bool(odd <= self.reject_at), float(entropy[best])
 
 
 def _context_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -172,6 +179,9 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS, calibration_docs: int =
     for width in range(ORDER - 1, 0, -1):  # continuation counts: how many characters stand before the n-gram
         levels[width] = levels[width + 1].groupBy("lang", F.substring("gram", 2, width).alias("gram")).agg(F.count("*").alias("n"))
     tables = {}
+    least = _least_count(grams)
+    if least > 1:
+        levels[ORDER] = grams.join(grams.groupBy("gram").agg(F.max("n").alias("most")).where(F.col("most") >= least).select("gram"), "gram", "left_semi")
     for width, level in levels.items():
         known = level.where(~F.substring("gram", width, 1).eqNullSafe(F.lit(_PAD))) if width < ORDER else level
         tables[width] = known.toPandas()
@@ -180,6 +190,19 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS, calibration_docs: int =
     return _calibrate(model, sample.where("part = 1").select("lang", "text"))
 
 
+def _least_count(grams: DataFrame, most_bytes: int = MODEL_BYTES) -> int:
+    """The smallest count in any language from which on n-grams fit into the model: each takes a row of
+    one number a language. One count per count value comes to the driver, 64 at most."""
+    languages = grams.select("lang").distinct().count()
+    by_count = grams.groupBy("gram").agg(F.least(F.max("n"), F.lit(64)).alias("most")).groupBy("most").agg(F.count("*").alias("k")).collect()
+    kept = 0
+    for count, k in sorted(((r["most"], r["k"]) for r in by_count), reverse=True):
+        kept += k
+        if kept * 8 * languages > most_bytes:
+            return count + 1
+    return 1
+
+
 def _interpolate(languages: list[str], tables: dict) -> CharModel:
     index = {x: k for k, x in enumerate(languages)}
     L = len(languages)
@@ -228,15 +251,17 @@ def _tail(gram: str) -> np.ndarray:
 
 
 def _range(apart: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Spread of longer texts' distances from the median cross-entropy, and the noise of n characters."""
+    """Spread of longer texts' distances from the median cross-entropy, and the noise of n characters; by
+    medians, as a single odd row would widen a mean for all."""
     long_ = apart[n >= np.median(n)]
-    return max(0.02, 1.4826 * np.median(np.abs(long_))), max(1.0, np.sqrt(np.mean(apart**2 * n)))
+    return max(0.02, 1.4826 * np.median(np.abs(long_))), max(1.0, 1.4826 * np.median(np.abs(apart) * np.sqrt(n)))
 
 
 def _calibrate(model: CharModel, rows: DataFrame) -> CharModel:
     """Sets mean and spread of the cross-entropy per language, the share of noise that shorter texts
-    add (both pooled over languages where fewer than five rows tell), the rejection bound (beyond every calibration row that the model gets right, by a margin)
-    and the temperature of the score."""
+    add (both pooled over languages where fewer than five rows tell), the rejection bound (that which
+    KEEP of the calibration rows that the model gets right don't exceed, the largest of few rows) and
+    the temperature of the score."""
     if not model.languages:
         return model
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -246,14 +271,19 @@ def _calibrate(model: CharModel, rows: DataFrame) -> CharModel:
             out = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if simple := plain(text):
-                    entropy, n = shared.value.entropies(simple)
-                    out.append((lang, n, entropy.tolist()))
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float64()))], names=["lang", "n", "entropy"])
-
-    seen = rows.mapInArrow(run, "lang string, n long, entropy array<double>").toPandas()
-    if not len(seen):
+                    middle = max(0, (len(simple) - PIECE) // 2)
+                    for whole, part in ((True, simple), (False, simple[middle : middle + PIECE])):
+                        entropy, n = shared.value.entropies(part)
+                        out.append((lang, whole, n, entropy.tolist()))
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "whole", "n", "entropy"])
+
+    found = rows.mapInArrow(run, "lang string, whole boolean, n long, entropy array<double>").toPandas()
+    if not len(found):
         return model
+    model.temperature = _temperature(model, found)
+    seen = found[found["whole"]]
     entropy = np.stack(seen["entropy"].to_numpy())
     n = seen["n"].to_numpy(dtype=float)
     truth = np.array([model.languages.index(x) if x in model.languages else -1 for x in seen["lang"]])
@@ -268,19 +298,30 @@ def _calibrate(model: CharModel, rows: DataFrame) -> CharModel:
         for k, o in enumerate(own):
             model.spread[k], model.noise[k] = _range(entropy[o, k] - middle[k], n[o]) if o.sum() >= 5 else pooled
         odd = apart / np.sqrt(model.spread[truth[right]] ** 2 + model.noise[truth[right]] ** 2 / m)
-        model.reject_at = 1.5 * max(4.0, float(odd.max()))
-    known = truth >= 0
-    if known.any():
-        gaps = (entropy - entropy.min(axis=1, keepdims=True))[known] * np.minimum(n[known], 200)[:, None]
-        best_loss = np.inf
-        for t in np.geomspace(0.5, 50, 40):
-            share = np.exp(-gaps / t)
-            loss = -np.log(np.maximum(share[np.arange(len(share)), truth[known]] / share.sum(axis=1), 1e-6)).mean()
-            if loss < best_loss:
-                best_loss, model.temperature = loss, float(t)
+        place = min(len(odd), int(np.ceil((len(odd) + 1) * KEEP)))
+        model.reject_at = max(4.0, float(np.sort(odd)[place - 1]))
     return model
 
 
+def _temperature(model: CharModel, found: pd.DataFrame) -> float:
+    """That of the least log-loss over texts and pieces; the languages are smoothed by one more text that
+    is as likely of any, so that rows which are all right don't ask for certainty."""
+    truth = np.array([model.languages.index(x) if x in model.languages else -1 for x in found["lang"]])
+    known = truth >= 0
+    if not known.any():
+        return model.temperature
+    entropy = np.stack(found["entropy"].to_numpy())[known]
+    n = found["n"].to_numpy(dtype=float)[known]
+    gaps = (entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, 200)[:, None]
+    want = np.full(entropy.shape, 1 / (len(n) + 1) / entropy.shape[1])
+    want[np.arange(len(n)), truth[known]] += len(n) / (len(n) + 1)
+    losses = {}
+    for t in np.geomspace(0.5, 50, 60):
+        logs = -gaps / t - np.log(np.exp(-gaps / t).sum(axis=1, keepdims=True))
+        losses[float(t)] = -(want * np.maximum(logs, -14)).sum(axis=1).mean()
+    return min(losses, key=losses.get)
+
+
 def predict(docs: DataFrame, model: CharModel) -> DataFrame:
     """doc_id, lang_pred, score, accepted and entropy of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
