@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rankweave.llm import bpe, language_id, line_rules, media, mixing, near_dup, queries, sharding, toxicity, warc, weak_labels
@@ -274,16 +276,57 @@ def test_warc_rules(spark):
     assert warc.archived_index(pages(spark, [])).count() == 0
 
 
+def frame_of(content):
+    """The dictionary in an archive's leading frame."""
+    magic, size = struct.unpack_from("<II", content)
+    assert magic == 0x184D2A5D and size >= 8 and 8 + size < len(content)
+    return content[8 : 8 + size]
+
+
 def test_warc_file_round_trip():
     rng = np.random.default_rng(2)
     bodies = [("<p>" + " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 200)) + f"{k}</p>").encode() for k in range(700)]
     records = [warc.record("response", k, f"http://x/{k}", hashlib.sha1(b).hexdigest(), len(b), None, b) for k, b in enumerate(bodies)]
     content = warc.archive(records)
-    assert content[:4] == bytes.fromhex("5d2a4d18")  # the skippable frame with the dictionary comes first
+    frame_of(content)
     back = list(warc.read_archive(content))
     assert back[0][0]["WARC-Type"] == "warcinfo" and len(back) == 701
     assert [block.partition(b"\r\n\r\n")[2] for _, block in back[1:]] == bodies
     assert len(content) < sum(map(len, records)) / 4
+    with pytest.raises(ValueError):
+        list(warc.read_archive(content[:-3]))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", None])
+def test_every_archive_has_a_dictionary(spark, tmp_path, sf):
+    """Also of few pages, of one page, and of one whose payload is empty."""
+    some = [spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")] if sf else [pages(spark, [(1, "u", "x" * 5000)]), pages(spark, [(1, None, None)])]
+    ids = set()
+    for k, table in enumerate(some):
+        warc.write_archives(table, f"{tmp_path}/{k}")
+        written = spark.read.parquet(f"{tmp_path}/{k}").collect()
+        assert sum(r["records"] for r in written) == table.count()
+        for r in written:
+            words = zstandard.ZstdCompressionDict(frame_of(r["content"]))
+            heads = [h for h, _ in warc.read_archive(r["content"])]
+            assert heads[0]["WARC-Type"] == "warcinfo" and len(heads) == r["records"] + 1
+            ids |= {h["WARC-Record-ID"] for h in heads}
+            plain = zstandard.ZstdDecompressor()  # records are packed with the dictionary, not beside it
+            if words.dict_id():
+                with pytest.raises(zstandard.ZstdError):
+                    plain.decompressobj().decompress(r["content"][8 + len(frame_of(r["content"])) :])
+        assert len(ids) == sum(r["records"] + 1 for r in written)
+        ids.clear()
+
+
+def test_warc_copies_by_shuffle_and_null_ids(spark, monkeypatch):
+    rows = [(i, f"u{i}", "z" * 1200) for i in range(1, 40)] + [(None, "n", "z" * 1200), (None, "n", "y" * 1200), (None, "n", "y" * 1200), (50, "u", "w" * 1100), (None, None, "w" * 1100)]
+    want = sorted((i, 39 if h[0] == "z" and i != 39 else 50 if h[0] == "w" and i != 50 else None) for i, _, h in rows if i) + [39, None, None, 50]
+    for most in (warc.BROADCAST_DIGESTS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+        out = warc.archived_index(pages(spark, rows)).collect()
+        named = sorted((r["page_id"], r["refers_to"]) for r in out if r["page_id"])
+        assert named == want[:40] and sorted(r["refers_to"] or 0 for r in out if not r["page_id"]) == [0, 0, 39, 50]
 
 
 # Line rules.
@@ -346,6 +389,43 @@ def test_language_held_out(spark, documents):
     assert np.mean([r["accepted"] for r in got.values()]) >= 0.99
 
 
+FOREIGN = {
+    "ru": "Мама мыла раму, а потом мы пошли гулять в парк и долго смотрели на реку.",
+    "ja": "今日はとても天気がいいので、公園へ散歩に行きました。そして友達に会いました。",
+    "pl": "Wczoraj poszliśmy do lasu na grzyby, ale niestety nic nie znaleźliśmy, więc wróciliśmy do domu.",
+    "fi": "Eilen kävimme metsässä keräämässä sieniä, mutta emme löytäneet mitään ja palasimme kotiin.",
+    "noise": "asdkjh qwpeoi zxmcnb lkjasd qpwoei zmxncb alskdj qowiep mznxbc laksjd qwertz hjklfd",
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_language_rejects_foreign_texts_and_noise(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.train(docs.where(~held_out))
+    for text in FOREIGN.values():
+        _, score, accepted, _ = model.predict(text)
+        assert not accepted and score < 0.1
+    lettered = docs.where(held_out & F.col("text").rlike(r"\p{L}"))
+    assert language_id.predict(lettered, model).agg(F.avg(F.col("accepted").cast("int"))).first()[0] >= 0.99
+
+
+def test_pipeline_drops_planted_foreign_rows(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = spark.createDataFrame([(10**9 + k, t, None, "web", len(t)) for k, t in enumerate(FOREIGN.values())], docs.schema)
+    after = corpus_pipeline.STAGES[0][1](spark, docs.union(planted), SF)
+    kept = {r[0] for r in after.select("doc_id").collect()}
+    assert not any(i >= 10**9 for i in kept) and len(kept) >= 0.985 * docs.count()
+
+
+def test_language_model_stays_within_its_bytes(spark):
+    grams = spark.createDataFrame([("x", f"g{k:03}", 1 + k % 7) for k in range(700)], "lang string, gram string, n long")
+    assert language_id._least_count(grams) == 1
+    assert language_id._least_count(grams, most_bytes=8 * 250) == 6  # counts 6 and 7 are 200 n-grams, 5 would make 300
+
+
 def test_language_odd_cases(spark):
     rows = [(i, t, lang, None) for i, (t, lang) in enumerate([("the cat and the dog sat on the mat", "en"), ("le chat et le chien sont sur le tapis", "fr")] * 20)]
     model = language_id.train(frame(spark, rows))
