@@ -9,13 +9,17 @@ sketch name buckets; candidate pairs are confirmed on the full sets; links make
 
 No bucket is expanded into all its pairs. Each bucket first compares its members with a few leaders
 only. Where a bucket then still holds several components, members of different components are
-compared directly in small buckets, and by an exact prefix join on the rarest shingles in larger ones.
-Every pair that shares a bucket is thus confirmed, refuted or already connected.
+compared directly in small buckets, and by an exact prefix join on the rarest shingles in larger ones,
+where a shingle of many sets meets itself in blocks. Pairs are ruled out unseen only by sizes and
+parities, which never rule out a pair over the bound; so every pair that shares a bucket is confirmed,
+refuted or already connected.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing. Texts with
 fewer words than a shingle count as one shingle. Rows that repeat (the same doc_id twice) are one
-document and each come back, in the same class. An empty table gives an empty result. Other columns are not read, so names
-can't clash.
+document and each come back, in the same class, also where their texts differ: then the document is
+linked by any of them. Rows with a null doc_id are documents without a name: their class is named by
+its smallest doc_id, or by null where it has none. An empty table gives an empty result. Other columns
+are not read, so names can't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.memory import give_back
@@ -35,6 +39,10 @@ BAND_ROWS = 5
 SMALL_BUCKET = 32
 PARITY_WORDS = 16
 BROADCAST_IDS = 1 << 18
+#: Sets of one shingle that a task compares with as many others at most.
+SIDE = 512
+#: Names of rows without one start here; named documents have smaller ids.
+UNNAMED = 1 << 62
 LEADERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, 4 * 4096, dtype=np.uint64)
 
@@ -72,17 +80,22 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     give_back()
 
 
+def _digest(items: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    return int(np.bitwise_xor.reduce(mix64(items)).view(np.int64)), int(np.add.reduce(items).view(np.int64))
+
+
 def _sketch_rows(width: int, bins: int, band_rows: int):
-    """Size, digest, one-bit coordinates and band keys of each text's set."""
+    """Size, digest and band keys of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            rows: list[tuple[int, int, int, int, int]] = []
+            rows: list[tuple[int, int, int]] = []
             bands = []
             for text in batch.column(1):
                 items = shingle_set(text.as_py(), width)
                 if not len(items):
-                    rows.append((0, 0, 0, 0, 0))
+                    rows.append((0, 0, 0))
                     bands.append(np.empty(0, np.int64))
                     continue
                 sketch = fast_similarity_sketch(items, bins)
@@ -90,17 +103,14 @@ def _sketch_rows(width: int, bins: int, band_rows: int):
                 key = np.arange(len(grid), dtype=np.uint64)
                 for column in grid.T:
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + column)
-                bits = np.packbits((sketch[:128] & np.uint64(1)).astype(np.uint8)).view(np.int64)
-                digest = (np.bitwise_xor.reduce(mix64(items)), np.add.reduce(items))
-                rows.append((len(items), *(int(x.view(np.int64)) for x in digest), int(bits[0]), int(bits[1])))
+                rows.append((len(items), *_digest(items)))
                 bands.append(key.view(np.int64))
             offsets = np.zeros(len(bands) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in bands], out=offsets[1:])
             flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64), pa.int64())
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                names=["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "bands"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "n_shingles", "d1", "d2", "bands"]
             )
 
     return run
@@ -114,15 +124,19 @@ def _parity(items: np.ndarray) -> np.ndarray:
 
 
 def _full_sets(width: int):
+    """The full set of each text, with its name and parities."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            sets = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column(1)]
+            sets = [shingle_set(text.as_py(), width) for text in batch.column(0)]
+            names = [(len(x), *_digest(x)) if len(x) else (0, 0, 0) for x in sets]
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in sets], out=offsets[1:])
-            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64), pa.int64())
             bits = pa.array(np.concatenate([_parity(x) for x in sets]) if sets else np.empty(0, np.int64), pa.int64())
             parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=["id", "items", "parity"])
+            columns = zip(*names, strict=True) if names else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=["n_shingles", "d1", "d2", "items", "parity"])
 
     return run
 
@@ -143,82 +157,108 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
+def _name() -> Column:
+    """doc_id; rows without one get a name by their text, behind all others."""
+    return F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED)))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """id and text of each row."""
+    return docs.select(_name().alias("id"), "text")
+
+
 def _pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of some documents. Up to BROADCAST_IDS ids (a few MB) go to all tasks; more are joined
     by a shuffle."""
-    ids = materialised(ids.select(F.col("id").alias("doc_id")).distinct())
+    ids = materialised(ids.select("id").distinct())
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
 def _likely(percent: int) -> Column:
-    """Over columns na, nb, a1, a2, b1, b2, pa, pb: rules out pairs that can't reach the bound, by
-    their sizes, by 128 one-bit coordinates (a pair at 80 percent agrees on 115 on average, with a
-    deviation of 3.4, and on fewer than 95 with a probability of 1e-8), and by the parities, which
-    never rule out a pair over the bound."""
-    agree = 128 - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    """Over columns na, nb, pa, pb: rules out pairs that can't reach the bound, by sizes and parities."""
     differ = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITY_WORDS)), F.lit(0))
-    return (
-        (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (agree >= (95 if percent >= 80 else 0))
-        & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-    )
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
 def _sides(rows: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a self-join of rows that have id, n, s1, s2, parity and perhaps component."""
-    names = (("a", "na", "a1", "a2", "pa", "ca"), ("b", "nb", "b1", "b2", "pb", "cb"))
+    """Both sides of a self-join of rows that have node, n, parity and perhaps component."""
+    names = (("a", "na", "pa", "ca"), ("b", "nb", "pb", "cb"))
     more = ["component"] if "component" in rows.columns else []
-    return tuple(rows.select(*keep, *(F.col(c).alias(x) for c, x in zip(("id", "n", "s1", "s2", "parity", *more), n, strict=False))) for n in names)
+    return tuple(rows.select(*keep, *(F.col(c).alias(x) for c, x in zip(("node", "n", "parity", *more), n, strict=False))) for n in names)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of distinct pairs (a, b) whose full sets reach the bound."""
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     return cut(met.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b"))
 
 
 def _led_pairs(members: DataFrame, info: DataFrame, masks: tuple[int, ...], percent: int) -> DataFrame:
     """Likely pairs of each bucket's members with as many leaders of the bucket as there are masks:
-    for each mask the member whose id comes first once the mask's bits are flipped."""
+    for each mask the member whose node comes first once the mask's bits are flipped."""
     flipped = lambda c, m: F.col(c).bitwiseXOR(F.lit(m))
-    leaders = members.groupBy("key").agg(*(F.min(flipped("id", m)).alias(f"l{k}") for k, m in enumerate(masks)))
-    led = members.join(leaders, "key").select("id", F.explode(F.array_distinct(F.array(*(flipped(f"l{k}", m) for k, m in enumerate(masks))))).alias("leader"))
-    pairs = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    leaders = members.groupBy("key").agg(*(F.min(flipped("node", m)).alias(f"l{k}") for k, m in enumerate(masks)))
+    led = members.join(leaders, "key").select("node", F.explode(F.array_distinct(F.array(*(flipped(f"l{k}", m) for k, m in enumerate(masks))))).alias("leader"))
+    pairs = led.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     left, right = _sides(info)
     return materialised(pairs.join(left, "a").join(right, "b").where(_likely(percent)).select("a", "b"))
 
 
+def _same_document(sketches: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """Links between the sets of rows that repeat an id with different texts; None without such rows."""
+    key = F.struct("n_shingles", "d1", "d2")
+    several = cut(sketches.where("n_shingles > 0").groupBy("id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low < high").select("id"))
+    if not several.limit(1).count():
+        return None
+    rows = sketches.select("id", "n_shingles", "d1", "d2").join(several, "id").distinct().join(groups.select("n_shingles", "d1", "d2", "node"), ["n_shingles", "d1", "d2"])
+    first = rows.groupBy("id").agg(F.min("node").alias("a"))
+    return cut(rows.join(first, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, band_rows: int = BAND_ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept for each row.
 
     With 160 bins in bands of 5, a pair at the bound shares no bucket with probability
     (1 - 0.8**5)**32 = 3e-6, and less above it.
     """
-    texts = docs.select("doc_id", "text")
-    sketches = materialised(texts.mapInArrow(_sketch_rows(width, bins, band_rows), "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"))
+    found = classes(_named(docs), width, percent, bins, band_rows, small_bucket)
+    own = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))
+    return found.select(own("id").alias("doc_id"), "n_shingles", own("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def classes(texts: DataFrame, width: int, percent: int, bins: int = BINS, band_rows: int = BAND_ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """id, n_shingles and component_id of each row of (id, text)."""
+    sketches = materialised(texts.mapInArrow(_sketch_rows(width, bins, band_rows), "id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     key = ["n_shingles", "d1", "d2"]
-    # One representative for each different set; only its bands, sketch and links matter from here on.
-    groups = materialised(sketches.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "s1", "s2", "bands")).alias("r")).select(*key, F.col("r.doc_id").alias("id"), "r.s1", "r.s2", "r.bands"))
-    buckets = groups.select("id", F.explode("bands").alias("key"))
+    # One node for each different set, numbered once as it is written; only its bands and links matter from here on.
+    alike = sketches.where("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    groups = materialised(alike.withColumn("node", F.monotonically_increasing_id()))
+    buckets = groups.select("node", "id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = materialised(buckets.join(shared, "key").select("key", "id", "members"))
-    sets = materialised(_pick(texts, members).mapInArrow(_full_sets(width), "id long, items array<long>, parity array<long>").dropDuplicates(["id"]))
-    info = materialised(groups.select("id", F.col("n_shingles").alias("n"), "s1", "s2").dropDuplicates(["id"]).join(sets.select("id", "parity"), "id"))
+    members = materialised(buckets.join(shared, "key").select("key", "node", "id", "members"))
+    met = materialised(members.select("node").distinct())
+    full = _pick(texts, members).select("text").mapInArrow(_full_sets(width), "n_shingles long, d1 long, d2 long, items array<long>, parity array<long>")
+    wanted = groups.join(met, "node", "left_semi").select(*key, "node")
+    sets = materialised(full.join(wanted, key).select("node", "n_shingles", "items", "parity").dropDuplicates(["node"]))
+    info = sets.select("node", F.col("n_shingles").alias("n"), "parity")
     links = _confirmed(_led_pairs(members, info, LEADERS, percent), sets, percent)
+    if (same := _same_document(sketches, groups)) is not None:
+        links = links.union(same)
     component = connected_components(links)
     rest = _split_buckets(members, component, info, sets, percent, small_bucket)
     if rest is not None:
         component = connected_components(links.union(rest))
-    classes = groups.join(component, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
-    full = sketches.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return full.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    placed = groups.join(component.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")).select(*key, "id", "component")
+    lowest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = placed.join(lowest, "component").select(*key, "component_id")
+    return sketches.select("id", *key).join(named, key, "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _open_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components."""
-    placed = members.join(component, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
+    placed = members.join(component.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     return materialised(placed.join(mixed, "key"))
 
@@ -226,11 +266,11 @@ def _open_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
 def _split_buckets(members: DataFrame, component: DataFrame, info: DataFrame, sets: DataFrame, percent: int, small_bucket: int) -> DataFrame | None:
     """Links between members of one bucket that the leaders' links have not connected: directly in
     small buckets, by an exact prefix join in larger ones."""
-    open_ = _open_buckets(members, component).join(info, "id")
+    open_ = _open_buckets(members, component).join(info, "node")
     left, right = _sides(open_.where(F.col("members") <= small_bucket), "key")
     direct = left.join(right, (left["key"] == right["key"]) & F.expr("a < b and ca <> cb") & _likely(percent)).select("a", "b").distinct()
     found = _confirmed(direct, sets, percent)
-    large = materialised(open_.where(F.col("members") > small_bucket).select("id", "n", "s1", "s2", "parity", "component").dropDuplicates(["id"]))
+    large = materialised(open_.where(F.col("members") > small_bucket).select("node", "n", "parity", "component").dropDuplicates(["node"]))
     if large.limit(1).count():
         found = found.union(_prefix_links(large, sets, percent))
     return found if found.limit(1).count() else None
@@ -238,30 +278,39 @@ def _split_buckets(members: DataFrame, component: DataFrame, info: DataFrame, se
 
 def _prefix_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact for any bucket size: two sets over the bound share one of their rarest
-    n - ceil(n * percent / 100) + 1 shingles, whatever the order, so only these are joined."""
-    tokens = materialised(sets.join(large.select("id"), "id", "left_semi").select("id", F.size("items").alias("n"), F.explode("items").alias("item")).distinct())
+    n - ceil(n * percent / 100) + 1 shingles, whatever the order, so only these are joined. A shingle of
+    many sets is dealt into blocks of about SIDE, and each block meets each other in a group of its own."""
+    tokens = materialised(sets.join(large.select("node"), "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("item")))
     often = tokens.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(often, "item", "left").select("id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item").alias("t"))
-    prefix = ranked.groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("t")).alias("ts")).select(
-        "id", F.explode(F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("t")
+    ranked = tokens.join(often, "item", "left").select("node", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item").alias("t"))
+    prefix = ranked.groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("t")).alias("ts")).select(
+        "node", F.explode(F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("t")
     )
-    placed = materialised(prefix.where("t.df > 1").select("id", F.col("t.item").alias("item")).join(large, "id"))
-    mixed = placed.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("item")
-    left, right = _sides(placed.join(mixed, "item"), "item")
-    near = (left["item"] == right["item"]) & F.expr("a < b and ca <> cb") & _likely(percent)
-    return _confirmed(left.join(right, near).select("a", "b").distinct(), sets, percent)
+    placed = materialised(prefix.where("t.df > 1").select("node", F.col("t.item").alias("item")).join(large.select("node", "component"), "node"))
+    counted = placed.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / SIDE).cast("int").alias("blocks"))
+    mixed = placed.join(counted.where("low < high").select("item", "blocks"), "item").join(large.drop("component"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left, right = _sides(mixed.withColumn("x", own).withColumn("y", other), "item", "x", "y")[0], _sides(mixed.withColumn("y", own).withColumn("x", other), "item", "x", "y")[1]
+    near = left.join(right, ["item", "x", "y"]).where(F.expr("a < b and ca <> cb") & _likely(percent))
+    return _confirmed(near.select("a", "b").distinct(), sets, percent)
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, with one document of each class: that with the smallest doc_id.
-    Of rows that repeat a doc_id one stays."""
-    classes = materialised(near_duplicates(docs, width, percent))
-    dropped = classes.where(~F.col("kept")).select("doc_id").distinct()
+    """The rows of `docs`, all columns, with one document of each class: that with the smallest doc_id; a
+    document without doc_id stays where its class has none with one. Of rows that repeat a doc_id, and of
+    equal ones without, that stays whose row comes first by text."""
+    found = materialised(classes(_named(docs), width, percent))
+    dropped = found.where("id <> component_id").select("id").distinct()
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
-    return left.dropDuplicates(["doc_id"]) if _repeats(classes) else left
+    keyed = docs.withColumn("__id", _name())
+    left = keyed.join(F.broadcast(dropped) if few else dropped, keyed["__id"] == dropped["id"], "left_anti")
+    if _repeats(found):
+        first = Window.partitionBy("__id").orderBy("text", F.xxhash64(*docs.columns))
+        left = left.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
+    return left.select(*docs.columns)
 
 
-def _repeats(classes: DataFrame) -> bool:
-    """Whether a doc_id comes twice."""
-    return classes.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def _repeats(found: DataFrame) -> bool:
+    """Whether an id comes twice."""
+    return found.groupBy("id").count().where("count > 1").limit(1).count() > 0
