@@ -3,9 +3,10 @@
 Each source has a target in words; a document of it should be taken target / source_size times. The
 whole part is certain. The fractions are rounded in pairs: of two documents one gives words of its
 fraction to the other, in a direction drawn so that both keep their expectation, until one of them is
-0 or 1. The words of a pair stay the same, so a source as a whole misses its target only by rounding
-the one fraction that is open in the end (to its nearer end, so by half that document at most). A block of about FAN documents is folded pair by pair and hands one open
-fraction up; the open fractions of about FAN blocks meet in a block of the next level, and so on: a
+0 or 1. The words of a pair stay the same, so a source as a whole misses its target only by the one
+fraction that is open in the end, which is drawn too: each document is taken as often as it should be
+in expectation, a source's only one as well. A block of about FAN documents is folded pair by pair,
+the longest first, so that mostly a short one is left, and hands this open fraction up; the open fractions of about FAN blocks meet in a block of the next level, and so on: a
 reduction tree of depth log_FAN(rows) whose blocks are of even size whatever the sources' sizes.
 
 Draws come from hashes of ids, so reruns agree. Rows that repeat (the same doc_id, source and size)
@@ -89,12 +90,12 @@ def _rounded(fractions: DataFrame, largest: int, fan: int) -> DataFrame:
         depth += 1
         blocks = -(-blocks // fan)
         n_blocks = F.ceil(F.col("n") / fan).cast("long")
-        dealt = level.select("source", n_blocks.alias("n"), F.pmod(F.xxhash64(F.lit(f"level {depth}"), "doc_id", "size"), n_blocks).alias("block"), F.struct(F.xxhash64(F.lit("order"), "doc_id").alias("at"), "doc_id", "size", "repeats", "x").alias("item"))
+        dealt = level.select("source", n_blocks.alias("n"), F.pmod(F.xxhash64(F.lit(f"level {depth}"), "doc_id", "size"), n_blocks).alias("block"), F.struct((-F.col("size") * F.col("repeats")).alias("longest"), F.xxhash64(F.lit("order"), "doc_id").alias("at"), "doc_id", "size", "repeats", "x").alias("item"))
         folded = cut(dealt.groupBy("source", "block").agg(F.first("n").alias("n"), _fold(F.sort_array(F.collect_list("item"))).alias("f")))
         done.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.*"))
         level = folded.select("source", "n", "f.doc_id", "f.size", "f.repeats", "f.x")
         if blocks <= 1:
-            last = (F.col("x") >= 0.5).cast("int")  # the nearer end: at most half a document's words off
+            last = (_unit(F.lit("last"), "doc_id", "size") < F.col("x")).cast("int")
             done.append(level.select("source", "doc_id", "size", "repeats", last.alias("extra")))
             break
     out = done[0]
