@@ -9,8 +9,8 @@ that one count per class sets, with weights that restore the classes' shares. Wh
 on and scored; all documents are scored.
 
 Null and empty texts have no sentence and score the model's share for an empty sentence, near 0. Rows
-without a label teach nothing; without any labelled row, or with one class only, every score is the
-share of toxic rows seen (0 without rows). Repeated rows score alike. Only doc_id, text and the label
+without a label teach nothing; without any labelled row, or with one class only among those that have
+words, every score is the share of toxic rows seen (0 without rows). Repeated rows score alike. Only doc_id, text and the label
 are read.
 """
 
@@ -114,8 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, steps: i
     picked = known.where(at < rate).withColumn("weight", 1 / rate)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     found = rows.select("label", "weight", "text").mapInArrow(_bags, "label int, weight double, features array<int>, ends array<int>").toArrow()
-    if len(set(found["label"].to_pylist())) < 2:
-        return ToxicityModel(-30.0, {})
+    classes = set(found["label"].to_pylist())
+    if len(classes) < 2:  # the documents at hand are of one class, or none has words
+        return ToxicityModel(30.0 if 1 in classes else -30.0, {})
     return _fit(found, steps)
 
 
