@@ -23,12 +23,21 @@ from pyspark.sql import functions as F
 from rankweave.llm.shared import cut, materialised
 
 BLOCK = 4096
+#: A group is ranked in blocks of about so many rows.
+GROUP_BLOCK = 128
+#: So many blocks' offsets are summed up in one task.
+FAN = 1024
 
 
 def _start(shards: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(shards)).cast("int")
 
 
+def _text_key(text: Column) -> Column:
+    """128 bits that name a text; equal texts only share it."""
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2"))
+
+
 def quotas(wanted: dict[tuple[int, int], int], free: dict[int, int], over: dict[int, int] | None = None) -> dict[tuple[int, int], int]:
     """Of the counts wanted per (from, to), those that cycles of shards can exchange or free room takes.
     Room is a node of its own, reached from shards that have some; it serves shards that hold too much first."""
@@ -65,14 +74,16 @@ def propagate(cells: DataFrame, shards: int, room: int) -> DataFrame:
     while True:
         load = {r["shard"]: r["load"] for r in cells.groupBy("shard").agg(F.sum("c").alias("load")).collect()}  # one number a shard
         free = {s: max(0, room - load.get(s, 0)) for s in range(shards)}
-        for targets in (list(range(shards)), [s for s in range(shards) if free[s]]):
-            best = cells.where(F.col("shard").isin(targets)).groupBy("g").agg(F.max(F.struct("c", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("best"))
-            # A smaller part moves to the larger; of equal parts one side only.
-            wants = cells.join(best, "g").where((F.col("best.shard") != F.col("shard")) & ((F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & (F.col("best.tie") > F.xxhash64("g", "shard")))))
+        everywhere, roomy = list(range(shards)), [s for s in range(shards) if free[s]]
+        for targets, sign in ((everywhere, 0), (everywhere, -1), (roomy, 0)):
+            tie = F.xxhash64("g", "shard").bitwiseXOR(F.lit(sign).cast("long"))
+            best = cells.where(F.col("shard").isin(targets)).groupBy("g").agg(F.max(F.struct("c", tie.alias("tie"), "shard")).alias("best"))
+            # A smaller part moves to the larger; of equal parts one side only, and the other if that is of no use.
+            wants = cells.join(best, "g").where((F.col("best.shard") != F.col("shard")) & ((F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & (F.col("best.tie") > tie))))
             wants = cut(wants.select("g", "shard", "c", F.col("best.shard").alias("to")))
             wanted = {(r["shard"], r["to"]): r["w"] for r in wants.groupBy("shard", "to").agg(F.sum("c").alias("w")).collect()}  # one number a pair of shards
             granted = quotas(wanted, free, {s: n - room for s, n in load.items()})
-            if granted or not wanted and len(targets) == shards:
+            if granted or not wanted and targets == everywhere:
                 break
         if not granted:
             return cells
@@ -86,12 +97,15 @@ def propagate(cells: DataFrame, shards: int, room: int) -> DataFrame:
 
 def _ranked(rows: DataFrame, keys: list[str], blocks: Column, more: DataFrame | None = None) -> DataFrame:
     """rows with `rank`, from 0 without gaps within the keys: rows are dealt into blocks by a hash,
-    the blocks' counts give offsets, and only a block is ever sorted in one task. `more` has columns
-    to add by the keys."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("rank"), "doc_id"), blocks))
-    counts = salted.groupBy(*keys, "salt").agg(F.count("*").alias("k"))
-    above = Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("k").over(above), F.lit(0))).drop("k")
+    the blocks' counts give offsets in two levels, and only a block is ever sorted in one task. `more`
+    has columns to add by the keys."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("rank"), "doc_id", "size", "text_crc32"), blocks))
+    counts = cut(salted.groupBy(*keys, "salt").agg(F.count("*").alias("k")).withColumn("part", F.floor(F.col("salt") / FAN)))
+    before = lambda *by: Window.partitionBy(*keys, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(*keys, "part").agg(F.sum("k").alias("k"))
+    parts = parts.select(*keys, "part", F.coalesce(F.sum("k").over(before("part")), F.lit(0)).alias("above"))
+    offsets = counts.withColumn("inside", F.coalesce(F.sum("k").over(before("part", "salt")), F.lit(0))).join(parts, [*keys, "part"])
+    offsets = offsets.select(*keys, "salt", (F.col("above") + F.col("inside")).alias("offset"))
     if more is not None:
         offsets = offsets.join(more, keys)
     inside = Window.partitionBy(*keys, "salt").orderBy("doc_id", "size", "text_crc32")
@@ -106,7 +120,7 @@ def _place(position: Column, ranges: Column) -> Column:
 def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row; row counts of shards differ by one at most."""
     text = F.coalesce("text", F.lit(""))
-    base = materialised(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("g")))
+    base = materialised(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _text_key(text).alias("g")))
     total = base.count()
     least = total // shards
     quota = [least + (s < total % shards) for s in range(shards)]
@@ -117,7 +131,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     lo = F.coalesce(F.sum("c").over(before), F.lit(0))
     ranges = cells.withColumn("lo", lo).groupBy("g").agg(F.sum("c").alias("n"), F.collect_list(F.struct("shard", "lo", (F.col("lo") + F.col("c")).alias("hi"))).alias("ranges"))
     sized = base.join(groups, "g", "left")
-    linked = sized.where("n is not null").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n")
+    linked = sized.where("n is not null").withColumn("blocks", F.ceil(F.col("n") / GROUP_BLOCK)).drop("n")
     in_group = _ranked(linked, ["g"], F.col("blocks"), ranges)
     placed = materialised(in_group.select("doc_id", "size", "text_crc32", _place(F.col("rank"), F.col("ranges"))["shard"].alias("shard")))
     in_shard = _ranked(placed, ["shard"], F.lit(max(1, -(-total // (shards * BLOCK)))))
@@ -135,3 +149,12 @@ def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     loose = loose.withColumn("at", _place(F.col("rank"), F.array(*spans)))
     filled = loose.select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), (F.col("at.used") + F.col("rank") - F.col("at.lo")).alias("slot"))
     return fixed.union(filled)
+
+
+def links_cut(placed: DataFrame) -> DataFrame:
+    """links and cut: pairs of rows of equal text, and those of them that lie in different shards, of rows
+    with text and shard. Counted by group and shard; no pair is formed."""
+    cells = placed.groupBy(_text_key(F.coalesce("text", F.lit(""))).alias("g"), "shard").agg(F.count("*").cast("decimal(38,0)").alias("c"))
+    groups = cells.groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("inside"))
+    links, inside = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)), F.coalesce(F.sum("inside"), F.lit(0))
+    return groups.agg((links / 2).cast("long").alias("links"), ((links - inside) / 2).cast("long").alias("cut"))
