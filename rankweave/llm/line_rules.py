@@ -3,7 +3,7 @@ goes with them.
 
 Rules of a line (the first that applies names it): `symbols` (a tenth or more of its visible characters
 are of `#*$%&|<>{}`), `navigation` (separators between short entries), `boilerplate` (a stock phrase
-such as a cookie notice), `punctuation` (a line of more than `heading_words` words without sentence
+of one of four languages, such as a cookie notice), `punctuation` (a line of more than `heading_words` words without sentence
 punctuation at its end). Lines without words are neither judged nor counted.
 
 Before that, whole-document counts rule out short or repetitive texts: fewer than `least_words` words, or
@@ -32,22 +32,40 @@ SYMBOLS = b"#*$%&|<>"
 _LINE_SYMBOLS = re.compile(r"[#*$%&|<>{}]")
 _SEPARATORS = re.compile(r"(?:^|\s)(?:[|>»›·•/]|::|-{1,2})(?=\s|$)")
 _ENDS = re.compile(r"[.!?…:;。！？]['\"”’»)\]]*$")
-_STOCK = re.compile(
-    r"\b(?:cookies? (?:policy|notice|settings)|accept (?:all )?cookies|all rights reserved|terms (?:of (?:use|service)|and conditions)|privacy policy|"
-    r"(?:enable|turn on) javascript|sign (?:in|up)|log ?in|subscribe (?:now|to our)|skip to content|click here|share (?:this|on)|read more|back to top)\b",
-    re.IGNORECASE,
-)
-
-
-def failed_rule(line: str, words: int, heading_words: int = HEADING_WORDS) -> str | None:
-    """The rule that a line with words breaks, if any."""
+#: Stock phrases by language. Each holds one of HINTS, by which most texts are let through at once.
+STOCK = {
+    "en": r"cookies? (?:policy|notice|settings)|accept (?:all )?cookies|all rights reserved|terms (?:of (?:use|service)|and conditions)|privacy policy|"
+    r"(?:enable|turn on) javascript|sign (?:in|up)|log ?in|subscribe (?:now|to our)|skip to content|click here|share (?:this|on)|read more|back to top",
+    "fr": r"tous droits réservés|politique de (?:confidentialité|cookies)|mentions légales|conditions (?:générales|d['’]utilisation)|(?:accepter|gérer) (?:tous )?les cookies|"
+    r"active[rz] javascript|se connecter|connectez-vous|inscrivez-vous|abonnez-vous|aller au contenu|cliquez ici|lire la suite|partager (?:sur|cet)|haut de page",
+    "de": r"alle rechte vorbehalten|datenschutz(?:erklärung|hinweise?|bestimmungen)?|impressum|nutzungsbedingungen|allgemeine geschäftsbedingungen|cookie-(?:richtlinie|einstellungen|hinweis)|"
+    r"(?:alle )?cookies akzeptieren|javascript aktivieren|(?:jetzt )?anmelden|registrieren|newsletter abonnieren|zum inhalt springen|hier klicken|weiterlesen|mehr lesen|nach oben",
+    "es": r"todos los derechos reservados|política de (?:privacidad|cookies)|aviso legal|términos y condiciones|condiciones de uso|aceptar (?:todas )?(?:las )?cookies|"
+    r"activ(?:ar|e) javascript|iniciar sesión|inicia sesión|regístrate|suscríbete|suscribirse|saltar al contenido|haga clic aquí|haz clic aquí|leer más|compartir en|volver arriba",
+}
+HINTS = (
+    "cookie", "rights", "terms of", "terms and", "privacy", "javascript", "sign in", "sign up", "login", "log in", "subscribe", "skip to", "click here", "share ", "read more", "back to top",
+    "droits", "confidentialité", "légales", "conditions", "connecter", "connectez", "inscrivez", "abonnez", "aller au", "cliquez", "lire la", "partager", "haut de",
+    "rechte", "datenschutz", "impressum", "bedingungen", "anmelden", "registrieren", "abonnieren", "zum inhalt", "klicken", "weiterlesen", "mehr lesen", "nach oben",
+    "derechos", "privacidad", "aviso legal", "términos", "condiciones", "sesión", "regístrate", "suscrí", "suscribirse", "saltar al", "haga clic", "haz clic", "leer más", "compartir", "volver arriba",
+)
+_STOCK = re.compile(r"\b(?:" + "|".join(STOCK.values()) + r")\b")
+
+
+def has_hint(text: str) -> bool:
+    """Whether a lower-case text may hold a stock phrase."""
+    return any(hint in text for hint in HINTS)
+
+
+def failed_rule(line: str, words: int, heading_words: int = HEADING_WORDS, hinted: bool = True) -> str | None:
+    """The rule that a line with words breaks, if any. `hinted` is false where no line has a stock phrase."""
     bare = line.strip()
     symbols = len(_LINE_SYMBOLS.findall(bare))
     if not bare or symbols and 10 * symbols >= sum(map(len, bare.split())):
         return "symbols"
     if (cuts := len(_SEPARATORS.findall(bare))) >= 2 and 4 * cuts >= words:
         return "navigation"
-    if words <= 25 and _STOCK.search(bare):
+    if hinted and words <= 25 and _STOCK.search(bare.lower()):
         return "boilerplate"
     if words > heading_words and not _ENDS.search(bare):
         return "punctuation"
@@ -57,9 +75,10 @@ def failed_rule(line: str, words: int, heading_words: int = HEADING_WORDS) -> st
 def clean(text: str | None, heading_words: int = HEADING_WORDS) -> tuple[str, int, int, dict[str, int]]:
     """The text without failing lines, its words before and after, and the failed lines by rule."""
     lines, before, after, failed = [], 0, 0, {}
+    hinted = has_hint((text or "").lower())
     for line in (text or "").split("\n"):
         words = len(line.encode("utf-8", "surrogatepass").split())
-        rule = failed_rule(line, words, heading_words) if words else None
+        rule = failed_rule(line, words, heading_words, hinted) if words else None
         before += words
         if rule:
             failed[rule] = failed.get(rule, 0) + 1
