@@ -4,7 +4,8 @@ Overlapping heuristic labellers vote good (1), bad (-1) or abstain (0). Expectat
 each labeller's rates of every vote given the true class and the classes' shares; it runs on the
 counts of vote patterns over all documents (at most 3 ** labellers rows, whatever the corpus's
 size). Posterior labels then train a linear scorer of hashed words and word shapes by gradient
-steps, on about `max_docs` documents picked by a hash; the scorer covers all documents.
+steps, on about `max_docs` documents picked by a hash, of which the driver gets votes and hashed counts
+(2 ** 18 numbers a document at most), not texts; the scorer covers all documents.
 
 Null and empty texts count as texts without words: labellers that need words abstain and the score is
 the scorer's share for no evidence, posterior as the votes say. Texts are read whole. Ties in votes
@@ -194,25 +195,25 @@ class LinearScorer:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit_scorer(texts: list[str | None], good: np.ndarray, steps: int = 120) -> LinearScorer:
-    """Logistic regression with soft labels."""
-    rows, columns, values = [], [], []
-    for k, text in enumerate(texts):
-        tokens = (text or "").split()
-        flat = [f for t in tokens for f in token_features(t)]
-        ids, n = np.unique(np.array(flat, dtype=np.int64), return_counts=True)
-        rows.append(np.full(len(ids), k))
-        columns.append(ids)
-        values.append(n / max(1, len(tokens)))
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of a text's tokens, and each one's count over the tokens."""
+    tokens = (text or "").split()
+    ids, n = np.unique(np.array([f for t in tokens for f in token_features(t)], dtype=np.int64), return_counts=True)
+    return ids, n / max(1, len(tokens))
+
+
+def fit_scorer(features: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = 120) -> LinearScorer:
+    """Logistic regression with soft labels on texts' features."""
     w, bias = np.zeros(1 << BITS), 0.0
-    if not texts:
+    if not features:
         return LinearScorer(bias, w.astype(np.float32))
-    row, column, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+    row = np.repeat(np.arange(len(features)), [len(ids) for ids, _ in features])
+    column, value = (np.concatenate([np.asarray(f[k], dtype=kind) for f in features]) for k, kind in enumerate((np.int64, np.float64)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = bias + np.bincount(row, weights=w[column] * value, minlength=len(texts))
+        z = bias + np.bincount(row, weights=w[column] * value, minlength=len(features))
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - good
-        grad = np.bincount(column, weights=error[row] * value, minlength=len(w)) / len(texts) + 1e-7 * w
+        grad = np.bincount(column, weights=error[row] * value, minlength=len(w)) / len(features) + 1e-7 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * error.mean(), 0.99 * vb + 0.01 * error.mean() ** 2
         w -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -231,6 +232,17 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["doc_id", "h", "votes"])
 
 
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes and features of sampled texts: what leaves for the driver in the texts' stead."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        found = [text_features(t) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_marks(t) for t in texts], pa.string()), pa.array([ids.astype(np.int32) for ids, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.float64()))],
+            names=["votes", "ids", "counts"],
+        )
+
+
 def quality_scores(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, votes, posterior, score and predicted (score of at least 0.5) of every row. Votes, the dear
     part, are cast once; the score's pass finds them by doc_id and a hash of the text."""
@@ -244,8 +256,8 @@ def quality_scores(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     model = expectation_maximisation(patterns, table_["n"].to_numpy(dtype=float))
     known = {p: model.posterior(tuple(row)) for p, row in zip(table_["votes"], patterns, strict=True)}
     at = F.xxhash64(F.lit("quality-sample"), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    sample = docs.where(at < min(1.0, max_docs / int(table_["n"].sum()))).select("doc_id", "text").toPandas()
-    scorer = fit_scorer(sample["text"].tolist(), np.array([known.get(_marks(t), 0.5) for t in sample["text"]]))
+    sample = docs.where(at < min(1.0, max_docs / int(table_["n"].sum()))).select("text").mapInArrow(_feature_rows, "votes string, ids array<int>, counts array<double>").toPandas()
+    scorer = fit_scorer(list(zip(sample["ids"], sample["counts"], strict=True)), np.array([known.get(v, 0.5) for v in sample["votes"]]))
     shared = spark.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
