@@ -35,12 +35,12 @@ class AudioSpec:
     """Rates in Hz, lengths in samples of the resampled signal."""
 
     rate: int = 16_000
-    up: int = 1
-    down: int = 2
+    up: int = 441  # to 11,025 Hz
+    down: int = 640
     taps: int = 12  # each side and phase
-    frame: int = 200
-    hop: int = 80
-    fft: int = 256
+    frame: int = 276
+    hop: int = 110
+    fft: int = 512
     bands: int = 40
     tensor_frames: int = 32
     floor: float = -10.0
@@ -70,27 +70,29 @@ def read_wav(media: bytes) -> bytes:
 
 
 @lru_cache(maxsize=8)
-def _low_pass(up: int, down: int, taps: int) -> np.ndarray:
-    """Windowed sinc at the lower of both rates' limits."""
+def phase_filters(up: int, down: int, taps: int) -> np.ndarray:
+    """One short filter for each of the `up` output phases (rows): a windowed sinc at the lower of both
+    rates' limits, taken at every up-th place from the phase on."""
     wide = max(up, down)
-    at = np.arange(-taps * wide, taps * wide + 1)
-    return (np.sinc(at / wide) * np.hanning(len(at) + 2)[1:-1] * up / wide).astype(np.float32)
-
-
-def resample(signal: np.ndarray, spec: AudioSpec) -> np.ndarray:
-    """Polyphase resampling by up / down: output n reads the filter's phase (n * down) mod up only."""
-    taps = _low_pass(spec.up, spec.down, spec.taps)
-    half = len(taps) // 2
-    reach = half // spec.up + 2
-    padded = np.concatenate([np.zeros(reach, np.float32), signal, np.zeros(reach + spec.down, np.float32)])
-    out = np.zeros(-(-len(signal) * spec.up // spec.down), dtype=np.float32)
-    for lane in range(min(spec.up, len(out))):  # outputs lane, lane + up, ...: all of one phase
-        own = out[lane :: spec.up]
-        position = lane * spec.down + half
-        base, phase = divmod(position, spec.up)
-        for k, tap in enumerate(taps[phase :: spec.up]):
-            first = base - k + reach
-            own += tap * padded[first : first + (len(own) - 1) * spec.down + 1 : spec.down]
+    half = taps * wide
+    at = np.arange(-half, half + 1)
+    low_pass = np.sinc(at / wide) * np.hanning(len(at) + 2)[1:-1] * up / wide
+    length = -(-len(at) // up)
+    return np.pad(low_pass, (0, length * up - len(at))).reshape(length, up).T.astype(np.float32)
+
+
+def resample(signal: np.ndarray, spec: AudioSpec, block: int = 1 << 15) -> np.ndarray:
+    """Polyphase resampling by up / down: output n weighs input samples by the filter of phase
+    (n * down) mod up only. Done in blocks of outputs, so memory stays bounded."""
+    filters = phase_filters(spec.up, spec.down, spec.taps)
+    length = filters.shape[1]
+    half = spec.taps * max(spec.up, spec.down)
+    padded = np.concatenate([np.zeros(length, np.float32), signal, np.zeros(length + half // spec.up + 1, np.float32)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, length)[:, ::-1]  # row i: samples i - 1, i - 2, ...
+    out = np.empty(-(-len(signal) * spec.up // spec.down), dtype=np.float32)
+    for first in range(0, len(out), block):
+        base, phase = np.divmod(np.arange(first, min(first + block, len(out)), dtype=np.int64) * spec.down + half, spec.up)
+        out[first : first + block] = np.einsum("ij,ij->i", windows[base + 1], filters[phase])
     return out
 
 
@@ -161,6 +163,15 @@ def tensor_table(media: bytes, spec: AudioSpec) -> pa.Table:
     return pa.table({"start_s": pa.array([a for a, _ in times], pa.float64()), "end_s": pa.array([b for _, b in times], pa.float64()), "log_mel": pa.ExtensionArray.from_storage(kind, flat)})
 
 
+def tensor_stream(media: bytes, spec: AudioSpec) -> bytes:
+    """tensor_table as an Arrow IPC stream."""
+    sink = io.BytesIO()
+    found = tensor_table(media, spec)
+    with pa.ipc.new_stream(sink, found.schema) as writer:
+        writer.write_table(found)
+    return sink.getvalue()
+
+
 def store_media(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
     """doc_id, n_bytes and media: each text's bytes, padded, as a stored file."""
 
@@ -177,21 +188,28 @@ def store_media(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
 
 
 def extract(stored: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
-    """doc_id and tensors: an Arrow IPC stream with start_s, end_s and the fixed-shape tensor log_mel."""
+    """The stored rows with tensors: an Arrow IPC stream with start_s, end_s and the fixed-shape tensor log_mel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # streams of many rows would outgrow a batch
-                part, out = batch.slice(at, 64), []
-                for media in part.column(1):
-                    sink = io.BytesIO()
-                    found = tensor_table(media.as_py(), spec)
-                    with pa.ipc.new_stream(sink, found.schema) as writer:
-                        writer.write_table(found)
-                    out.append(sink.getvalue())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "tensors"])
+            for part in _pieces(batch):  # streams of many rows would outgrow a batch
+                streams = pa.array([tensor_stream(media.as_py(), spec) for media in part.column(2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, streams], names=[*part.schema.names, "tensors"])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, tensors binary")
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, tensors binary")
+
+def _pieces(batch: pa.RecordBatch, rows: int = 64, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and, but for single rows, so many bytes of media."""
+    first, size = 0, 0
+    for at, media in enumerate(batch.column(2)):
+        n = len(media.as_buffer())
+        if at > first and (at - first >= rows or size + n > most_bytes):
+            yield batch.slice(first, at - first)
+            first, size = at, 0
+        size += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
 
 def read_tensors(stream: bytes) -> pa.Table:
@@ -199,20 +217,27 @@ def read_tensors(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
-def digests(stored: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
-    """What the stored files hold once read back, and a summary of their features (counts, covered
-    seconds and the tensors' mean, to three places)."""
+def summary(found: pa.Table, spec: AudioSpec = AudioSpec()) -> str:
+    """Shape, number, covered seconds and mean of the tensors of read_tensors, to three places."""
+    values = found["log_mel"].combine_chunks()
+    flat = values.storage.flatten().to_numpy() if len(values) else np.empty(0, np.float32)
+    covered = float(np.sum(found["end_s"].to_numpy() - found["start_s"].to_numpy()))
+    mean = float(flat.mean(dtype=np.float64)) if len(flat) else 0.0
+    return f"shape={spec.tensor_frames}x{spec.bands};tensors={len(values)};seconds={covered:.3f};mean={mean:.3f}"
+
+
+def digests(extracted: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
+    """What the stored files and tensors of extract() hold once read back: digests of the payload and of the
+    media, and a summary of the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n_bytes, media in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for n_bytes, media, stream in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                media = media.as_py()
                 payload = read_wav(media)
-                values, times = tensors(media, spec)
-                covered = sum(b - a for a, b in times)
-                mean = float(values.mean(dtype=np.float64)) if len(values) else 0.0
-                feature = f"shape={spec.tensor_frames}x{spec.bands};tensors={len(values)};seconds={covered:.3f};mean={mean:.3f}"
-                out.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                feature = summary(read_tensors(stream.as_py()), spec)
+                out.append((n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -220,4 +245,4 @@ def digests(stored: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return extracted.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
