@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,8 +32,11 @@ from rankweave.llm.memory import give_back
 
 #: The pattern that cuts texts into words, as the vocabulary's authors publish it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pattern in the standard library's faster matcher, for texts of characters that both class alike.
+_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_COMPARED = 0x3000
 BLOCK_CHARS = 1 << 21
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 400_000
 
 
@@ -41,6 +47,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _unlike() -> re.Pattern:
+    """A character that the two patterns may class differently: found by asking both, or not compared."""
+    kinds = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))
+    compared = "".join(c for c in map(chr, range(_COMPARED)))
+    apart: set[str] = set()
+    for exact, plain in kinds:
+        apart |= set(regex.findall(exact, compared)) ^ set(re.findall(plain, compared))
+    return re.compile("[" + "".join(map(re.escape, sorted(apart))) + f"{chr(_COMPARED)}-\U0010ffff]")
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -53,26 +69,41 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes = {v: k for k, v in vocab.items()} | {v: k.encode() for k, v in self.special.items()}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(WORD_PATTERN)
+        self.words, self.plain_words, self.unlike = regex.compile(WORD_PATTERN), re.compile(_PLAIN_PATTERN), _unlike()
+        self.numbers = {v: str(v) for v in self.token_bytes}
         # Merges, by the ids of their halves: rank and the id of the whole.
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.single = [vocab[bytes([b])] for b in range(256)]
+        #: The rank of the merge that makes a token, below 0 for bytes, and the tokens it joins.
+        self.made: dict[int, int] = dict.fromkeys(self.single, -1)
+        self.halves: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self.single = [vocab[bytes([b])] for b in range(256)]
-        self._build_matcher([(token, number) for token, number in vocab.items() if self._merge(token) == [number]])
+        for (left, right), (rank, whole) in self.merges.items():
+            # Tokens that merging their own bytes doesn't lead to are never met.
+            if whole not in self.made and left in self.made and right in self.made and self._stay_apart(left, right, rank):
+                self.made[whole], self.halves[whole] = rank, (left, right)
+        self._build_matcher([(self.token_bytes[number], number) for number in self.made])
         self.pairs: dict[int, bool] = {}
-        self.ids_of: dict[str, tuple[int, ...]] = {}
-
-    def _merge(self, word: bytes) -> list[int]:
-        """Plain merging of a short string, lowest rank and leftmost first."""
-        ids = [self.single[b] for b in word]
-        while len(ids) > 1:
-            rank, at = min((self.merges.get((a, b), (1 << 60,))[0], k) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
-        return ids
+        self.ids_of: dict[str, bytes] = {}  # ids as packed 32-bit numbers
+
+    def _stay_apart(self, left: int, right: int, limit: int = 1 << 60) -> bool:
+        """Whether merging the bytes of two tokens joins nothing across their border by a merge of a rank
+        below `limit`. Goes back in time: the merge done last, of equal ones that further right, is
+        undone on its side of the border, and what lies at the border then must not have been joined before it."""
+        made = self.made
+        while True:
+            across = self.merges.get((left, right))
+            if across is not None and across[0] < limit:
+                return False
+            own, other = made[left], made[right]
+            if own > other:
+                limit, left = own, self.halves[left][1]
+            elif other >= 0:
+                limit, right = other + 1, self.halves[right][0]
+            else:
+                return True
 
     def _build_matcher(self, tokens: list[tuple[bytes, int]]) -> None:
         """A suffix automaton over the tokens that encodings can hold: for each state the tokens that
@@ -112,15 +143,16 @@ class ByteBpe:
         """Whether merging the bytes of both gives just these two tokens."""
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        known = self.pairs[left << 20 | right] = self._merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
+        known = self.pairs[left << 20 | right] = self._stay_apart(left, right)
         return known
 
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """Ids of sorted distinct words. In sorted order the words are a trie laid out depth first: the
+    def encode_words(self, words: list[bytes]) -> Iterator[bytes]:
+        """Packed ids of sorted distinct words. In sorted order the words are a trie laid out depth first: the
         walk holds the path from the root to the current node, steps back to the last node that the
         next word shares, and works out the last tokens of the new nodes only."""
-        pairs, step, ending = self.pairs, self.step, self.ending
-        tokens, lengths, states = [-1], [0], [0]
+        known, step, ending = self.pairs.get, self.step.get, self.ending
+        size = max(map(len, words), default=0) + 1
+        tokens, lengths, states = [-1] * size, [0] * size, [0] * size  # by depth, along the current path
         last = b""
         for word in words:
             shared = 0
@@ -128,53 +160,54 @@ class ByteBpe:
                 if x != y:
                     break
                 shared += 1
-            last = word
-            del tokens[shared + 1 :], lengths[shared + 1 :], states[shared + 1 :]
-            state = states[-1]
-            for depth in range(shared + 1, len(word) + 1):
-                byte = word[depth - 1]
-                to = step.get(state << 8 | byte)
+            last, state = word, states[shared]
+            for depth, byte in enumerate(word[shared:], shared + 1):
+                to = step(state << 8 | byte)
                 state = self._next(state, byte) if to is None else to
                 for token, length in ending[state]:
                     if length == depth:
                         break
                     left = tokens[depth - length]
-                    fits = pairs.get(left << 20 | token)
+                    fits = known(left << 20 | token)
                     if fits or fits is None and self._follows(left, token):
                         break
                 else:
                     raise AssertionError("a prefix without an encoding")
-                tokens.append(token)
-                lengths.append(length)
-                states.append(state)
+                tokens[depth], lengths[depth], states[depth] = token, length, state
             at, ids = len(word), []
             while at:
                 ids.append(tokens[at])
                 at -= lengths[at]
-            yield tuple(reversed(ids))
+            ids.reverse()
+            yield array("i", ids).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
+        words = self.words if self.unlike.search(text) else self.plain_words
         if self.special_cut is None or not any(s in text for s in self.special):
-            return self.words.findall(text)
+            return words.findall(text)
         parts = self.special_cut.split(text)
-        return list(chain.from_iterable([p] if k % 2 else self.words.findall(p) for k, p in enumerate(parts)))
+        return list(chain.from_iterable([p] if k % 2 else words.findall(p) for k, p in enumerate(parts)))
 
     def learn(self, pieces: list[list[str]]) -> None:
         """Puts the ids of all words of a block into the table of known words."""
         if len(self.ids_of) >= KEPT_WORDS:
             self.ids_of.clear()
-        new = {w for words in pieces for w in words if w not in self.ids_of}
+        new = set().union(*pieces) - self.ids_of.keys()
         for special in new & self.special.keys():
-            self.ids_of[special] = (self.special[special],)
+            self.ids_of[special] = array("i", [self.special[special]]).tobytes()
             new.discard(special)
         ordered = sorted((w.encode("utf-8", "surrogatepass"), w) for w in new)
         self.ids_of.update(zip((w for _, w in ordered), self.encode_words([b for b, _ in ordered]), strict=True))
 
-    def encode_block(self, texts: list[str]) -> list[list[int]]:
+    def encode_block(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         pieces = [self._pieces(t) for t in texts]
         self.learn(pieces)
-        return [list(chain.from_iterable(map(self.ids_of.__getitem__, words))) for words in pieces]
+        return [np.frombuffer(b"".join(map(self.ids_of.__getitem__, words)), dtype=np.int32) for words in pieces]
+
+    def digest(self, ids: list[int]) -> str:
+        """SHA-256 of decimal ids joined by commas."""
+        return hashlib.sha256(",".join(map(self.numbers.__getitem__, ids)).encode()).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -202,6 +235,12 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
         yield block
 
 
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """doc_id, the carried columns and ids (array<int>) of each row."""
     kept = ["doc_id", *carry]
@@ -215,7 +254,7 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), text: str =
             for block in _blocks(batch.column("__text").to_pylist()):
                 part = batch.slice(first, len(block))
                 first += len(block)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(bpe.encode_block(block), pa.list_(pa.int32()))], names=[*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _id_lists(bpe.encode_block(block))], names=[*kept, "ids"])
 
     return picked.mapInArrow(run, schema)
 
@@ -249,11 +288,15 @@ def round_trip_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = (),
                 part = batch.slice(first, len(block))
                 first += len(block)
                 ids = bpe.encode_block(block)
+                digests = []
+                for own in ids:
+                    numbers = own.tolist()
+                    digests.append((bpe.digest(numbers), hashlib.sha256(bpe.decode(numbers).encode()).hexdigest()))
                 columns = {
                     "n_tokens": pa.array(map(len, ids), pa.int64()),
-                    "ids_sha256": pa.array((hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids), pa.string()),
-                    "decoded_sha256": pa.array((hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids), pa.string()),
-                } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
+                    "ids_sha256": pa.array((x for x, _ in digests), pa.string()),
+                    "decoded_sha256": pa.array((x for _, x in digests), pa.string()),
+                } | ({"ids": _id_lists(ids)} if with_ids else {})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns.values()], names=[*kept, *columns])
         bpe.ids_of.clear()  # the worker stays for other stages
         give_back()
