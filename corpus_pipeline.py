@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm import bpe, language_id, mixing, near_dup, toxicity
 from rankweave.llm.queries import vocabulary
-from rankweave.llm.shared import shared_folder, table
+from rankweave.llm.shared import delete, scratch, shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = shared_folder(spark)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages over documents. What a stage has written for itself goes once its rows are written, and
+    its rows go once the next stage's are; the last stage's are read from those before it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = shared_folder(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
