@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators import content, graph, performance, rules, series
-from rankweave.plans import more, scoring, signals, site_audit, traffic, wider
+from rankweave.plans import more, scoring, signals, site_audit, texts, traffic, wider
 from rankweave.sources import tables
 from rankweave.sources.tables import table, twin
 
@@ -186,3 +186,4 @@ wider.register(_add, _over, _given, _compared)
 traffic.register(_add, _given)
 signals.register(_add, _over, _given)
 site_audit.register(_add)
+texts.register(_add, _given)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.sources import shared
+
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
@@ -27,19 +26,11 @@ def emit_once(stream: DataFrame, late: str = "40 days") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder that the cluster names, or, where there is none, one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return f"{context.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what there is now and returns its result, which executors write as Parquet to
     the shared folder. In complete mode each batch writes the whole result and the newest one counts."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared.folder(spark)
     newest = [f"{folder}/rows"]
 
     def whole(rows: DataFrame, batch: int) -> None:
