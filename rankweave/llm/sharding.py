@@ -27,6 +27,8 @@ BLOCK = 4096
 GROUP_BLOCK = 128
 #: So many blocks' offsets are summed up in one task.
 FAN = 1024
+#: So many groups are broadcast at most.
+HOT = 1 << 16
 
 
 def _start(shards: int) -> Column:
@@ -112,6 +114,14 @@ def _ranked(rows: DataFrame, keys: list[str], blocks: Column, more: DataFrame |
     return salted.join(offsets, [*keys, "salt"]).withColumn("rank", F.col("offset") + F.row_number().over(inside) - 1).drop("salt", "offset")
 
 
+def _sized(base: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """base with the sizes n of its groups, null for none. Large groups, HOT at most, are broadcast, so that
+    none of them meets in one task."""
+    large = max(256, total // HOT)
+    hot, others = F.broadcast(groups.where(F.col("n") >= large)), groups.where(F.col("n") < large)
+    return base.join(hot, "g").unionByName(base.join(hot.select("g"), "g", "left_anti").join(others, "g", "left"))
+
+
 def _place(position: Column, ranges: Column) -> Column:
     """The range (shard, lo, hi) that holds a position."""
     return F.filter(ranges, lambda r: (r["lo"] <= position) & (position < r["hi"]))[0]
@@ -130,7 +140,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     before = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     lo = F.coalesce(F.sum("c").over(before), F.lit(0))
     ranges = cells.withColumn("lo", lo).groupBy("g").agg(F.sum("c").alias("n"), F.collect_list(F.struct("shard", "lo", (F.col("lo") + F.col("c")).alias("hi"))).alias("ranges"))
-    sized = base.join(groups, "g", "left")
+    sized = _sized(base, groups, total)
     linked = sized.where("n is not null").withColumn("blocks", F.ceil(F.col("n") / GROUP_BLOCK)).drop("n")
     in_group = _ranked(linked, ["g"], F.col("blocks"), ranges)
     placed = materialised(in_group.select("doc_id", "size", "text_crc32", _place(F.col("rank"), F.col("ranges"))["shard"].alias("shard")))
