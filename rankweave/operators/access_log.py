@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_REQUEST = r'"([^\s"]+)\s+([^\s"]+)[^"]*"\s+([0-9]{3})\s+([0-9]+|-)(?:\s+"([^"]*)"\s+"([^"]*)")?'
-#: Layouts with the groups of ip, time, method, path, status, bytes and agent.
+#: Fields of a line, as the servers' log format documents name them: %h and $remote_addr may be an IPv6 address or
+#: a host name, %t stands in brackets, "%r" is method, target and protocol, %>s and %b follow, and then "%{Referer}i"
+#: and "%{User-agent}i" where the format has them.
+_HOST, _WORD, _CLOCK = r"([0-9A-Za-z._:%-]+)", r"\S+", r"\[([^\]]*)\]"
+_ISO = r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?)"
+_ANSWER = r'"([A-Za-z]+) ([^" ]+)(?: [^"]*)?" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
+#: Layouts with the groups of ip, time, method, path, status, bytes and agent. The names are fixed values.
 LAYOUTS = {
-    "combined": (r"^([^\s:]+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+" + _REQUEST, (1, 2, 3, 4, 5, 6, 8)),
-    "vhost_combined": (r"^\S+:[0-9]+\s+(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+" + _REQUEST, (1, 2, 3, 4, 5, 6, 8)),
-    "nginx_time_iso": (r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}\S*)\s+(\S+)\s+" + _REQUEST, (2, 1, 3, 4, 5, 6, 8)),
+    "combined": (f"^{_HOST} {_WORD} {_WORD} {_CLOCK} {_ANSWER}", (1, 2, 3, 4, 5, 6, 8)),
+    "vhost_combined": (rf"^{_WORD}:\d+ {_HOST} {_WORD} {_WORD} {_CLOCK} {_ANSWER}", (1, 2, 3, 4, 5, 6, 8)),
+    "nginx_time_iso": (f"^{_ISO} {_HOST} {_ANSWER}", (2, 1, 3, 4, 5, 6, 8)),
 }
 _FIELDS = ("ip", "time", "method", "path", "status", "bytes", "agent")
 
@@ -88,12 +93,19 @@ def layout_votes(lines: DataFrame, by: str) -> DataFrame:
     return votes.withColumn("layout", F.when(best > 0, F.coalesce(*(F.when(F.col(k) == best, k) for k in LAYOUTS))))
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Typed fields of each line, by the first layout that it meets; lines of no layout keep nulls. All fields
-    come from one pass of the layout's pattern."""
+def parse(lines: DataFrame, by: str | None = "file") -> DataFrame:
+    """Typed fields of each line, by the layout that most lines of its file meet (by None: the first layout
+    that the line itself meets); lines that don't meet it keep nulls. All fields come from one pass of the
+    layout's pattern. The votes are one row a file and are broadcast up to 100,000 files."""
     cut = lambda p, groups: F.split(F.regexp_replace("line", p + r"[\s\S]*$", "\u0001".join(f"${g}" for g in groups)), "\u0001")
     meets = [(k, F.col("line").rlike(p), cut(p, groups)) for k, (p, groups) in LAYOUTS.items()]
-    found = lines.withColumn("layout", F.coalesce(*(F.when(m, k) for k, m, _ in meets)))
+    if by is None:
+        found = lines.withColumn("layout", F.coalesce(*(F.when(m, k) for k, m, _ in meets)))
+    else:
+        votes = layout_votes(lines, by).select(by, F.col("layout").alias("voted"))
+        few = votes.limit(100_001).count() <= 100_000
+        found = lines.join(F.broadcast(votes) if few else votes, by, "left")
+        found = found.withColumn("layout", F.coalesce(*(F.when((F.col("voted") == k) & m, k) for k, m, _ in meets))).drop("voted")
     found = found.withColumn("cut", _once(F.col("layout"), lambda x: F.coalesce(*(F.when(x == k, c) for k, _, c in meets))))
     typed = {f: F.get("cut", F.lit(place)) for place, f in enumerate(_FIELDS)}
     typed["status"] = typed["status"].cast("int")
@@ -101,6 +113,31 @@ def parse(lines: DataFrame) -> DataFrame:
     return found.withColumns(typed).withColumn("time", wall_time(F.col("time"))).drop("cut")
 
 
+def address(ip: Column) -> Column:
+    """An IPv4 address as a number; null for anything else."""
+    part = lambda k: F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("long")
+    return ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
+
+
+def in_networks(hits: DataFrame, networks: DataFrame) -> DataFrame:
+    """hits (with ip) and the name of the network (cidr, name) that holds them: IPv4 by ranges, cut into pieces
+    of 65,536 addresses for an equi-join; IPv6 by prefixes of whole groups, which meet on the prefix."""
+    from rankweave.operators import matching
+
+    bits = F.substring_index("cidr", "/", -1).cast("int")
+    size = F.pow(F.lit(2.0), 32 - bits).cast("long")
+    lo = F.floor(address(F.substring_index("cidr", "/", 1)) / size) * size
+    four = networks.where("cidr NOT LIKE '%:%'").select("name", lo.alias("lo"), (lo + size - 1).alias("hi"))
+    narrow = matching.in_ranges(hits.withColumn("n", address(F.col("ip"))).where("n IS NOT NULL"), four, "n", 65_536).drop("n")
+    groups = (bits / 16).cast("int")
+    six = networks.where("cidr LIKE '%:%'").select("name", F.slice(F.split("cidr", "[:/]"), F.lit(1), groups).alias("prefix"))
+    lengths = [r[0] for r in six.select(F.size("prefix")).distinct().collect()]  # eight at most
+    if not lengths:
+        return narrow
+    own = F.explode(F.array(*(F.slice(F.split("ip", ":"), F.lit(1), F.lit(k)) for k in lengths)))
+    return narrow.unionByName(hits.where("ip LIKE '%:%'").withColumn("prefix", own).join(six, "prefix").drop("prefix"))
+
+
 def counters(hits: DataFrame) -> DataFrame:
     """Hits, bytes and status bands of each agent and day."""
     band = lambda k: F.count_if(F.floor(F.col("status") / 100) == k).alias(f"s{k}xx")

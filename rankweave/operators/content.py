@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.safe import ratio_null
+from rankweave.operators import graph
 
 TOKEN = r"[a-z0-9][a-z0-9'-]*"
 
@@ -98,20 +98,27 @@ def rare_terms(docs: DataFrame) -> DataFrame:
     return alone.groupBy("doc_id").agg(F.count("*").alias("unique_terms"))
 
 
-def tf_idf(docs: DataFrame, k: int = 3) -> DataFrame:
-    """The k strongest terms of each document: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1) for terms that more
-    than one and at most 85 percent of the documents have."""
-    counts = term_counts(docs)
-    n = docs.agg(F.count("*").alias("all"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(2.0), 0.85 * F.col("all"))))
-    weight = (1 + F.log(F.col("n"))) * (F.log((F.col("all") + 1) / (F.col("df") + 1)) + 1)
-    scored = counts.join(df, "term").select("doc_id", "term", F.round(weight, 6).alias("weight"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).where(F.col("place") <= k).select("doc_id", "term", "weight")
-
-
-def readability(docs: DataFrame) -> DataFrame:
-    """Words, sentences, words a sentence and characters a word."""
-    text = F.coalesce("text", F.lit(""))
-    words, ends = F.size(all_matches(text, r"[^ \t\n\r]+")).cast("long"), F.size(all_matches(text, r"[.!?]+")).cast("long")
-    letters = F.length(F.regexp_replace(text, r"[ \t\n\r]+", "")).cast("long")
-    return docs.select("doc_id", words.alias("words"), ends.alias("sentences"), ratio_null(words, ends).alias("words_per_sentence"), ratio_null(letters, words).alias("chars_per_word"))
+def tf_idf(docs: DataFrame, k: int = 3, most_broadcast: int = 1 << 18) -> DataFrame:
+    """The k strongest terms of each document: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), scaled to unit length,
+    for terms that more than one and at most 85 percent of the documents have. Counts are written once;
+    up to `most_broadcast` terms' frequencies go to all tasks, of more the frequent ones do, so that no
+    frequent term meets in one task."""
+    counts = graph.checkpointed(term_counts(docs))
+    n = docs.count()
+    df = graph.checkpointed(counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= max(2.0, 0.85 * n))))
+    met = joined_by_term(counts, df, most_broadcast)
+    weight = (1 + F.log(F.col("n"))) * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
+    own = Window.partitionBy("doc_id")
+    scored = met.select("doc_id", "term", weight.alias("w")).select("doc_id", "term", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)), 6).alias("weight"))
+    return scored.withColumn("place", F.row_number().over(own.orderBy(F.desc("weight"), "term"))).where(F.col("place") <= k).select("doc_id", "term", "weight")
+
+
+def joined_by_term(counts: DataFrame, df: DataFrame, most_broadcast: int) -> DataFrame:
+    """counts with df of their terms. The larger df, the fewer terms have it: terms of total / most_broadcast
+    documents or more are at most that many, and are broadcast."""
+    if df.limit(most_broadcast + 1).count() <= most_broadcast:
+        return counts.join(F.broadcast(df), "term")
+    total = df.agg(F.sum("df")).first()[0]
+    frequent = F.broadcast(df.where(F.col("df") >= -(-total // most_broadcast)))
+    rare = df.join(frequent.select("term"), "term", "left_anti")
+    return counts.join(frequent, "term").unionByName(counts.join(frequent.select("term"), "term", "left_anti").join(rare, "term"))

@@ -52,6 +52,10 @@ def first_of(rows: DataFrame, key: str, *order) -> DataFrame:
 def shingle_overlap(docs: DataFrame, width: int = 5, least_words: int = 8) -> DataFrame:
     """doc_id and the number of distinct word shingles; none below `least_words` words."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
-    size = F.size("w")
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.array_join(F.slice("w", i, width), " ")))
-    return docs.select("doc_id", words.alias("w")).select("doc_id", F.when(size >= least_words, F.size(shingles)).otherwise(0).cast("long").alias("shingles"))
+
+    def count(w):
+        shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " ")))
+        return F.when(F.size(w) >= least_words, F.size(shingles)).otherwise(0)
+
+    # Bound once by the lambda: inlined, the words would be cut anew for each shingle.
+    return docs.select("doc_id", F.get(F.transform(F.array(words), count), F.lit(0)).cast("long").alias("shingles"))

@@ -113,3 +113,13 @@ def gini(counts: DataFrame, value: str) -> DataFrame:
     sums = placed.agg(F.sum(F.col("ranks") * F.col("x")).alias("ix"), F.sum(F.col("m") * F.col("x")).alias("x"), F.sum("m").alias("n"))
     value_: Column = ratio_null(2 * F.col("ix"), F.col("n") * F.col("x")) - ratio_null(F.col("n") + 1, F.col("n"))
     return sums.select("n", F.round(value_, 3).alias("gini"))
+
+
+def places(rows: DataFrame, by: str, value: str, shares: tuple[float, ...], least: int) -> DataFrame:
+    """The values at the places floor(share * (n - 1)) of each key's sorted values, of keys with `least` or
+    more. Equal values are counted first, so only distinct values are sorted and no list is collected."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(by)
+    placed = counted.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w)).where(F.col("all") >= least)
+    at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.lit(share) * (F.col("all") - 1)), F.col(value)))
+    return placed.groupBy(by).agg(*(at(share).alias(f"p{int(share * 100)}") for share in shares))

@@ -165,11 +165,9 @@ _add("STR8", _given("documents", lambda d: content.tokens(d).select("doc_id", F.
 _add("AGG30", _given("documents", lambda d: content.document_frequency(d, 200)), f"WITH {_TERMS} SELECT term, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY term ORDER BY docs DESC, term LIMIT 200")
 _add("GRF8", _given("documents", content.rare_terms), f"WITH {_TERMS}, a AS (SELECT term, max(doc_id) AS doc_id FROM c GROUP BY term HAVING count(*) = 1) SELECT doc_id, count(*) AS unique_terms FROM a GROUP BY doc_id")
 _add("MTH5", _given("documents", content.tf_idf), f"""WITH {_TERMS}, a AS (SELECT count(*) AS al FROM documents), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
-    s AS (SELECT doc_id, term, round((1 + ln(n)) * (ln((al + 1) / (df + 1)) + 1), 6) AS weight FROM c JOIN f USING (term), a WHERE df > 1 AND df <= greatest(2.0, 0.85 * al))
-    SELECT doc_id, term, weight FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 3""")
-_add("STR12", _given("documents", content.readability), r"""WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '[.!?]+')) AS sentences,
-    length(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', '', 'g')) AS letters FROM documents)
-    SELECT doc_id, words, sentences, CASE WHEN sentences > 0 THEN words::DOUBLE / sentences END AS words_per_sentence, CASE WHEN words > 0 THEN letters::DOUBLE / words END AS chars_per_word FROM d""")
+    s AS (SELECT doc_id, term, (1 + ln(n)) * (ln((al + 1) / (df + 1)) + 1) AS w FROM c JOIN f USING (term), a WHERE df > 1 AND df <= greatest(2.0, 0.85 * al)),
+    u AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM s)
+    SELECT doc_id, term, weight FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 3""")
 
 # Graphs.
 _EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey - 1 AS dst FROM lineitem)"

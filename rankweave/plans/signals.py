@@ -54,7 +54,7 @@ def register(add: Callable, over: Callable, given: Callable) -> None:
     pair = "WITH n AS (SELECT user_id, event_type, {v} AS v, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events), p AS (SELECT user_id, event_type, max(CASE WHEN k = 1 THEN v END) AS latest, max(CASE WHEN k = 2 THEN v END) AS previous FROM n WHERE k <= 2 GROUP BY 1, 2) SELECT user_id, latest, previous FROM p WHERE {w}"
     cents, in_props = (lambda: F.round(F.col("value") * 100).cast("long")), (lambda: F.get_json_object("props", "$.k").cast("long"))
     for name, value, sql, when in (
-        ("ALR30", cents, "CAST(round(value * 100) AS BIGINT)", "event_type = 'view' AND latest > 2500"), ("ALR31", cents, "CAST(round(value * 100) AS BIGINT)", "event_type = 'click' AND latest > 2000"), ("ALR32", cents, "CAST(round(value * 100) AS BIGINT)", "event_type = 'error' AND latest > 1000"),
+        ("ALR30", cents, "CAST(round(value * 100) AS BIGINT)", "event_type = 'view' AND latest > 2500"), ("ALR31", cents, "CAST(round(value * 100) AS BIGINT)", "event_type = 'click' AND latest > 200"), ("ALR32", cents, "CAST(round(value * 100) AS BIGINT)", "event_type = 'error' AND latest > 1000"),
         ("ALR33", in_props, "CAST(props->>'$.k' AS BIGINT)", "event_type = 'signup' AND previous - latest >= 10"), ("ALR37", in_props, "CAST(props->>'$.k' AS BIGINT)", "event_type = 'error' AND latest - previous >= 5"),
         ("ALR38", in_props, "CAST(props->>'$.k' AS BIGINT)", "event_type = 'view' AND previous - latest >= 5"), ("ALR40", in_props, "CAST(props->>'$.k' AS BIGINT)", "event_type = 'click' AND latest - previous >= 3"),
     ):

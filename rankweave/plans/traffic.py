@@ -32,7 +32,8 @@ def log_lines(events: DataFrame) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd")
     month = F.substring(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), (F.month("ts") - 1) * 3 + 1, F.lit(3))
     common = F.concat(F.substring(day, 9, 2), F.lit("/"), month, F.lit("/"), F.substring(day, 1, 4), F.lit(":"), F.date_format("ts", "HH:mm:ss"), F.lit(" +0500"))
-    ip = F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256)
+    four = F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256)
+    ip = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("2001:db8:"), F.col("user_id") % 8, F.lit("::"), F.col("event_id") % 256)).otherwise(four)
     status = F.when(F.col("value") > 100, 500).when(F.col("value") > 50, 404).when(F.col("value") > 20, 301).otherwise(200)
     size = F.when(F.col("event_id") % 11 == 0, "-").otherwise(F.coalesce(F.round(F.col("value") * 100).cast("long"), F.lit(0)).cast("string"))
     rest = F.concat(F.lit('"GET /'), "event_type", F.lit("/"), "user_id", F.lit(' HTTP/1.1" '), status, F.lit(" "), size, F.lit(' "-" "'), _pick([a for a, _ in _AGENTS], "event_id"), F.lit('"'))
@@ -43,6 +44,7 @@ def log_lines(events: DataFrame) -> DataFrame:
 
 
 _LAYOUT = "['combined', 'vhost_combined', 'nginx_time_iso'][user_id % 3 + 1]"
+_IP = "CASE WHEN event_id % 13 = 0 THEN '2001:db8:' || (user_id % 8) || '::' || (event_id % 256) ELSE '10.0.' || (user_id % 256) || '.' || (event_id % 256) END"
 _STATUS = "CASE WHEN value > 100 THEN 500 WHEN value > 50 THEN 404 WHEN value > 20 THEN 301 ELSE 200 END"
 _BYTES = "CASE WHEN event_id % 11 = 0 THEN 0 ELSE coalesce(CAST(round(value * 100) AS BIGINT), 0) END"
 _KEY = _sql_pick([k for _, k in _AGENTS], "event_id")
@@ -62,7 +64,7 @@ def register(add: Callable, given: Callable) -> None:
     """Adds this module's queries."""
     logs = lambda work: given("events", lambda e: work(log_lines(e)))
     add("SRC15", logs(lambda x: access_log.parse(x).select("event_id", "layout", "ip", "method", "path", "status", "bytes")),
-        f"""SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN {_LAYOUT} END AS layout, CASE WHEN event_id % 50 <> 0 THEN '10.0.' || (user_id % 256) || '.' || (event_id % 256) END AS ip, CASE WHEN event_id % 50 <> 0 THEN 'GET' END AS method,
+        f"""SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN {_LAYOUT} END AS layout, CASE WHEN event_id % 50 <> 0 THEN {_IP} END AS ip, CASE WHEN event_id % 50 <> 0 THEN 'GET' END AS method,
         CASE WHEN event_id % 50 <> 0 THEN '/' || event_type || '/' || user_id END AS path, CASE WHEN event_id % 50 <> 0 THEN {_STATUS} END AS status, CASE WHEN event_id % 50 <> 0 THEN {_BYTES} END AS bytes FROM events""")
     add("DAT2", logs(lambda x: access_log.parse(x).where("layout IS NOT NULL").select("event_id", F.to_date("time").alias("day"), (F.hour("time") * 3600 + F.minute("time") * 60 + F.second("time")).alias("second"))),
         "SELECT event_id, CAST(ts AS DATE) AS day, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INTEGER) AS second FROM events WHERE event_id % 50 <> 0")
@@ -102,11 +104,24 @@ def register(add: Callable, given: Callable) -> None:
     add("GRF3", given("pages", lambda p: p.withColumn("c", urls.canonical(F.col("url"))).groupBy(F.regexp_replace("c", "^https?", "").alias("key")).agg(F.min_by("url", F.struct(F.length("url"), "url")).alias("url"), F.count("*").alias("variants"))),
         f"WITH {canon} SELECT regexp_replace(canonical, '^https?', '') AS key, arg_min(url, (length(url), url)) AS url, count(*) AS variants FROM c GROUP BY 1")
 
+    networks = "[{'cidr': '10.0.16.0/20', 'name': 'office'}, {'cidr': '10.0.40.0/24', 'name': 'agents'}, {'cidr': '10.0.41.128/25', 'name': 'half'}, {'cidr': '2001:db8:3::/48', 'name': 'six'}]"
+
+    def from_networks(spark, sf_dir):
+        """Parsed hits by the network that they come from."""
+        hits = access_log.parse(log_lines(table(spark, sf_dir, "events"))).where("layout IS NOT NULL").select("event_id", "ip")
+        known = spark.range(1).select(F.explode(F.from_json(F.lit(networks.replace("'", '"')), "array<struct<cidr string, name string>>")).alias("n")).select("n.*")
+        return access_log.in_networks(hits, known).select("event_id", "name")
+
+    add("JOIN11", from_networks, """WITH h AS (SELECT event_id, event_id % 13 = 0 AS six, user_id % 256 AS c, event_id % 256 AS d, user_id % 8 AS g FROM events WHERE event_id % 50 <> 0)
+        SELECT event_id, 'office' AS name FROM h WHERE NOT six AND c BETWEEN 16 AND 31 UNION ALL SELECT event_id, 'agents' FROM h WHERE NOT six AND c = 40 UNION ALL SELECT event_id, 'half' FROM h WHERE NOT six AND c = 41 AND d >= 128 UNION ALL SELECT event_id, 'six' FROM h WHERE six AND g = 3""")
+
     def never_hit(spark, sf_dir):
         """Paths of pages that no parsed hit has met, whatever the trailing slash."""
         bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z]+://[^/?#]+", ""), r"/*([?#].*)?$", "")
         listed = table(spark, sf_dir, "pages").select("page_id", bare(F.col("url")).alias("path"))
-        seen = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("page_id")).distinct(), "page_id", "left_semi")
-        return listed.join(seen.select(bare(F.concat(F.col("url"), F.lit("/"))).alias("path")), "path", "left_anti")
+        asked = table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", "event_id", "ts").join(table(spark, sf_dir, "pages").select(F.col("page_id").alias("user_id"), "url"), "user_id")
+        day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+        lines = asked.select(F.lit(0).alias("file"), F.concat(day, F.lit('+00:00 10.0.0.1 "GET '), bare(F.col("url")), F.lit('/ HTTP/1.1" 200 5 "-" "x"')).alias("line"))
+        return listed.join(access_log.parse(lines).select(bare(F.col("path")).alias("path")).where("path IS NOT NULL").distinct(), "path", "left_anti")
 
     add("JOIN12", never_hit, f"WITH {parts}, b AS (SELECT page_id, rtrim(path, '/') AS path FROM u) SELECT page_id, path FROM b WHERE path NOT IN (SELECT path FROM b WHERE page_id IN (SELECT user_id FROM events WHERE event_type = 'view'))")
