@@ -30,7 +30,7 @@ def page_record(pages: DataFrame) -> DataFrame:
 
 #: Audit checks: the condition on a page record under which a page fails, and the tier.
 AUDITS = {
-    "AUD10": ("text_ratio", "text_length < 0.25 * html_length", "warning"),
+    "AUD10": ("text_ratio", "text_length < 0.1 * html_length", "warning"),
     "AUD11": ("nofollow", "nofollow > 0", "warning"),
     "AUD12": ("missing_h1", "h1s = 0", "warning"),
     "AUD13": ("missing_meta", "NOT has_description", "warning"),

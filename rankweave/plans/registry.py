@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators import content, graph, performance, rules, series
-from rankweave.plans import imports, more, relations, scoring, signals, site_audit, texts, traffic, wider
+from rankweave.plans import choices, imports, more, relations, scoring, signals, site_audit, texts, traffic, wider
 from rankweave.sources import tables
 from rankweave.sources.tables import table, twin
 
@@ -187,3 +187,4 @@ site_audit.register(_add)
 texts.register(_add, _given)
 imports.register(_add, _given)
 relations.register(_add, _given)
+choices.register(_add)
