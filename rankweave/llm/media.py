@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PAD = 64
+PIECE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -172,21 +173,44 @@ def tensor_stream(media: bytes, spec: AudioSpec) -> bytes:
     return sink.getvalue()
 
 
+def _stored(text: str | None, spec: AudioSpec) -> tuple[int, bytes]:
+    """Bytes of a text, and these, padded, as a stored file."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return len(raw), store_wav(raw + bytes((-len(raw)) % PAD or (PAD if not raw else 0)), spec.rate)
+
+
 def store_media(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
     """doc_id, n_bytes and media: each text's bytes, padded, as a stored file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, media = [], []
-            for text in batch.column(1):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                sizes.append(len(raw))
-                media.append(store_wav(raw + bytes((-len(raw)) % PAD or (PAD if not raw else 0)), spec.rate))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            found = [_stored(text.as_py(), spec) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([m for _, m in found], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def store_features(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
+    """extract(store_media(docs)) in one pass of Python workers, in batches of few files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["doc_id", "n_bytes", "media", "tensors"], (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                n, media = _stored(text.as_py(), spec)
+                rows.append((doc_id.as_py(), n, media, tensor_stream(media, spec)))
+                size += len(media) + len(rows[-1][3])
+                if size > PIECE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, tensors binary")
+
+
 def extract(stored: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
     """The stored rows with tensors: an Arrow IPC stream with start_s, end_s and the fixed-shape tensor log_mel."""
 
@@ -199,7 +223,7 @@ def extract(stored: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, tensors binary")
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 64, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, rows: int = 64, most_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many rows and, but for single rows, so many bytes of media."""
     first, size = 0, 0
     for at, media in enumerate(batch.column(2)):

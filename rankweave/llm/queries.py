@@ -39,7 +39,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's bytes stored as 8-bit audio, its features as Arrow tensors, and both read back."""
-    return media.digests(media.extract(media.store_media(table(spark, sf_dir, "documents"))))
+    return media.digests(media.store_features(table(spark, sf_dir, "documents")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

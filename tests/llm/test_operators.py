@@ -350,7 +350,7 @@ def test_media_features_match_brute_force(spark, documents):
     """Of whole documents, through the stored tensors."""
     rows = [(i, t, None, None) for i, t, *_ in documents if len(t or "") < 6000][:40]
     spec = media.AudioSpec()
-    got = by_id(media.digests(media.extract(media.store_media(frame(spark, rows)))).collect())
+    got = by_id(media.digests(media.store_features(frame(spark, rows))).collect())
     for i, t, *_ in rows:
         raw = (t or "").encode()
         tensors, seconds, mean = slow_feature(raw + bytes(-len(raw) % 64 or (0 if raw else 64)), spec)
@@ -370,7 +370,9 @@ def test_media_round_trip(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r["media_sha256"] == hashlib.sha256(media.store_wav(payload)).hexdigest() and r["media_bytes"] == len(payload) + 44
     assert got[7]["feature"] == got[8]["feature"] and got[1]["feature"].split(";")[1] == "tensors=0"
-    assert media.digests(media.extract(media.store_media(frame(spark, [])))).count() == 0
+    assert media.digests(media.store_features(frame(spark, []))).count() == 0
+    again = media.digests(media.store_features(frame(spark, ODD))).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
 def test_media_signal():
