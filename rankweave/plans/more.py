@@ -83,4 +83,5 @@ def register(add: Callable, over: Callable, given: Callable) -> None:
 
     # Streams.
     add("STM4", lambda s, d: counters.drained(counters.daily_counters(counters.events_stream(s, d)), "complete"), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS hits, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY 1, 2")
+    add("STM7", lambda s, d: counters.recounted_days(counters.events_stream(s, d)), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS hits, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM events WHERE CAST(ts AS DATE) <= (SELECT CAST(max(ts) AS DATE) - 2 FROM events) GROUP BY 1, 2")
     add("STM5", lambda s, d: counters.drained(counters.emit_once(counters.events_stream(s, d)), "append"), "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")

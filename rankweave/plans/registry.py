@@ -11,6 +11,7 @@ from rankweave.operators import content, graph, performance, rules, series
 from rankweave.plans import choices, imports, more, relations, scoring, signals, site_audit, texts, traffic, wider
 from rankweave.sources import tables
 from rankweave.sources.tables import table, twin
+from rankweave.streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,16 +114,30 @@ _add("MTH3", _over(tables.metric_daily, lambda m: performance.divergence(m, 7)),
     SELECT brand, CASE WHEN max(r) > 0 AND max(p) > 0 THEN round(least(1.0, greatest(0.0, (sum(CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END) + sum(CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END)) / 2)), 6) END AS divergence FROM x GROUP BY brand""", "metric"))
 
 # Measurement series.
+def _monitor(kind: str) -> Query:
+    """Views of the state that a stream of measurements leaves."""
+    pick = {
+        "STM1": lambda m: m.where("status = 'error' AND before = 'error'").selectExpr("key", "2L AS checks", "2L AS failed"),
+        "STM2": lambda m: m.where("oks > 0").selectExpr("key", "oks AS checks", "(ok1 + coalesce(ok2, 0) + coalesce(ok3, 0)) / oks AS mean").where("mean > 6000"),
+        "STM3": lambda m: m.select("key", "changes", "rows"),
+        "STM6": lambda m: m.select("key", "first_id", "last_id", "most", "status"),
+    }[kind]
+    return lambda spark, sf_dir: pick(counters.drained(counters.monitored(counters.measurements(spark, sf_dir)), "update", ("key",)))
+
+
 _NEWEST = "n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen DESC, id DESC) AS k FROM series)"
 _add("WIN1", _over(tables.metric_series, series.latest), twin(f"WITH {_NEWEST} SELECT key, id, status, value FROM n WHERE k = 1", "series"))
 _add("WIN2", _over(tables.metric_series, series.second_latest), twin(f"WITH {_NEWEST} SELECT key, id, status, value FROM n WHERE k = 2", "series"))
 _add("WIN3", _over(tables.metric_series, series.turned_bad), twin(f"WITH {_NEWEST}, t AS (SELECT key, max(CASE WHEN k = 1 THEN status END) AS now, max(CASE WHEN k = 2 THEN status END) AS before FROM n WHERE k <= 2 GROUP BY key) SELECT * FROM t WHERE now = 'error' AND before <> 'error'", "series"))
 _add("WIN5", _over(tables.metric_series, lambda s: series.newest(s.where("status <> 'error'"), 2).select("key", "id", "value", "k")), twin("WITH n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen DESC, id DESC) AS k FROM series WHERE status <> 'error') SELECT key, id, value, CAST(k AS INTEGER) AS k FROM n WHERE k <= 2", "series"))
-_add("STM1", _over(tables.metric_series, series.failing_run), twin(f"WITH {_NEWEST} SELECT key, count(*) AS checks, count(CASE WHEN status = 'error' THEN 1 END) AS failed FROM n WHERE k <= 2 GROUP BY key HAVING count(*) = 2 AND count(CASE WHEN status = 'error' THEN 1 END) = 2", "series"))
-_add("STM2", _over(tables.metric_series, series.slow_lately), twin("WITH n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen DESC, id DESC) AS k FROM series WHERE status <> 'error') SELECT key, count(*) AS checks, sum(value)::DOUBLE / count(*) AS mean FROM n WHERE k <= 3 GROUP BY key HAVING sum(value)::DOUBLE / count(*) > 6000", "series"))
-_add("STM3", _over(tables.metric_series, series.changes), twin("WITH l AS (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY seen, id) AS before FROM series) SELECT key, count(CASE WHEN before <> status THEN 1 END) AS changes, count(*) AS rows FROM l GROUP BY key", "series"))
-_add("STM6", _over(tables.metric_series, series.first_and_last), twin("SELECT key, first(id ORDER BY seen, id) AS first_id, last(id ORDER BY seen, id) AS last_id, max(value) AS most, last(status ORDER BY seen, id) AS status FROM series GROUP BY key", "series"))
-for _id, _as in (("ALR34", "STM1"), ("ALR35", "STM2"), ("ALR43", "WIN3")):
+_add("STM1", _monitor("STM1"), twin(f"WITH {_NEWEST} SELECT key, count(*) AS checks, count(CASE WHEN status = 'error' THEN 1 END) AS failed FROM n WHERE k <= 2 GROUP BY key HAVING count(*) = 2 AND count(CASE WHEN status = 'error' THEN 1 END) = 2", "series"))
+_add("STM2", _monitor("STM2"), twin("WITH n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen DESC, id DESC) AS k FROM series WHERE status <> 'error') SELECT key, count(*) AS checks, sum(value)::DOUBLE / count(*) AS mean FROM n WHERE k <= 3 GROUP BY key HAVING sum(value)::DOUBLE / count(*) > 6000", "series"))
+_add("STM3", _monitor("STM3"), twin("WITH l AS (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY seen, id) AS before FROM series) SELECT key, count(CASE WHEN before <> status THEN 1 END) AS changes, count(*) AS rows FROM l GROUP BY key", "series"))
+_add("STM6", _monitor("STM6"), twin("SELECT key, first(id ORDER BY seen, id) AS first_id, last(id ORDER BY seen, id) AS last_id, max(value) AS most, last(status ORDER BY seen, id) AS status FROM series GROUP BY key", "series"))
+# The alerts ask the same of the stored rows that the monitors ask of the stream.
+_add("ALR34", _over(tables.metric_series, series.failing_run), ORACLES["STM1"])
+_add("ALR35", _over(tables.metric_series, series.slow_lately), ORACLES["STM2"])
+for _id, _as in (("ALR43", "WIN3"),):
     QUERIES[_id], ORACLES[_id] = QUERIES[_as], ORACLES[_as]
 _add("ALR36", _over(tables.metric_series, lambda s: series.newest(s, 2).groupBy("key").agg(F.count_distinct("status").alias("kinds")).where("kinds > 1")), twin(f"WITH {_NEWEST} SELECT key, count(DISTINCT status) AS kinds FROM n WHERE k <= 2 GROUP BY key HAVING count(DISTINCT status) > 1", "series"))
 

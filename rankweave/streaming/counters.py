@@ -1,9 +1,13 @@
-"""Structured Streaming forms: windowed counters with late-data policy, and emit-once events."""
+"""Structured Streaming forms: counters and their policies on late rows, emit-once events, and monitors with state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankweave.sources import shared
 
@@ -26,9 +30,10 @@ def emit_once(stream: DataFrame, late: str = "40 days") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over what there is now and returns its result, which executors write as Parquet to
-    the shared folder. In complete mode each batch writes the whole result and the newest one counts."""
+    the shared folder. In complete mode each batch writes the whole result and the newest one counts; in
+    update mode each batch's rows are written and the newest row of each key counts."""
     spark = stream.sparkSession
     folder = shared.folder(spark)
     newest = [f"{folder}/rows"]
@@ -37,7 +42,71 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
         newest[0] = f"{folder}/rows-{batch}"
         rows.write.mode("overwrite").parquet(newest[0])
 
+    def updates(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    writer = writer.foreachBatch(whole) if mode == "complete" else writer.format("parquet").option("path", newest[0])
+    if mode == "append":
+        writer = writer.format("parquet").option("path", newest[0])
+    else:
+        writer = writer.foreachBatch(whole if mode == "complete" else updates)
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(newest[0])
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(newest[0])
+    rows = spark.read.option("basePath", newest[0]).parquet(newest[0])
+    last = F.max_by(F.struct(*(c for c in stream.columns)), "batch").alias("r")
+    return rows.groupBy(*keys).agg(last).select("r.*")
+
+
+_SEEN = "key long, rows long, changes long, first_id long, last_id long, most long, status string, before string, ok1 long, ok2 long, ok3 long, oks long"
+
+
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Takes a key's new measurements in the order of their times; state is of one size whatever has been seen."""
+    rows, changes, first_id, last_id, most, status, before, *ok = state.get if state.exists else (0, 0, None, None, None, None, None, None, None, None)
+    news = pd.concat(list(batches)).sort_values(["seen", "id"])
+    for id_, now, value in news[["id", "status", "value"]].itertuples(index=False):
+        rows, changes = rows + 1, changes + (rows > 0 and now != status)
+        first_id, last_id = (int(id_) if first_id is None else first_id), int(id_)
+        most = int(value) if most is None else max(most, int(value))
+        before, status = status, now
+        if now != "error":
+            ok = [int(value), *ok[:2]]
+    state.update((rows, changes, first_id, last_id, most, status, before, *ok))
+    found = {"key": key[0], "rows": rows, "changes": changes, "first_id": first_id, "last_id": last_id, "most": most, "status": status, "before": before, "ok1": ok[0], "ok2": ok[1], "ok3": ok[2], "oks": sum(x is not None for x in ok)}
+    yield pd.DataFrame({k: pd.array([v], dtype="string" if k in ("status", "before") else "Int64") for k, v in found.items()})
+
+
+def monitored(stream: DataFrame) -> DataFrame:
+    """What is known of each key of measurements (key, seen, id, status, value): counts, the last two states
+    and the last three values that are no errors. Rows of one micro-batch are put in order by time;
+    those of a later batch count as later."""
+    kept = "rows long, changes long, first_id long, last_id long, most long, status string, before string, ok1 long, ok2 long, ok3 long"
+    return stream.groupBy("key").applyInPandasWithState(_follow, _SEEN, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, seen, id, status and value (cents) of the events, as a stream."""
+    events = events_stream(spark, sf_dir)
+    return events.select(F.col("user_id").alias("key"), F.col("ts").alias("seen"), F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.round(F.col("value") * 100).cast("long").alias("value"))
+
+
+def recounted_days(stream: DataFrame, lag: int = 2) -> DataFrame:
+    """Events and value (cents) of each type and day, however late rows come: each batch adds its rows, and the
+    days that it touches are counted anew and written over. Days newer than `lag` before the newest one are
+    held back, as they may still grow. A batch that is run again writes the same."""
+    spark = stream.sparkSession
+    folder = shared.folder(spark)
+    rows = stream.select(F.to_date("ts").alias("day"), "event_type", F.round(F.col("value") * 100).cast("long").alias("value"))
+
+    def recount(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/raw/batch={number}")
+        touched = spark.read.parquet(f"{folder}/raw/batch={number}").select("day").distinct()
+        every = spark.read.option("basePath", f"{folder}/raw").parquet(f"{folder}/raw").join(touched, "day", "left_semi")
+        counted = every.groupBy("day", "event_type").agg(F.count("*").alias("hits"), F.sum("value").alias("value"))
+        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{folder}/days")
+
+    rows.writeStream.foreachBatch(recount).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    days = spark.read.schema("event_type string, hits long, value long, day date").parquet(f"{folder}/days")
+    newest = days.agg(F.max("day").alias("newest"))
+    return days.join(F.broadcast(newest), F.col("day") <= F.date_sub("newest", lag)).select("day", "event_type", "hits", "value")
