@@ -3,6 +3,10 @@ result is that of one pass over the sorted whole, without a task that sees it al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +76,78 @@ def greedy_clusters(items: DataFrame, pairs: DataFrame, most: int = 30) -> DataF
             return done.select(F.col("k.id").alias("id"), F.col("seed.id").alias("seed"))
         gone = round_.select("k")
         edges = checkpointed(edges.join(gone.withColumnRenamed("k", "ka"), "ka", "left_anti").join(gone.withColumnRenamed("k", "kb"), "kb", "left_anti"))
+
+
+def cohesion(members: list[set]) -> float:
+    """Mean Jaccard of all pairs of token sets; 1 of fewer than two."""
+    shares = [len(x & y) / len(x | y) if x | y else 0.0 for x, y in combinations(members, 2)]
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def merged_by_page(items: DataFrame, found: DataFrame, most: int = 30, share: float = 0.6, least: float = 0.18) -> DataFrame:
+    """id and topic of items (id, weight, tokens, place, page) in clusters (id, seed): clusters whose weight lies
+    by `share` on one page join the page's first cluster, in the order of their seeds, as long as it has
+    its place, `most` members at most and a mean Jaccard of `least`. Each page's clusters pass by in order
+    in one task that keeps the first cluster only, never the whole group."""
+    rows = items.join(found, "id")
+    weights = rows.groupBy("seed", "page").agg(F.sum(F.greatest(F.col("weight"), F.lit(1))).alias("w"))
+    owner = weights.groupBy("seed").agg(F.max_by(F.struct("page", "w"), F.struct("w", "page")).alias("top"), F.sum("w").alias("all")).where(F.col("top.w") >= share * F.col("all")).select("seed", F.col("top.page").alias("page"))
+    members = rows.groupBy("seed").agg(F.collect_list("tokens").alias("members"), F.max(F.when(F.col("id") == F.col("seed"), F.col("place"))).alias("place"), F.max(F.when(F.col("id") == F.col("seed"), F.col("weight"))).alias("weight"))
+    owned = members.join(owner, "seed").select("page", (-F.col("weight")).alias("w"), F.length("seed").alias("n"), "seed", "place", "members")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, first, place, kept = None, None, None, []
+        for batch in batches:
+            topics = []
+            for row in batch.itertuples(index=False):
+                own = [set(m) for m in row.members]
+                if first is None or row.page != page:
+                    page, first, place, kept = row.page, row.seed, row.place, own
+                elif row.place == place and len(kept) + len(own) <= most and cohesion(kept + own) >= least:
+                    kept = kept + own
+                    topics.append(first)
+                    continue
+                topics.append(row.seed)
+            yield pd.DataFrame({"seed": batch["seed"], "topic": topics})
+
+    joined = owned.repartition("page").sortWithinPartitions("page", "w", "n", "seed").mapInPandas(fold, "seed string, topic string")
+    return found.join(joined, "seed", "left").select("id", F.coalesce("topic", "seed").alias("topic"))
+
+
+def plain_greedy(rows: list[tuple], least: float, contained: float, generic: float = 0.6, most: int = 30) -> dict[str, str]:
+    """The seed of each of a few items (id, weight, tokens, place): one pass, for groups of bounded size."""
+    df: dict[str, int] = {}
+    for _, _, tokens, _ in rows:
+        for t in tokens:
+            df[t] = df.get(t, 0) + 1
+    heads = {r[0]: {t for t in r[2] if df[t] <= generic * len(rows)} for r in rows}
+    order = sorted(rows, key=lambda r: (-r[1], len(r[0]), r[0]))
+    seeds: dict[str, str] = {}
+    for id_, _, tokens, place in order:
+        if id_ in seeds:
+            continue
+        seeds[id_], near = id_, []
+        for k, (other, _, theirs, where) in enumerate(order):
+            shared, either = len(set(tokens) & set(theirs)), len(set(tokens) | set(theirs))
+            close = shared >= least * either or shared >= contained * min(len(tokens), len(theirs))
+            if other not in seeds and where == place and close and (not heads[id_] or not heads[other] or heads[id_] & heads[other]):
+                near.append((-shared / either, k, other))
+        seeds |= {other: id_ for _, _, other in sorted(near)[: most - 1]}
+    return seeds
+
+
+def subtopics(items: DataFrame, topics: DataFrame, least_size: int = 12, sections: int = 8) -> DataFrame:
+    """topic, label, phrases, impressions and clicks of the parts of topics with `least_size` members or more:
+    their members (thirty at most) clustered anew at a stricter bound; the `sections` strongest parts; none
+    where that gives one part, or nearly one a member."""
+    rows = items.join(topics, "id")
+    large = rows.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select("topic")
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:
+        seeds = plain_greedy(list(group[["id", "weight", "tokens", "place"]].itertuples(index=False, name=None)), 0.6, 0.9)
+        parts = group.assign(label=group["id"].map(seeds)).groupby("label", as_index=False).agg(topic=("topic", "first"), phrases=("id", "count"), impressions=("weight", "sum"), clicks=("clicks", "sum"))
+        if len(parts) < 2 or len(parts) > 0.7 * len(group):
+            parts = parts[:0]
+        return parts.sort_values(["impressions", "label"], ascending=[False, True])[:sections][["topic", "label", "phrases", "impressions", "clicks"]]
+
+    return rows.join(large, "topic", "left_semi").groupBy("topic").applyInPandas(split, "topic string, label string, phrases long, impressions long, clicks long")

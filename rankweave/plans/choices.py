@@ -15,9 +15,9 @@ from rankweave.sources import phrases
 
 
 def phrase_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, weight, tokens and place of each search phrase with a token."""
+    """id, weight, clicks, page, tokens and place of each search phrase with a token."""
     k = phrases.keywords(spark, sf_dir)
-    return k.select(F.col("keyword").alias("id"), F.col("impressions").alias("weight"), language.phrase_tokens(F.col("keyword"), _STOP).alias("tokens"), language.place_key(F.col("keyword")).alias("place")).where("size(tokens) > 0")
+    return k.select(F.col("keyword").alias("id"), F.col("impressions").alias("weight"), "clicks", "page", language.phrase_tokens(F.col("keyword"), _STOP).alias("tokens"), language.place_key(F.col("keyword")).alias("place")).where("size(tokens) > 0")
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,11 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.greedy_clusters(items, selection.similar(items))
 
 
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and topic of each phrase: clusters, merged where one page answers them."""
+    return selection.merged_by_page(phrase_items(spark, sf_dir), checkpointed(clusters(spark, sf_dir)))
+
+
 def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target and score of links between phrases' pages: likeness, the target's need of links and the
     source's authority, less where the source's words have no anchor for the target."""
@@ -43,5 +48,7 @@ def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(add: Callable) -> None:
     """Adds this module's queries."""
     add("GRF4", clusters)
+    add("GRF5", topics)
+    add("GRF6", lambda s, d: selection.subtopics(phrase_items(s, d), topics(s, d)))
     add("GRF7", lambda s, d: selection.capped(link_scores(s, d), 5, 3))
     add("WIN15", lambda s, d: selection.capped(phrases.keywords(s, d).selectExpr("page AS source", "impressions % 40 AS target", "clicks AS score").groupBy("source", "target").agg(F.max("score").alias("score")), 4, 6))

@@ -46,9 +46,8 @@ def register(add: Callable, over: Callable, given: Callable) -> None:
     add("JOIN2", over(tables.metric_daily, left_windows), twin(f"WITH {anchored} SELECT brand, entity, pc, coalesce(rc, 0) AS rc FROM p LEFT JOIN r USING (brand, entity) WHERE pc >= 2", "metric"))
     add("JOIN3", over(tables.metric_daily, full_windows), twin(f"""WITH {anchored}, f AS (SELECT brand, entity, coalesce(pc, 0) AS pc, coalesce(rc, 0) AS rc FROM p FULL JOIN r USING (brand, entity))
         SELECT *, CASE WHEN pc > 0 THEN (rc - pc) * 100::DOUBLE / pc END AS delta, CASE WHEN pc > 0 THEN (rc - pc) * 100::DOUBLE / pc WHEN rc > 0 THEN 100 ELSE 0 END AS lead FROM f""", "metric"))
-    QUERIES_MTH1 = (over(tables.metric_daily, full_windows), twin(f"""WITH {anchored}, f AS (SELECT brand, entity, coalesce(pc, 0) AS pc, coalesce(rc, 0) AS rc FROM p FULL JOIN r USING (brand, entity))
+    windows = (over(tables.metric_daily, full_windows), twin(f"""WITH {anchored}, f AS (SELECT brand, entity, coalesce(pc, 0) AS pc, coalesce(rc, 0) AS rc FROM p FULL JOIN r USING (brand, entity))
         SELECT *, CASE WHEN pc > 0 THEN (rc - pc) * 100::DOUBLE / pc END AS delta, CASE WHEN pc > 0 THEN (rc - pc) * 100::DOUBLE / pc WHEN rc > 0 THEN 100 ELSE 0 END AS lead FROM f""", "metric"))
-    add("MTH1", *QUERIES_MTH1)
     add("JOIN7", lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name"),
         "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
     add("JOIN13", lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.operators import content, graph, performance, rules, series
-from rankweave.plans import choices, imports, more, relations, scoring, signals, site_audit, texts, traffic, wider
+from rankweave.plans import choices, composites, imports, more, relations, scoring, signals, site_audit, texts, traffic, wider
 from rankweave.sources import tables
 from rankweave.sources.tables import table, twin
 from rankweave.streaming import counters
@@ -108,7 +108,8 @@ _add("WIN9", _over(tables.long_daily, performance.moving_means), twin(f"""WITH {
 _add("AGG20", _over(tables.query_page, performance.click_curve), twin("""WITH s AS (SELECT CAST(CASE WHEN position <= 10 THEN position WHEN position <= 15 THEN 15 ELSE 20 END AS BIGINT) AS bucket, CAST(sum(clicks) AS BIGINT) AS c, CAST(sum(impressions) AS BIGINT) AS i FROM query_page GROUP BY 1),
     g AS (SELECT sum(clicks)::DOUBLE / sum(impressions) AS g FROM query_page)
     SELECT bucket, c, i, min((c + 1000 * g) / (i + 1000)) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate FROM s, g WHERE i >= 200""", "query_page"))
-QUERIES["WIN8"], ORACLES["WIN8"] = QUERIES["AGG20"], ORACLES["AGG20"]
+_add("WIN8", _over(tables.rank_positions, lambda r: r.select("keyword", "captured_on", F.min("position").over(Window.partitionBy("keyword").orderBy("captured_on").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("best"))),
+     twin("SELECT keyword, captured_on, min(position) OVER (PARTITION BY keyword ORDER BY captured_on ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM ranks", "ranks"))
 _add("MTH3", _over(tables.metric_daily, lambda m: performance.divergence(m, 7)), twin(f"""WITH {_compared('brand, entity', 7)}, t AS (SELECT brand, sum(rc) AS r, sum(pc) AS p FROM c GROUP BY brand),
     x AS (SELECT brand, r, p, rc::DOUBLE / r AS a, pc::DOUBLE / p AS b FROM c JOIN t USING (brand))
     SELECT brand, CASE WHEN max(r) > 0 AND max(p) > 0 THEN round(least(1.0, greatest(0.0, (sum(CASE WHEN a > 0 THEN a * log2(a / ((a + b) / 2)) ELSE 0 END) + sum(CASE WHEN b > 0 THEN b * log2(b / ((a + b) / 2)) ELSE 0 END)) / 2)), 6) END AS divergence FROM x GROUP BY brand""", "metric"))
@@ -187,7 +188,6 @@ _add("MTH5", _given("documents", content.tf_idf), f"""WITH {_TERMS}, a AS (SELEC
 # Graphs.
 _EDGES = "e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey - 1 AS dst FROM lineitem)"
 _DEGREES = f"{_EDGES}, g AS (SELECT coalesce(i.node, o.node) AS node, coalesce(inbound, 0) AS inbound, coalesce(outbound, 0) AS outbound FROM (SELECT dst AS node, count(*) AS inbound FROM e GROUP BY dst) i FULL JOIN (SELECT src AS node, count(*) AS outbound FROM e GROUP BY src) o ON i.node = o.node)"
-_add("GRF1", _given("lineitem", lambda x: graph.degrees(graph.edges(x))), f"WITH {_DEGREES} SELECT * FROM g")
 _add("AGG41", _given("lineitem", lambda x: series.gini(graph.degrees(graph.edges(x)), "inbound")), f"WITH {_DEGREES}, i AS (SELECT inbound AS x, row_number() OVER (ORDER BY inbound) AS i, count(*) OVER () AS n FROM g) SELECT max(n) AS n, round(2 * sum(i * x)::DOUBLE / (max(n) * sum(x)) - (max(n) + 1)::DOUBLE / max(n), 3) AS gini FROM i")
 _add("WIN7", _given("lineitem", lambda x: series.tie_averaged_rank(graph.degrees(graph.edges(x)), "inbound")), f"WITH {_DEGREES}, t AS (SELECT inbound, count(*) AS ties FROM g GROUP BY inbound) SELECT inbound, ties, (coalesce(sum(ties) OVER (ORDER BY inbound DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + ties / 2)::DOUBLE / sum(ties) OVER () AS percentile FROM t")
 _add("MTH6", _given("lineitem", lambda x: graph.page_rank(graph.edges(x))))
@@ -203,3 +203,4 @@ texts.register(_add, _given)
 imports.register(_add, _given)
 relations.register(_add, _given)
 choices.register(_add)
+composites.register(_add, _given)

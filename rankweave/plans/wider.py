@@ -50,18 +50,7 @@ def halves(events: DataFrame) -> DataFrame:
     return sets.select("user_id", F.coalesce(ratio_null(shared, either), F.lit(1.0)).alias("empty_is_one"), F.coalesce(ratio_null(shared, either), F.lit(0.0)).alias("empty_is_zero"), ratio_null(shared, F.least(F.size("a"), F.size("b"))).alias("overlap"))
 
 
-def pillars(events: DataFrame, weights: dict[str, int]) -> DataFrame:
-    """Weighted mean of each user's pillars (capped mean values); pillars without rows leave both sides."""
-    cents = F.round(F.col("value") * 100).cast("long")
-    means = events.where(F.col("event_type").isin(*weights)).groupBy("user_id", "event_type").agg(F.sum(cents).alias("s"), F.count("*").alias("n"))
-    weight = F.coalesce(*(F.when(F.col("event_type") == t, w) for t, w in weights.items()))
-    scored = means.select("user_id", weight.cast("long").alias("w"), F.least(F.lit(100), F.floor(F.col("s") / (100 * F.col("n")))).cast("long").alias("v"))
-    return scored.groupBy("user_id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("score"), F.count("*").alias("pillars"))
-
-
 _HITS = "event_type, user_id, count(*) AS hits, CAST(min(ts) AS DATE) AS first_seen, CAST(max(ts) AS DATE) AS last_seen, last(event_id ORDER BY ts, event_id) AS last_id FROM events GROUP BY event_type, user_id"
-_PILLARS = {"purchase": 28, "click": 20, "signup": 20, "view": 12, "error": 12}
-_CHECKS = "CASE event_type WHEN 'purchase' THEN 18 WHEN 'click' THEN 16 ELSE 8 END"
 
 
 def register(add: Callable, over: Callable, given: Callable, compared: Callable[[str, int], str]) -> None:
@@ -139,10 +128,5 @@ def register(add: Callable, over: Callable, given: Callable, compared: Callable[
         "SELECT p_partkey, p_name FROM part WHERE coalesce(p_retailprice, 0) >= 950 AND coalesce(p_size, 0) <= 40 AND len(string_split(p_name, ' ')) >= 2 AND NOT contains(lower(p_name), 'xyz')")
 
     # Scores.
-    add("SCR2", given("events", lambda e: e.groupBy("user_id").agg((F.sum(F.expr(_CHECKS) * F.when(F.col("value") > 100, 2).when(F.col("value") > 20, 1).otherwise(0)) * 50 / F.sum(F.expr(_CHECKS))).alias("score"))),
-        f"SELECT user_id, sum({_CHECKS} * CASE WHEN value > 100 THEN 2 WHEN value > 20 THEN 1 ELSE 0 END)::DOUBLE * 50 / sum({_CHECKS}) AS score FROM events GROUP BY user_id")
     add("SCR9", over(tables.rank_positions, lambda r: r.groupBy("captured_on").agg(F.when(F.count("position") > 0, F.least(F.lit(100), 4 * F.count_if(F.col("position").between(4, 20)) + 2 * F.count_if(F.col("position") <= 3))).cast("long").alias("score"))),
         twin("SELECT captured_on, CASE WHEN count(position) > 0 THEN least(100, 4 * count(CASE WHEN position BETWEEN 4 AND 20 THEN 1 END) + 2 * count(CASE WHEN position <= 3 THEN 1 END)) END AS score FROM ranks GROUP BY captured_on", "ranks"))
-    add("SCR12", given("events", lambda e: pillars(e, _PILLARS)), f"""WITH m AS (SELECT user_id, event_type, sum(CAST(round(value * 100) AS BIGINT)) AS s, count(*) AS n FROM events WHERE event_type IN ({", ".join(f"'{t}'" for t in _PILLARS)}) GROUP BY 1, 2),
-        v AS (SELECT user_id, CASE event_type {" ".join(f"WHEN '{t}' THEN {w}" for t, w in _PILLARS.items())} END AS w, least(100, CAST(floor(s::DOUBLE / (100 * n)) AS BIGINT)) AS v FROM m)
-        SELECT user_id, sum(w * v)::DOUBLE / sum(w) AS score, count(*) AS pillars FROM v GROUP BY user_id""")

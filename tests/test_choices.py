@@ -58,6 +58,53 @@ def test_phrase_clusters_match_a_plain_pass(spark):
     assert {r["id"]: r["seed"] for r in choices.clusters(spark, SF).collect()} == plain_clusters(rows)
 
 
+def test_topics_and_subtopics_match_a_plain_fold(spark):
+    """Merging by dominant page, in seed order, and stricter parts of large topics."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(240):
+        tokens = sorted(set(rng.sample([f"w{j}" for j in range(9)], rng.randint(1, 3))))
+        rows.append((f"{' '.join(tokens)} {k}", rng.randint(1, 30), rng.randint(0, 5), rng.randint(0, 3), tokens, rng.choice(["", "", "austin"])))
+    items = spark.createDataFrame(rows, "id string, weight long, clicks long, page int, tokens array<string>, place string")
+    by_id = {r[0]: r for r in rows}
+    seeds = plain_clusters([(r[0], r[1], r[4], r[5]) for r in rows], most=4)
+    found = spark.createDataFrame(list(seeds.items()), "id string, seed string")
+    members = {}
+    for i, s in seeds.items():
+        members.setdefault(s, []).append(i)
+    topic, first = {}, {}
+    for s in sorted(members, key=lambda x: (-by_id[x][1], len(x), x)):
+        weights = {}
+        for i in members[s]:
+            weights[by_id[i][3]] = weights.get(by_id[i][3], 0) + max(1, by_id[i][1])
+        page, w = max(weights.items(), key=lambda e: (e[1], e[0]))
+        topic[s] = s
+        if w < 0.6 * sum(weights.values()):
+            continue
+        if page not in first:
+            first[page] = (s, list(members[s]))
+            continue
+        head, kept = first[page]
+        both = kept + members[s]
+        if by_id[head][5] == by_id[s][5] and len(both) <= 30 and selection.cohesion([set(by_id[i][4]) for i in both]) >= 0.18:
+            topic[s], first[page] = head, (head, both)
+    want = {i: topic[s] for i, s in seeds.items()}
+    topics = selection.merged_by_page(items, found)
+    assert {r["id"]: r["topic"] for r in topics.collect()} == want and len(set(want.values())) < len(members)
+    parts = selection.subtopics(items, topics).collect()
+    for t in {r["topic"] for r in parts}:
+        own = [by_id[i] for i, x in want.items() if x == t]
+        sub = plain_clusters([(r[0], r[1], r[4], r[5]) for r in own], least=0.6, contained=0.9)
+        groups = {}
+        for i, s in sub.items():
+            groups.setdefault(s, []).append(by_id[i])
+        assert len(own) >= 12 and 2 <= len(groups) <= 0.7 * len(own)
+        got = sorted((r["label"], r["phrases"], r["impressions"], r["clicks"]) for r in parts if r["topic"] == t)
+        strongest = sorted(groups.items(), key=lambda g: (-sum(r[1] for r in g[1]), g[0]))[:8]
+        assert got == sorted((s, len(g), sum(r[1] for r in g), sum(r[2] for r in g)) for s, g in strongest)
+    assert parts
+
+
 def test_capped_choice_matches_a_plain_pass(spark):
     rng = random.Random(5)
     edges = {(rng.randint(0, 20), rng.randint(0, 15)): rng.randint(0, 9) for _ in range(250)}
