@@ -35,9 +35,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: The same pattern in the standard library's faster matcher, for texts of characters that both class alike.
 _PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 _COMPARED = 0x3000
-BLOCK_CHARS = 1 << 21
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 400_000
+BLOCK_CHARS = 1 << 20
+KEPT_WORDS = 120_000
+KEPT_PAIRS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -223,10 +223,11 @@ def _encoder(path: str) -> ByteBpe:
     return _loaded[path]
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
+def _blocks(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in blocks; only a block's are Python strings at a time."""
     block, chars = [], 0
     for text in texts:
-        block.append(text or "")
+        block.append(text.as_py() or "")
         chars += len(block[-1])
         if chars >= BLOCK_CHARS:
             yield block
@@ -251,7 +252,7 @@ def encode(docs: DataFrame, path: str, carry: tuple[str, ...] = (), text: str =
         bpe = _encoder(path)
         for batch in batches:
             first = 0
-            for block in _blocks(batch.column("__text").to_pylist()):
+            for block in _blocks(batch.column("__text")):
                 part = batch.slice(first, len(block))
                 first += len(block)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _id_lists(bpe.encode_block(block))], names=[*kept, "ids"])
@@ -284,7 +285,7 @@ def round_trip_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = (),
         bpe = _encoder(path)
         for batch in batches:
             first = 0
-            for block in _blocks(batch.column("__text").to_pylist()):
+            for block in _blocks(batch.column("__text")):
                 part = batch.slice(first, len(block))
                 first += len(block)
                 ids = bpe.encode_block(block)
@@ -299,6 +300,7 @@ def round_trip_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = (),
                 } | ({"ids": _id_lists(ids)} if with_ids else {})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns.values()], names=[*kept, *columns])
         bpe.ids_of.clear()  # the worker stays for other stages
+        bpe.pairs.clear()
         give_back()
 
     return picked.mapInArrow(run, schema)
