@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.shared import cut, materialised
 
-BLOCK = 4096
+BLOCK = 512
 #: A group is ranked in blocks of about so many rows.
 GROUP_BLOCK = 128
 #: So many blocks' offsets are summed up in one task.
