@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, language_id, line_rules, media, mixing, sharding, toxicity, warc, weak_labels
+from rankweave.llm import bpe, language_id, line_rules, media, mixing, sharding, toxicity, vector_codes, warc, weak_labels
 from rankweave.llm.near_dup import near_duplicates
 from rankweave.llm.shared import fold_of, table
 
@@ -76,12 +76,44 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 16 parts, 64 entries each, 2 rounds, components times 256."""
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules,
     "op6_weak_labels": op6_weak_labels, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_sharding": op9_sharding, "op10_minhash": op10_minhash,
+    "op11_vector_codes": op11_vector_codes,
 }
+def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The plain definition: every part against every entry, a round at a time."""
+    assign = lambda k: f"""
+        d{k} AS (SELECT q.rid, q.part, b.entry, q.x, list_sum([(q.x[i] - b.x[i]) * (q.x[i] - b.x[i]) FOR i IN generate_series(1, len(q.x))]) AS d
+                FROM pieces q JOIN b{k} b USING (part)),
+        a{k} AS (SELECT rid, part, min_by(entry, d * {entries} + entry) AS entry, min(d) AS d, any_value(x) AS x FROM d{k} GROUP BY rid, part)"""
+    means = lambda k: f"""
+        m{k} AS (SELECT part, entry, list(v ORDER BY i) AS x FROM (
+                SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v FROM a{k}, generate_series(1, len(x)) AS g(i) GROUP BY part, entry, i) GROUP BY part, entry),
+        b{k + 1} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+    steps = ",".join(f"{assign(k)},{means(k)}" for k in range(rounds))
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+                [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        pieces AS MATERIALIZED (SELECT rid, p AS part, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x FROM kept, generate_series(0, {parts - 1}) AS g(p)),
+        b0 AS (SELECT part, rid - 1 AS entry, x FROM pieces WHERE rid <= {entries}),{steps},{assign(rounds)},
+        coded AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+        books AS (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM b{rounds}, generate_series(1, len(x)) AS g(i))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (rid) CROSS JOIN books
+    """
+
+
 #: Only what SQL expresses as a whole; the other queries are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": vector_codes_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
