@@ -7,8 +7,8 @@ each used entry by the floored mean of its parts. In the end parts are assigned
 
 The vectors are written once as chunks. Within a chunk each part position's points are sorted along a
 Hilbert curve and laid out flat in blocks of BLOCK points, each with its min/max box and its sum. A round
-first measures boxes against entries: an entry whose least distance to a box is over another entry's
-greatest one can't win in that block. What is left is the block's shortlist. A shortlist of one entry
+first measures boxes against entries: an entry that is farther than another one all over a box can't win in
+that block. What is left is the block's shortlist. A shortlist of one entry
 takes the block by its stored sum, without a look at its points; others are evaluated by integer kernels
 over the block's points and the shortlist. All arithmetic is exact.
 
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from rankweave.llm.memory import give_back
 from rankweave.llm.shared import materialised
 
-CHUNK = 1 << 14
-BLOCK = 64
+#: Vectors of a chunk at most, and components about.
+CHUNK = 1 << 16
+CHUNK_VALUES = 1 << 22
+BLOCK = 32
 BOUND = 1 << 24
 #: So many label sums are broadcast at most; labels of fewer rows are joined by a shuffle.
 HOT = 1 << 16
@@ -107,11 +109,15 @@ def flat_blocks(points: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.n
 
 
 def shortlists(low: np.ndarray, high: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """(block, entry) truth: an entry may be the nearest of some point in the block's box."""
-    below, above = low[:, None, :].astype(np.int64) - book, book - high[:, None, :].astype(np.int64)
-    least = (np.maximum(np.maximum(below, above), 0) ** 2).sum(axis=2)
-    most = (np.maximum(np.abs(below), np.abs(above)) ** 2).sum(axis=2)
-    return least <= most.min(axis=1, keepdims=True)
+    """(block, entry) truth: an entry may be the nearest of some point in the block's box. The entry whose
+    greatest distance to the box is least rules out those that are farther than it all over the box: the difference
+    of two squared distances is linear, so its greatest value lies in a corner."""
+    low, high = low[:, None, :].astype(np.int64), high[:, None, :].astype(np.int64)
+    most = (np.maximum(np.abs(low - book), np.abs(high - book)) ** 2).sum(axis=2)
+    best = book[most.argmin(axis=1)][:, None, :]
+    apart = book - best
+    lead = (best**2).sum(axis=2) - (book**2).sum(axis=1) + 2 * np.maximum(low * apart, high * apart).sum(axis=2)
+    return lead >= 0
 
 
 def nearest(points: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -142,11 +148,29 @@ def _scaled(values: np.ndarray, scale: int) -> np.ndarray:
     return np.clip(np.floor(values * scale), -BOUND, BOUND).astype(np.int32)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a chunk's size: the more points lie along a curve, the tighter the boxes."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK or sum(len(b.column(1).flatten()) for b in held) >= CHUNK_VALUES:
+            yield joined()
+            held.clear()
+    if held:
+        yield joined()
+
+
 def _chunks(parts: int, scale: int):
     """Chunks of whole vectors of one length each, laid out as flat blocks by part position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             lists = batch.column(1)
             lengths = np.asarray(lists.value_lengths())
             starts = np.asarray(lists.offsets)[:-1]
