@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import bpe, dialogue_repair, language_id, line_rules, media, mixing, sharding, toxicity, vector_codes, warc, weak_labels
+from rankweave.llm import bpe, dialogue_repair, language_id, line_rules, media, mixing, sharding, signature_tree, toxicity, vector_codes, warc, weak_labels
 from rankweave.llm.near_dup import near_duplicates
 from rankweave.llm.shared import fold_of, table
 
@@ -82,6 +82,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
+def op12_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents linked on 3-word shingles at a similarity of 0.9."""
+    return signature_tree.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations with faults put in, and their cheapest repairs."""
     verdicts, _ = dialogue_repair.repair(dialogue_repair.damaged(table(spark, sf_dir, "conversations")))
@@ -91,7 +96,7 @@ def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_warc": op4_warc, "op5_line_rules": op5_line_rules,
     "op6_weak_labels": op6_weak_labels, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_sharding": op9_sharding, "op10_minhash": op10_minhash,
-    "op11_vector_codes": op11_vector_codes, "op13_dialogue_repair": op13_dialogue_repair,
+    "op11_vector_codes": op11_vector_codes, "op12_signature_tree": op12_signature_tree, "op13_dialogue_repair": op13_dialogue_repair,
 }
 def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """The plain definition: every part against every entry, a round at a time."""
