@@ -4,8 +4,9 @@ Documents of equal text are linked. They start in shards drawn by a hash. In eac
 documents move towards the shard that holds most of their neighbours. Quotas per pair of shards are
 what the shards can exchange in cycles plus what free room takes, so full shards trade. Where no cycle
 or room is left, groups move towards their fullest shard with room. Each move lowers the cut, and
-rounds end when no such move is left. Documents of one group in one shard are alike, so a round joins and moves counts per (group, shard): a group of any
-size is at most one row a shard, and no group meets in one task. In the end the counts are handed
+rounds end when no such move is left; shards then trade whole groups of those that are still cut.
+Documents of one group in one shard are alike, so a round joins and moves counts per (group, shard): a
+group of any size is at most one row a shard, and no group meets in one task. In the end the counts are handed
 out to the documents, and documents without links fill what room is left, so that row counts differ by
 one at most and slots have no gaps.
 
@@ -97,6 +98,51 @@ def propagate(cells: DataFrame, shards: int, room: int) -> DataFrame:
         cells = cut(cells.select("g", "shard", "c").union(change).groupBy("g", "shard").agg(F.sum("c").alias("c")).where("c > 0"))
 
 
+def _laid_out(groups: DataFrame) -> DataFrame:
+    """groups (g, n) with lo, the sizes n of all groups before them in an order by hash: summed in blocks of
+    about BLOCK groups, whose sums are added up in two levels."""
+    blocks = max(1, -(-groups.count() // BLOCK))
+    salted = groups.select("g", "n", F.pmod(F.xxhash64(F.lit("line"), "g"), F.lit(blocks)).alias("salt")).withColumn("part", F.floor(F.col("salt") / FAN))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(salted.groupBy("part", "salt").agg(F.sum("n").alias("k")))
+    parts = sums.groupBy("part").agg(F.sum("k").alias("k")).withColumn("one", F.lit(1)).withColumn("above", F.sum("k").over(before("one", "part")))
+    offsets = sums.withColumn("inside", F.sum("k").over(before("part", "salt"))).join(parts.select("part", "above"), "part")
+    offsets = offsets.select("part", "salt", (F.coalesce("above", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("offset"))
+    inside = F.coalesce(F.sum("n").over(before("part", "salt", "g")), F.lit(0))
+    return salted.join(offsets, ["part", "salt"]).select("g", "n", (F.col("offset") + inside).alias("lo"))
+
+
+def exchanged(cells: DataFrame, shards: int) -> DataFrame:
+    """Where groups are still cut, shards trade them whole: the room that cut groups take in each shard is laid
+    end to end, and so are the groups. A group that lies within one shard's stretch is whole, so fewer groups
+    than shards are left cut. Loads stay as they are. Groups larger than the least stretch stay where they lie,
+    and all do where the trade wouldn't lower the cut."""
+    totals = cells.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    held = cut(cells.join(totals, "g").select("g", "shard", "c", "n"))
+    most = held.agg(F.max("n")).first()[0]
+    while most is not None:
+        held = held.where(F.col("n") <= most)
+        room = {r["shard"]: r["c"] for r in held.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # one number a shard
+        least = min(room.values(), default=0)
+        if least >= most:
+            break
+        most = held.where(F.col("n") <= least).agg(F.max("n")).first()[0]
+    if most is None:
+        return cells
+    spans, at = [], 0
+    for s, n in sorted(room.items()):
+        spans.append(F.struct(F.lit(s).alias("shard"), F.lit(at).cast("long").alias("lo"), F.lit(at + n).cast("long").alias("hi")))
+        at += n
+    laid = _laid_out(held.select("g", "n").distinct())
+    piece = lambda r: F.struct(r["shard"].alias("shard"), (F.least(r["hi"], F.col("lo") + F.col("n")) - F.greatest(r["lo"], F.col("lo"))).alias("c"))
+    pieces = F.filter(F.transform(F.array(*spans), piece), lambda x: x["c"] > 0)
+    dealt = cut(laid.select("g", F.explode(pieces).alias("x")).select("g", "x.shard", "x.c"))
+    together = lambda df: df.agg(F.sum(F.col("c").cast("decimal(38,0)") * F.col("c"))).first()[0]
+    if together(dealt) <= together(held):
+        return cells
+    return cut(cells.join(dealt.select("g").distinct(), "g", "left_anti").select("g", "shard", "c").unionByName(dealt))
+
+
 def _ranked(rows: DataFrame, keys: list[str], blocks: Column, more: DataFrame | None = None) -> DataFrame:
     """rows with `rank`, from 0 without gaps within the keys: rows are dealt into blocks by a hash,
     the blocks' counts give offsets in two levels, and only a block is ever sorted in one task. `more`
@@ -136,7 +182,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     quota = [least + (s < total % shards) for s in range(shards)]
     spread = base.groupBy("g", _start(shards).alias("shard")).agg(F.count("*").alias("c"))
     groups = materialised(spread.groupBy("g").agg(F.sum("c").alias("n")).where("n > 1"))
-    cells = propagate(cut(spread.join(groups.select("g"), "g")), shards, least)
+    cells = exchanged(propagate(cut(spread.join(groups.select("g"), "g")), shards, least), shards)
     before = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     lo = F.coalesce(F.sum("c").over(before), F.lit(0))
     ranges = cells.withColumn("lo", lo).groupBy("g").agg(F.sum("c").alias("n"), F.collect_list(F.struct("shard", "lo", (F.col("lo") + F.col("c")).alias("hi"))).alias("ranges"))
