@@ -1,5 +1,5 @@
-"""Joins and measures of texts by their terms: cosines, near copies, templates, common terms. Candidates meet on
-terms they share, and only on as many of them as a match must share."""
+"""Joins and measures of texts by their terms: near copies, templates, cohesion. Candidates meet on terms they
+share, and only on as many of them as a match must share."""
 
 from __future__ import annotations
 
@@ -10,27 +10,6 @@ from rankweave.operators import graph, matching
 from rankweave.operators.content import all_matches
 
 
-def weighted(terms: DataFrame) -> DataFrame:
-    """id, term, w: term counts (id, term, n) scaled to unit length."""
-    norm = terms.groupBy("id").agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
-    return terms.join(norm, "id").select("id", "term", (F.col("n") / F.col("norm")).alias("w"))
-
-
-def cosine_pairs(terms: DataFrame, least: float) -> DataFrame:
-    """a, b, cosine of all pairs of texts (id, term, n) at or over `least`. Terms are ordered from rare to
-    common; once the weights of a text's remaining terms are too short to reach the bound (their norm is
-    below it), a match must have met before, so only the terms before that are joined. Exact."""
-    w = weighted(terms)
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    rest = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    tail = w.join(df, "term").withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
-    head = tail.where((F.col("tail") >= least - 1e-9) & (F.col("df") > 1)).select("id", "term")
-    pairs = head.select("term", F.col("id").alias("a")).join(head.select("term", F.col("id").alias("b")), "term").where("a < b").select("a", "b").distinct()
-    left = pairs.join(w.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a")
-    dots = left.join(w.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dots.where(F.col("cosine") >= least - 1e-9).select("a", "b", F.round("cosine", 6).alias("cosine"))
-
-
 def near_copies(docs: DataFrame, id_: str, text: str, percent: int = 85, width: int = 5) -> DataFrame:
     """id, class_id (the smallest id that links reach) and links (other distinct texts it is linked with) of
     each text whose word shingles reach a Jaccard of `percent`. Equal sets count once; texts below a

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import language, overlap, selection
+from rankweave.operators import cosines, language, selection
 from rankweave.operators.graph import checkpointed
 from rankweave.plans.texts import _STOP
 from rankweave.sources import phrases
@@ -36,7 +36,7 @@ def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     source's authority, less where the source's words have no anchor for the target."""
     k = phrases.keywords(spark, sf_dir).groupBy("page").agg(F.max_by("keyword", F.struct("impressions", "keyword")).alias("name"), F.sum("clicks").alias("clicks"), F.count("*").alias("phrases"))
     pages = checkpointed(k.select("page", "clicks", "phrases", language.phrase_tokens(F.col("name"), _STOP).alias("t")))
-    near = overlap.cosine_pairs(pages.select(F.col("page").alias("id"), F.explode("t").alias("term"), F.lit(1).alias("n")), 0.2)
+    near = cosines.cosine_pairs(pages.select(F.col("page").alias("id"), F.explode("t").alias("term"), F.lit(1).alias("n")), 0.2)
     both = near.select(F.col("a").alias("source"), F.col("b").alias("target"), "cosine").union(near.select("b", "a", "cosine"))
     top = pages.agg(F.max("clicks").alias("top")).first()[0] or 1
     met = both.join(pages.select(F.col("page").alias("source"), (F.col("clicks") / top).alias("authority"), F.col("t").alias("x")), "source").join(pages.select(F.col("page").alias("target"), (1 / F.col("phrases")).alias("need"), F.col("t").alias("y")), "target")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import content, language, overlap
+from rankweave.operators import content, cosines, language, overlap
 from rankweave.sources import phrases, site
 from rankweave.sources.phrases import KEYWORDS, MENTIONS
 from rankweave.sources.tables import table
@@ -165,18 +165,20 @@ def register(add: Callable, given: Callable) -> None:
         kept = terms(d).groupBy("id").agg(F.sum("n").alias("words")).where("words >= 100").select("id")
         return terms(d).join(kept, "id", "left_semi")
 
-    add("JOIN19", given("documents", lambda d: overlap.cosine_pairs(long_terms(d), 0.9)), f"{vectors} SELECT x.id AS a, y.id AS b, round(sum(x.n * y.n) / (p.norm * q.norm), 6) AS cosine FROM c x JOIN c y ON x.term = y.term AND x.id < y.id JOIN m p ON p.id = x.id JOIN m q ON q.id = y.id WHERE p.words >= 100 AND q.words >= 100 GROUP BY x.id, y.id, p.norm, q.norm HAVING sum(x.n * y.n) / (p.norm * q.norm) >= 0.9 - 1e-9")
+    add("JOIN19", given("documents", lambda d: cosines.cosine_pairs(long_terms(d), 0.9)), f"{vectors} SELECT x.id AS a, y.id AS b, round(sum(x.n * y.n) / (p.norm * q.norm), 6) AS cosine FROM c x JOIN c y ON x.term = y.term AND x.id < y.id JOIN m p ON p.id = x.id JOIN m q ON q.id = y.id WHERE p.words >= 100 AND q.words >= 100 GROUP BY x.id, y.id, p.norm, q.norm HAVING sum(x.n * y.n) / (p.norm * q.norm) >= 0.9 - 1e-9")
     titles = lambda s, d: phrases.keywords(s, d).select(F.col("keyword").alias("id"), F.explode(language.phrase_tokens(F.col("keyword"), _STOP)).alias("term"), F.lit(1).alias("n"))
-    add("MTH2", lambda s, d: overlap.cosine_pairs(titles(s, d), 0.8), f"""WITH {KEYWORDS}, {_TOKENS}, u AS (SELECT keyword AS id, unnest(tokens) AS term, sqrt(len(tokens)) AS norm FROM k)
+    add("MTH2", lambda s, d: cosines.cosine_pairs(titles(s, d), 0.8), f"""WITH {KEYWORDS}, {_TOKENS}, u AS (SELECT keyword AS id, unnest(tokens) AS term, sqrt(len(tokens)) AS norm FROM k)
         SELECT x.id AS a, y.id AS b, round(count(*) / (x.norm * y.norm), 6) AS cosine FROM u x JOIN u y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id, x.norm, y.norm HAVING count(*) / (x.norm * y.norm) >= 0.8 - 1e-9""")
     def rivals(s: SparkSession, d: str) -> DataFrame:
-        near = overlap.cosine_pairs(titles(s, d), 0.55)
+        """Phrases that compete: on the same page's behalf from 0.30 on, else from 0.55 on with three tokens shared."""
+        near = cosines.cosine_pairs(titles(s, d), 0.3)
         heads = _tokens(s, d).select("keyword", "page", "tokens")
         met = near.join(heads.select(F.col("keyword").alias("a"), F.col("page").alias("pa"), F.col("tokens").alias("x")), "a").join(heads.select(F.col("keyword").alias("b"), F.col("page").alias("pb"), F.col("tokens").alias("y")), "b")
-        return met.where((F.col("pa") == F.col("pb")) | (F.size(F.array_intersect("x", "y")) >= 3)).select("a", "b", "cosine")
+        return met.where((F.col("pa") == F.col("pb")) | ((F.col("cosine") >= 0.55) & (F.size(F.array_intersect("x", "y")) >= 3))).select("a", "b", "cosine")
 
-    add("JOIN17", rivals, f"""WITH {KEYWORDS}, {_TOKENS}, u AS (SELECT keyword AS id, page, unnest(tokens) AS term, sqrt(len(tokens)) AS norm FROM k)
-        SELECT x.id AS a, y.id AS b, round(count(*) / (x.norm * y.norm), 6) AS cosine FROM u x JOIN u y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id, x.norm, y.norm, x.page, y.page HAVING count(*) / (x.norm * y.norm) >= 0.55 - 1e-9 AND (x.page = y.page OR count(*) >= 3)""")
+    add("JOIN17", rivals, f"""WITH {KEYWORDS}, {_TOKENS}, u AS (SELECT keyword AS id, page, unnest(tokens) AS term, sqrt(len(tokens)) AS norm FROM k),
+        c AS (SELECT x.id AS a, y.id AS b, x.page = y.page AS same, count(*) AS shared, round(count(*) / (x.norm * y.norm), 6) AS cosine FROM u x JOIN u y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id, x.norm, y.norm, x.page, y.page)
+        SELECT a, b, cosine FROM c WHERE (same AND cosine >= 0.3) OR (cosine >= 0.55 AND shared >= 3)""")
     add("JOIN18", given("documents", lambda d: overlap.near_copies(d, "doc_id", "text")), """WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
         s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM d WHERE len(w) >= 5),
         r AS (SELECT s, min(id) AS rep FROM s GROUP BY s), u AS (SELECT rep, len(s) AS n, unnest(s) AS m FROM r),
