@@ -1,11 +1,11 @@
-"""Page structure and text measures, in column functions only."""
+"""Page structure and text measures."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.operators import graph
+from rankweave.operators import graph, html
 
 TOKEN = r"[a-z0-9][a-z0-9'-]*"
 
@@ -15,16 +15,22 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def page_record(pages: DataFrame) -> DataFrame:
-    """What the checks look at, one row a page."""
-    html = F.coalesce("html", F.lit(""))
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
-    return pages.select(
-        "page_id", "url", F.length(html).cast("long").alias("html_length"), F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(all_matches(html, r"(?i)<title[\s>]")).alias("titles"),
-        F.size(all_matches(html, r"(?i)<h1[\s>]")).alias("h1s"), F.size(all_matches(html, r"(?i)<h2[\s>]")).alias("h2s"), F.size(all_matches(html, r"(?i)<img[\s>]")).alias("images"),
-        F.size(all_matches(html, r"(?i)<a\s[^>]*href=")).alias("links"), F.size(all_matches(html, r"(?i)<a\s[^>]*nofollow")).alias("nofollow"), F.size(all_matches(html, r"(?i)href=\"http://")).alias("http_links"),
-        F.size(all_matches(html, r"(?i)<a\s[^>]*>\s*</a>")).alias("empty_anchors"), html.rlike(r"(?i)<meta[^>]*name=\"description\"").alias("has_description"), html.rlike(r"(?i)<meta[^>]*name=\"viewport\"").alias("has_viewport"),
-        html.rlike(r"(?i)<meta[^>]*charset").alias("has_charset"), html.rlike(r"(?i)^\s*<!doctype").alias("has_doctype"), html.rlike(r"(?i)rel=\"canonical\"").alias("has_canonical"), html.rlike(r"(?i)noindex").alias("noindex"),
-        F.size(all_matches(text, r"[^ \t\n\r]+")).alias("words"), F.length(F.regexp_replace(text, r"[ \t\n\r]+", "")).cast("long").alias("text_length"),
+    """What the checks look at, one row a page: counts over the page's record (see operators.html), and the sizes of
+    its source and of its text without tags, scripts and styles."""
+    source = F.coalesce("html", F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(source, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
+    sized = pages.select(
+        "page_id", "url", "html", F.length(source).cast("long").alias("html_length"), F.size(all_matches(text, r"[^ \t\n\r]+")).alias("all_words"),
+        F.length(F.regexp_replace(text, r"[ \t\n\r]+", "")).cast("long").alias("text_length"),
+    )
+    count = lambda items, when: F.size(F.filter(items, when))
+    linked = lambda x: x["href"].isNotNull()
+    return html.records(sized).select(
+        "page_id", "url", "html_length", F.coalesce("title", F.lit("")).alias("title"), "titles", count("headings", lambda h: h["level"] == 1).alias("h1s"), count("headings", lambda h: h["level"] == 2).alias("h2s"),
+        F.size("images").alias("images"), count("links", linked).alias("links"), count("links", lambda x: F.array_contains(F.split(F.lower(x["rel"]), r"\s+"), "nofollow")).alias("nofollow"),
+        count("links", lambda x: x["href"].startswith("http://")).alias("http_links"), count("links", lambda x: x["text"] == "").alias("empty_anchors"), F.col("description").isNotNull().alias("has_description"),
+        F.col("viewport").isNotNull().alias("has_viewport"), F.col("charset").alias("has_charset"), F.col("doctype").alias("has_doctype"), (F.size("canonicals") > 0).alias("has_canonical"),
+        F.coalesce(F.lower("robots").contains("noindex"), F.lit(False)).alias("noindex"), F.col("all_words").alias("words"), "text_length",
     )
 
 

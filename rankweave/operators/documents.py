@@ -1,67 +1,24 @@
-"""HTML, sitemaps and robots.txt read into records, by column functions only."""
+"""Responses, sitemaps and robots.txt read into records."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.operators import html
 from rankweave.operators.content import all_matches
 
-_ATTRIBUTE = r"""(?is)\s{name}\s*=\s*["']([^"']*)["']"""
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's attribute; null where it has none."""
-    pattern = _ATTRIBUTE.replace("{name}", name)
-    return F.when(tag.rlike(pattern), F.regexp_extract(tag, pattern, 1))
-
-
-def visible_text(html: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<head[\s>].*?</head>|<(script|style|nav)[^>]*>.*?</\1>", " "), r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
-
-
-def absolute(href: Column, url: Column) -> Column:
-    """A link's target as an absolute URL without its fragment; null for anchors, scripts and mail."""
-    root = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+", 0)
-    bare = F.regexp_replace(href, r"#.*$", "")
-    whole = F.when(bare.rlike(r"^[a-zA-Z]+://"), bare).when(bare.startswith("/"), F.concat(root, bare)).otherwise(F.concat(F.regexp_replace(url, r"[^/]*$", ""), bare))
-    return F.when((bare != "") & ~bare.rlike(r"^(?i:javascript|mailto|tel):"), whole)
+@F.pandas_udf("string")
+def absolute(href: pd.Series, url: pd.Series) -> pd.Series:
+    """A reference's target as an absolute URL without its fragment; null for anchors, scripts and mail."""
+    return pd.Series([html.resolve(h, u or "") for h, u in zip(href, url, strict=True)], dtype=object)
 
 
 def read(crawl: DataFrame) -> DataFrame:
-    """One nested record per response with HTML: title, titles, description, canonicals, robots, viewport,
-    headings (level, text), links (href, text, rel, target, nav), images (src, alt, width), styles,
-    scripts, json_ld, dates, main, text and words. Responses without HTML have empty lists."""
-    html = F.coalesce("html", F.lit(""))
-    body = lambda pattern: F.regexp_extract(html, pattern, 1)
-    meta = lambda name: F.filter(all_matches(html, r"(?is)<meta\s[^>]*>"), lambda t: F.lower(attribute(t, "name")) == name)
-    content = lambda name: attribute(F.get(meta(name), F.lit(0)), "content")
-    canonicals = F.transform(F.filter(all_matches(html, r"(?is)<link\s[^>]*>"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), lambda t: attribute(t, "href"))
-    styles = F.transform(F.filter(all_matches(html, r"(?is)<link\s[^>]*>"), lambda t: F.lower(attribute(t, "rel")) == "stylesheet"), lambda t: attribute(t, "href"))
-    scripts = F.filter(F.transform(all_matches(html, r"(?is)<script\s[^>]*>"), lambda t: attribute(t, "src")), lambda s: s.isNotNull())
-    headings = F.transform(
-        all_matches(html, r"(?is)<h[1-6][\s>].*?</h[1-6]>"), lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), F.trim(F.regexp_replace(h, r"(?s)<[^>]*>", "")).alias("text"))
-    )
-    nav = F.array_join(all_matches(html, r"(?is)<nav[\s>].*?</nav>"), "")
-
-    def link(tag: Column) -> Column:
-        head = F.regexp_extract(tag, r"(?is)^<a[^>]*>", 0)
-        return F.struct(
-            attribute(head, "href").alias("href"), F.trim(F.regexp_replace(tag, r"(?s)<[^>]*>", "")).alias("text"), attribute(head, "rel").alias("rel"),
-            absolute(attribute(head, "href"), F.col("url")).alias("target"), F.col("nav").contains(tag).alias("nav"),
-        )
-
-    image = lambda t: F.struct(attribute(t, "src").alias("src"), attribute(t, "alt").alias("alt"), attribute(t, "width").alias("width"))
-    found = crawl.withColumn("nav", nav).select(
-        "page_id", "url", "location", "status", "elapsed_ms", "hsts", F.length(html).alias("html_length"),
-        F.when(html.rlike(r"(?is)<title[\s>]"), body(r"(?is)<title[^>]*>(.*?)</title>")).alias("title"), content("description").alias("description"), canonicals.alias("canonicals"),
-        content("robots").alias("robots"), content("viewport").alias("viewport"), headings.alias("headings"), F.transform(all_matches(html, r"(?is)<a[\s>].*?</a>"), link).alias("links"),
-        F.transform(all_matches(html, r"(?is)<img\s[^>]*>"), image).alias("images"), styles.alias("styles"), scripts.alias("scripts"),
-        all_matches(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1).alias("json_ld"), F.transform(all_matches(html, r"(?is)<time\s[^>]*>"), lambda t: attribute(t, "datetime")).alias("dates"),
-        html.rlike(r"(?is)<(main|article)[\s>]").alias("main"), visible_text(html).alias("text"),
-    )
-    return found.withColumn("words", F.size(F.filter(F.split("text", " "), lambda w: w != "")))
+    """One nested record per response (see operators.html) with the response's own fields and html_length.
+    Responses without HTML have empty lists."""
+    return html.records(crawl.withColumn("html_length", F.length(F.coalesce("html", F.lit("")))))
 
 
 def links(records: DataFrame) -> DataFrame:

@@ -161,10 +161,10 @@ _add("WIN12", _over(tables.rank_positions, lambda r: performance.top(series.rank
 # Pages.
 _PAGES = r"""h AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
     x AS (SELECT *, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM h),
-    r AS (SELECT page_id, url, length(html) AS html_length, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<title[\s>]')) AS titles, len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS h1s,
+    r AS (SELECT page_id, url, length(html) AS html_length, replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&') AS title, len(regexp_extract_all(html, '(?i)<title[\s>]')) AS titles, len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS h1s,
     len(regexp_extract_all(html, '(?i)<a\s[^>]*nofollow')) AS nofollow, len(regexp_extract_all(html, '(?i)href="http://')) AS http_links, len(regexp_extract_all(html, '(?i)<a\s[^>]*>\s*</a>')) AS empty_anchors,
     regexp_matches(html, '(?i)<meta[^>]*name="description"') AS has_description, regexp_matches(html, '(?i)<meta[^>]*name="viewport"') AS has_viewport, regexp_matches(html, '(?i)<meta[^>]*charset') AS has_charset,
-    regexp_matches(html, '(?i)^\s*<!doctype') AS has_doctype, regexp_matches(html, '(?i)rel="canonical"') AS has_canonical, regexp_matches(html, '(?i)noindex') AS noindex,
+    regexp_matches(html, '(?i)^\s*<!doctype') AS has_doctype, regexp_matches(html, '(?i)rel="canonical"') AS has_canonical, regexp_matches(html, '(?i)<meta[^>]*name=.?robots[^>]*noindex') AS noindex,
     len(regexp_extract_all(t, '[^ \t\n\r]+')) AS words, length(regexp_replace(t, '[ \t\n\r]+', '', 'g')) AS text_length FROM x)"""
 for _id, (_name, _when, _tier) in content.AUDITS.items():
     _add(_id, _given("pages", lambda p, w=_when: content.failing_pages(content.page_record(p), w)), f"WITH {_PAGES} SELECT page_id, url FROM r WHERE {_when}")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import documents, performance, series, site_checks
+from rankweave.operators import documents, graph, html, performance, series, site_checks
 from rankweave.sources import site, tables
 from rankweave.sources.site import FACTS
 from rankweave.sources.tables import table
@@ -16,13 +16,18 @@ from rankweave.sources.tables import table
 Work = Callable[[DataFrame], DataFrame]
 
 
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site's records, parsed once however often a query looks at them."""
+    return graph.checkpointed(documents.read(site.crawl(spark, sf_dir)))
+
+
 def _records(work: Work) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: work(documents.read(site.crawl(spark, sf_dir)))
+    return lambda spark, sf_dir: work(_read(spark, sf_dir))
 
 
 def _with(*sources: Callable, work: Callable) -> Callable[[SparkSession, str], DataFrame]:
     """work over the records and more sources."""
-    return lambda spark, sf_dir: work(documents.read(site.crawl(spark, sf_dir)), *(s(spark, sf_dir) for s in sources))
+    return lambda spark, sf_dir: work(_read(spark, sf_dir), *(s(spark, sf_dir) for s in sources))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +101,15 @@ def _new_findings(records: DataFrame) -> DataFrame:
     return found.join(before, ["run", "finding"], "left_anti").where("run > 0")
 
 
+def _given_records(pages: DataFrame) -> DataFrame:
+    """What the given pages' records hold."""
+    read = html.records(pages.select("page_id", "url", "html"))
+    return read.select(
+        "page_id", "title", F.size("headings").alias("headings"), F.coalesce(F.get("headings", F.lit(0))["text"], F.lit("")).alias("first_heading"), F.size("links").alias("links"), F.size(F.filter("links", lambda x: x["nav"])).alias("nav_links"),
+        F.size("paragraphs").alias("paragraphs"), F.coalesce(F.get("links", F.lit(0))["href"], F.lit("")).alias("first_link"), F.col("landmarks.footer").alias("footers"), "main", "words",
+    )
+
+
 def _register_sources(add: Callable) -> None:
     add("SRC24", _with(_rules, work=lambda r, rules: rules.select("site", "group", F.array_join("agents", ",").alias("agents"), "key", "value")), """
         WITH s AS (SELECT s_suppkey AS site FROM supplier), t AS (SELECT site, unnest([
@@ -104,14 +118,13 @@ def _register_sources(add: Callable) -> None:
             {'g': 2, 'a': '*', 'k': 'allow', 'v': '/s' || (site % 4)}, {'g': 2, 'a': '*', 'k': 'disallow', 'v': ''}, {'g': 2, 'a': '*', 'k': 'sitemap', 'v': 'https://s' || site || '.example/sitemap.xml'}]) AS x FROM s)
         SELECT site, CAST(x.g AS BIGINT) AS "group", x.a AS agents, x.k AS key, x.v AS value FROM t WHERE x.k <> 'sitemap' OR site % 2 = 0""")
     add("SRC25", lambda s, d: _entries(s, d), f"WITH {_LISTED} SELECT file, loc, lastmod FROM listed")
-    add("SRC26", _records(lambda r: r.select("page_id", "title", "description", F.size("canonicals").alias("canonicals"), F.size("headings").alias("headings"), F.size("links").alias("links"), F.size("images").alias("images"), F.size("json_ld").alias("markup"), F.col("main"), "words")),
-        _facts("""SELECT s.p AS page_id, title, description, CASE WHEN o.p IS NULL OR s.p % 13 = 1 THEN 0 WHEN s.p % 13 = 3 THEN 2 ELSE 1 END AS canonicals,
-            CASE WHEN o.p IS NULL OR shell THEN 0 ELSE h1s + CAST(s.p % 6 <> 0 AS INTEGER) + 1 END AS headings,
-            CASE WHEN o.p IS NULL THEN 0 ELSE 2 + CAST(s.p % 3 <> 0 AS INTEGER) + CAST(s.p % 21 = 0 AS INTEGER) + CAST(s.p % 14 = 0 AS INTEGER) + CAST(s.p % 7 < 3 AS INTEGER) END AS links, coalesce(images, 0) AS images,
-            CASE WHEN o.p IS NULL OR s.p % 6 = 0 THEN 0 ELSE 1 END AS markup, o.p IS NOT NULL AND NOT shell AND s.p % 3 <> 2 AS main,
-            CASE WHEN o.p IS NULL THEN 0 ELSE CASE s.p % 12 WHEN 5 THEN 0 ELSE 2 END + CASE WHEN s.p % 3 <> 0 THEN 2 ELSE 0 END + CAST(s.p % 21 = 0 AS INTEGER) + CAST(s.p % 14 = 0 AS INTEGER) + CAST(s.p % 7 < 3 AS INTEGER) + CAST(s.p % 4 = 1 AS INTEGER)
-                + CASE WHEN shell THEN 0 ELSE o.words + 1 + CASE WHEN s.p % 6 <> 0 THEN 2 ELSE 0 END + CASE WHEN h1s = 0 THEN 0 ELSE 2 END END END AS words
-            FROM site s LEFT JOIN ok o ON s.p = o.p"""))
+    add("SRC26", lambda s, d: _given_records(table(s, d, "pages")), r"""
+        WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT *, regexp_replace(regexp_replace(html, '(?is)<head[\s>].*?</head>|<!--.*?-->', ' ', 'g'), '(?is)<nav[\s>].*?</nav>', ' ', 'g') AS body FROM h)
+        SELECT page_id, CASE WHEN html LIKE '%<title>%' THEN replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&') END AS title, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][\s>]')) AS INTEGER) AS headings,
+            replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS first_heading, CAST(len(regexp_extract_all(html, '(?i)<a\s')) AS INTEGER) AS links,
+            CAST(len(regexp_extract_all(regexp_extract(html, '(?is)<nav[\s>].*?</nav>', 0), '(?i)<a\s')) AS INTEGER) AS nav_links, CAST(len(regexp_extract_all(body, '(?i)<p>')) AS INTEGER) AS paragraphs,
+            regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link, CAST(len(regexp_extract_all(html, '(?i)<footer[\s>]')) AS INTEGER) AS footers, html LIKE '%<article>%' AS main,
+            CAST(len(regexp_extract_all(regexp_replace(body, '(?s)<[^>]*>', ' ', 'g'), '[^ \t\n\r]+')) AS INTEGER) AS words FROM b""")
     add("FLT16", _with(_rules, work=lambda r, rules: _ask(rules)), """
         WITH a AS (SELECT s_suppkey AS site, unnest(['GPTBot', 'claudebot-news', 'Other']) AS agent FROM supplier), q AS (SELECT site, agent, unnest(['/private/0/a', '/private/1/open/b', '/x.tmp', '/x.tmp2', '/s1/y', '/']) AS path FROM a)
         SELECT *, CASE WHEN agent <> 'Other' THEN NOT (path = '/private/0/a' AND site % 3 = 0) ELSE path <> '/x.tmp' END AS allowed FROM q""")

@@ -149,12 +149,12 @@ def test_components_match_a_plain_walk(spark):
 
 
 BAD = "<p>text</p><a href='/x' rel=\"nofollow\"></a><a href=\"http://other.example/\">o</a><h1>a</h1><h1>b</h1><title>one</title><title>two</title>"
-GOOD = "<!doctype html><html><head><meta charset=\"utf-8\"><title>A title long enough</title><meta name=\"description\" content=\"d\"><meta name=\"viewport\" content=\"w\"><link rel=\"canonical\" href=\"/g\"></head><body><h1>One</h1>" + "<p>word and word</p>" * 90 + "</body></html>"
+GOOD = "<!doctype html><html><head><!-- noindex --><meta charset=\"utf-8\"><title>A title long enough</title><meta name=\"description\" content=\"d\"><meta name=\"viewport\" content=\"w\"><link rel=\"canonical\" href=\"/g\"></head><body><h1>One</h1>" + "<p>word and word</p>" * 90 + "</body></html>"
 
 
 def test_audits_on_failing_and_sound_pages(spark):
     """Each check names the failing page and not the sound one, also those that the given pages all pass."""
-    none = "<div class=\"noindex\">" + "x" * 10 + "<i></i>" * 40 + "</div>"
+    none = "<meta content='NOINDEX, follow' name=robots><div class=\"noindex\">" + "x" * 10 + "<i></i>" * 40 + "</div>"
     pages = spark.createDataFrame([(1, "https://a.example/1", BAD), (2, "https://a.example/2", GOOD), (3, "https://a.example/3", none), (4, None, None)], "page_id long, url string, html string")
     records = content.page_record(pages)
     failing = {k: {r["page_id"] for r in content.failing_pages(records, when).collect()} for k, (_, when, _) in content.AUDITS.items()}
@@ -185,7 +185,7 @@ def test_page_reader_on_odd_html(spark):
     crawl = rows.withColumns({"location": F.lit(None).cast("string"), "status": F.lit(200), "elapsed_ms": F.lit(1), "hsts": F.lit(True)})
     one, two = documents.read(crawl).orderBy("page_id").collect()
     assert (one["title"], one["description"], [i["alt"] for i in one["images"]]) == ("T", "d", [None, ""])
-    assert [(x["target"], x["nav"]) for x in one["links"]] == [("https://s.example/n", True), (None, False), ("https://s.example/d/b", False), (None, False)]
+    assert [(x["target"], x["nav"]) for x in one["links"]] == [("https://s.example/n", True), ("https://s.example/d/rel", False), ("https://s.example/d/b", False), (None, False)]
     assert (two["title"], two["links"], two["words"], two["headings"]) == (None, [], 0, [])
     assert site_checks.nodes(documents.read(crawl)).count() == 0
 
