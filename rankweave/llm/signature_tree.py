@@ -8,10 +8,11 @@ surplus: by how much a set's size exceeds its bits, at most. Two sets below two
 surplus of either node and the bits that both nodes have, so a pair of nodes whose maximum possible overlap is
 below what its sizes need is left out with all pairs below it.
 
-Two trees (or one and itself) are traversed by levels, as joins: parents, then leaves, then sets. The roots
-of that traversal are keys. For a range of sizes a set is cut into as many parts (by hash) as a pair may
-differ in shingles, and a few more: two linked sets agree in some part that isn't empty, so its digest is a key
-they share. Node pairs start at keys only; sets that share none are never compared.
+The tree is traversed against itself by levels, as joins: parents, then leaves, then sets, which also have a
+bitmap of parities (two sets differ in at least as many shingles as their parities do). Pairs of parents start
+at keys they share; keys that lie below the same parents count once. For a range of sizes a set is cut into
+as many parts (by hash) as a pair may differ in shingles, and a few more: two linked sets agree in some part
+that isn't empty, so its digest is a key they share.
 
 Sets of a leaf and of the leaf before it are compared while leaves are made. Keys whose sets are all
 linked by then are done. In the others each component's first set is compared with a few leaders of the
@@ -98,14 +99,29 @@ def bitmap(items: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps (last axis) as they are at a smaller width."""
+def parities(items: np.ndarray, width: int) -> np.ndarray:
+    """Bits that say whether an odd number of items fall on them."""
+    odd = np.bincount((items >> np.uint64(11)) & np.uint64(width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int, join=np.bitwise_or) -> np.ndarray:
+    """Bitmaps (last axis) as they are at a smaller width; parities join by XOR."""
     while bits.shape[-1] > words:
         half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
+        bits = join(bits[..., :half], bits[..., half:])
     return bits
 
 
+def may_link(odd_a: np.ndarray, sizes_a: np.ndarray, odd_b: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a (rows) and b (columns) aren't ruled out by sizes and parities."""
+    words = min(odd_a.shape[-1], odd_b.shape[-1])
+    a, b = (folded(x, words, np.bitwise_xor) for x in (odd_a, odd_b))
+    differ = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+    na, nb = sizes_a[:, None], sizes_b[None, :]
+    return (np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+
+
 def overlap_bound(bits_a: np.ndarray, surplus_a: np.ndarray, bits_b: np.ndarray, surplus_b: np.ndarray) -> np.ndarray:
     """The most that sets with (below nodes with) these bitmaps and surpluses can share, for all of a
     (rows) and b (columns). The narrower side's surplus holds at its own width."""
@@ -168,11 +184,11 @@ class _Leaf:
     """Sets of one width of bitmap, with their bitmaps OR-combined."""
 
     def __init__(self, wide: int) -> None:
-        self.wide, self.nodes, self.sets, self.bits = wide, [], [], []
+        self.wide, self.nodes, self.sets, self.bits, self.odd = wide, [], [], [], []
         self.either, self.total, self.largest = np.zeros(wide // 64, np.uint64), 0, 0
 
-    def takes(self, wide: int, bits: np.ndarray) -> bool:
-        if wide != self.wide or len(self.nodes) >= LEAF or self.total >= LEAF_ITEMS:
+    def takes(self, wide: int, bits: np.ndarray, most: int) -> bool:
+        if wide != self.wide or len(self.nodes) >= most or self.total >= LEAF_ITEMS:
             return False
         own = int(np.bitwise_count(bits).sum())
         return not self.nodes or int(np.bitwise_count(self.either | bits).sum()) <= SPREAD * max(self.largest, own)
@@ -181,6 +197,7 @@ class _Leaf:
         self.nodes.append(node)
         self.sets.append(items)
         self.bits.append(bits)
+        self.odd.append(parities(items, self.wide))
         self.either |= bits
         self.total += len(items)
         self.largest = max(self.largest, int(np.bitwise_count(bits).sum()))
@@ -195,18 +212,11 @@ class _Leaf:
 def _near_links(leaf: _Leaf, before: _Leaf | None, percent: int) -> list[dict]:
     """Links of a leaf's sets with each other and with the leaf before, without those that others imply."""
     parts = [x for x in (before, leaf) if x is not None]
-    if len(parts) == 2 and before.wide != leaf.wide:
-        words = min(before.wide, leaf.wide) // 64
-        bits = np.concatenate([folded(np.stack(x.bits), words) for x in parts])
-    else:
-        bits = np.concatenate([np.stack(x.bits) for x in parts])
     sets = [s for x in parts for s in x.sets]
     nodes = [n for x in parts for n in x.nodes]
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    surplus = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     first = len(nodes) - len(leaf.nodes)
-    may = overlap_bound(bits, surplus, bits[first:], surplus[first:]) >= needed(sizes[:, None], sizes[None, first:], percent)
-    may &= np.minimum(sizes[:, None], sizes[None, first:]) * 100 >= percent * np.maximum(sizes[:, None], sizes[None, first:])
+    own = np.stack(leaf.odd)
+    may = np.concatenate([may_link(np.stack(x.odd), x.sizes(), own, leaf.sizes(), percent) for x in parts])
     root = list(range(len(nodes)))
 
     def top(k: int) -> int:
@@ -224,46 +234,38 @@ def _near_links(leaf: _Leaf, before: _Leaf | None, percent: int) -> list[dict]:
     return found
 
 
-_LINKS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_NODE_FIELDS = pa.schema(
-    [("level", pa.int32()), ("id", pa.int64()), ("parent", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("surplus", pa.int64()), ("bits", pa.binary())]
-    + [("nodes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("each", pa.binary()), ("links", _LINKS)]
+_LEAF_FIELDS = pa.schema(
+    [("id", pa.int64()), ("parent", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("surplus", pa.int64()), ("bits", pa.binary()), ("nodes", pa.list_(pa.int64()))]
+    + [("sizes", pa.list_(pa.int64())), ("each", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
 )
-_NODE_SCHEMA = "level int, id long, parent long, low long, high long, surplus long, bits binary, nodes array<long>, sizes array<long>, each binary, links array<struct<a: long, b: long>>"
+_LEAF_SCHEMA = "id long, parent long, low long, high long, surplus long, bits binary, nodes array<long>, sizes array<long>, each binary, links array<struct<a: long, b: long>>"
 
 
-def _tree(percent: int):
-    """Leaves and their parents of a partition's sorted sets, and the links within and between neighbours."""
+def _leaves(percent: int, most: int, fan: int):
+    """Leaves of a partition's sorted sets, with the links within them and between neighbours. So many leaves of one
+    width in a row have one parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, leaves, parents = TaskContext.get().partitionId() << 32, 0, 0
+        base = TaskContext.get().partitionId() << 32
         leaf: _Leaf | None = None
         before: _Leaf | None = None
-        below: list[dict] = []
+        number = parent = children = 0
         out: list[dict] = []
 
         def close() -> None:
-            nonlocal leaves, parents, leaf, before
-            if below and (len(below) >= FAN or len(below[0]["bits"]) != leaf.wide // 8):
-                finish()
-            row = {"level": 1, "id": base + leaves, "parent": base + parents, "low": int(leaf.sizes().min()), "high": int(leaf.sizes().max()), "surplus": int(leaf.surplus().max())}
-            row |= {"bits": leaf.either.tobytes(), "nodes": leaf.nodes, "sizes": leaf.sizes().tolist(), "each": np.stack(leaf.bits).tobytes(), "links": _near_links(leaf, before, percent)}
-            leaves += 1
-            below.append({k: row[k] for k in ("low", "high", "surplus", "bits")})
-            out.append(row)
+            nonlocal number, parent, children, leaf, before
+            if children >= fan or before is not None and before.wide != leaf.wide:
+                parent, children = parent + 1, 0
+            sizes = leaf.sizes()
+            row = {"id": base + number, "parent": base + parent, "low": int(sizes.min()), "high": int(sizes.max()), "surplus": int(leaf.surplus().max()), "bits": leaf.either.tobytes()}
+            out.append(row | {"nodes": leaf.nodes, "sizes": sizes.tolist(), "each": np.stack(leaf.odd).tobytes(), "links": _near_links(leaf, before, percent)})
+            number, children = number + 1, children + 1
             before, leaf = leaf, None
 
-        def finish() -> None:
-            nonlocal parents
-            either = np.bitwise_or.reduce([np.frombuffer(x["bits"], np.uint64) for x in below])
-            out.append({"level": 2, "id": base + parents, "low": min(x["low"] for x in below), "high": max(x["high"] for x in below), "surplus": max(x["surplus"] for x in below), "bits": either.tobytes()})
-            parents += 1
-            below.clear()
-
         def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pylist([{n: x.get(n) for n in _NODE_FIELDS.names} for x in out], _NODE_FIELDS)
+            batch = pa.RecordBatch.from_pylist(out, _LEAF_FIELDS)
             out.clear()
             return batch
 
@@ -271,16 +273,15 @@ def _tree(percent: int):
             for node, wide, items in zip(batch.column("node").to_pylist(), batch.column("wide").to_pylist(), batch.column("items"), strict=True):
                 own = np.asarray(items.values).view(np.uint64).copy()
                 bits = bitmap(own, wide)
-                if leaf is not None and not leaf.takes(wide, bits):
+                if leaf is not None and not leaf.takes(wide, bits, most):
                     close()
-                    if len(out) >= 256 or sum(len(x["bits"]) for x in out) >= 1 << 20:
+                    if len(out) >= 256 or sum(len(x["each"]) for x in out) >= 1 << 21:
                         yield rows()
                 if leaf is None:
                     leaf = _Leaf(wide)
                 leaf.add(node, own, bits)
         if leaf is not None:
             close()
-            finish()
         if out:
             yield rows()
         give_back()
@@ -292,49 +293,65 @@ def _bits(value: bytes, rows: int = 1) -> np.ndarray:
     return np.frombuffer(value, np.uint64).reshape(rows, -1)
 
 
-def _nodes_may(x: dict, y: dict, percent: int) -> bool:
-    """Whether two nodes may have linked sets below them."""
-    if x["high"] * 100 < percent * y["low"] or y["high"] * 100 < percent * x["low"]:
-        return False
-    low_a, low_b = max(x["low"], -(-percent * y["low"] // 100)), max(y["low"], -(-percent * x["low"] // 100))
-    most = overlap_bound(_bits(x["bits"]), np.array([x["surplus"]]), _bits(y["bits"]), np.array([y["surplus"]]))[0, 0]
-    return min(int(most), x["high"], y["high"]) >= needed(low_a, low_b, percent)
+class _Nodes:
+    """Some nodes of one width, as arrays."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.ids, self.low, self.high, self.surplus = (np.array([r[k] for r in rows], np.int64) for k in ("id", "low", "high", "surplus"))
+        self.bits = np.stack([_bits(r["bits"])[0] for r in rows])
+
+    def above(self) -> _Nodes:
+        """The node that has these below it."""
+        bits = np.bitwise_or.reduce(self.bits)
+        return _Nodes([{"id": -1, "low": self.low.min(), "high": self.high.max(), "surplus": self.surplus.max(), "bits": bits.tobytes()}])
+
+
+def nodes_may(x: _Nodes, y: _Nodes, percent: int) -> np.ndarray:
+    """Which nodes of x (rows) and y (columns) may have linked sets below them: by ranges of sizes, and by the maximum
+    possible overlap."""
+    lx, hx, ly, hy = x.low[:, None], x.high[:, None], y.low[None, :], y.high[None, :]
+    fits = (hx * 100 >= percent * ly) & (hy * 100 >= percent * lx)
+    least = needed(np.maximum(lx, -(-percent * ly // 100)), np.maximum(ly, -(-percent * lx // 100)), percent)
+    most = np.minimum(overlap_bound(x.bits, x.surplus, y.bits, y.surplus), np.minimum(hx, hy))
+    return fits & (most >= least)
 
 
 _PAIR_FIELDS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pruned(percent: int):
-    """Pairs of nodes that may have linked sets below them."""
+def _leaf_pairs(percent: int):
+    """Of pairs of parents, given as lists of their leaves, the pairs of leaves that may have linked sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in near_dup._parts(batches, 128):
-            kept = [{"a": r["x"]["id"], "b": r["y"]["id"]} for r in batch.to_pylist() if r["x"]["id"] == r["y"]["id"] or _nodes_may(r["x"], r["y"], percent)]
-            yield pa.RecordBatch.from_pylist(kept, _PAIR_FIELDS)
+        for batch in near_dup._parts(batches, 32):
+            found = [np.empty((2, 0), np.int64)]
+            for r in batch.to_pylist():
+                x, y = _Nodes(r["x"]["leaves"]), _Nodes(r["y"]["leaves"])
+                if r["x"]["id"] != r["y"]["id"] and not nodes_may(x.above(), y.above(), percent)[0, 0]:
+                    continue
+                i, j = np.nonzero(nodes_may(x, y, percent))
+                pairs = np.sort(np.stack([x.ids[i], y.ids[j]]), axis=0)
+                found.append(np.unique(pairs[:, pairs[0] < pairs[1]], axis=1))
+            pairs = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_PAIR_FIELDS)
 
     return run
 
 
 def _candidates(percent: int):
-    """Pairs of sets of two leaves, of different components, that their bitmaps don't rule out."""
+    """Pairs of sets of two leaves, of different components, that sizes and parities don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in near_dup._parts(batches, 32):
-            found: list[np.ndarray] = []
+            found = [np.empty((2, 0), np.int64)]
             for r in batch.to_pylist():
-                x, y = r["x"], r["y"]
-                if not _nodes_may(x, y, percent):
-                    continue
-                (na, nb), (ca, cb) = ([np.array(s["sizes"]) for s in (x, y)], [np.array(s["components"]) for s in (x, y)])
-                bits = [_bits(s["each"], len(s["nodes"])) for s in (x, y)]
-                spare = [n - np.bitwise_count(b).sum(axis=1, dtype=np.int64) for n, b in zip((na, nb), bits, strict=True)]
-                may = (ca[:, None] != cb[None, :]) & (np.minimum(na[:, None], nb[None, :]) * 100 >= percent * np.maximum(na[:, None], nb[None, :]))
-                if may.any():
-                    may &= overlap_bound(bits[0], spare[0], bits[1], spare[1]) >= needed(na[:, None], nb[None, :], percent)
-                    i, j = np.nonzero(may)
-                    found.append(np.stack([np.array(x["nodes"], np.int64)[i], np.array(y["nodes"], np.int64)[j]]))
-            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], schema=_PAIR_FIELDS)
+                (nodes_x, cx, nx, ox), (nodes_y, cy, ny, oy) = ((*(np.array(s[k], np.int64) for k in ("nodes", "components", "sizes")), _bits(s["each"], len(s["nodes"]))) for s in (r["x"], r["y"]))
+                open_ = (cx[:, None] != cy[None, :]) & (cx[:, None] >= 0) & (cy[None, :] >= 0)
+                if open_.any():
+                    i, j = np.nonzero(open_ & may_link(ox, nx, oy, ny, percent))
+                    found.append(np.sort(np.stack([nodes_x[i], nodes_y[j]]), axis=0))
+            pairs = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_PAIR_FIELDS)
 
     return run
 
@@ -369,29 +386,26 @@ def _both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
 
 
-def _traversed(open_: DataFrame, tree: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _traversed(open_: DataFrame, leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the open keys' sets, by levels from parents to leaves to sets."""
-    leaves = tree.where("level = 1")
     lies = leaves.select(F.explode("nodes").alias("node"), F.col("id").alias("leaf"), "parent")
     at = materialised(open_.join(lies, "node").select("key", "node", "component", "leaf", "parent"))
-    parents = at.select("key", "parent").distinct()
-    pairs = parents.withColumnRenamed("parent", "a").join(parents.withColumnRenamed("parent", "b"), "key").where("a <= b").select("a", "b").distinct()
-    inner = tree.where("level = 2").select("id", "low", "high", "surplus", "bits")
-    near = materialised(_both(pairs, inner).mapInArrow(_pruned(percent), "a long, b long"))
-    own = at.select("key", "leaf", "parent").distinct()
-    toward = own.select("key", F.col("leaf").alias("u"), F.col("parent").alias("a")).join(near, "a").select("key", "u", "b")
-    met = toward.join(own.select("key", F.col("leaf").alias("v"), F.col("parent").alias("b")), ["key", "b"]).where("u <> v")
-    leaf_pairs = materialised(met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    wanted = leaf_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # A leaf's sets, LEAF at most, with their components; those of no open key are none of its own here.
+    below = at.select("key", "parent").distinct()
+    # Keys below the same parents lead to the same pairs: one of them is enough.
+    names = below.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("parent").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("parent", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
+    own = materialised(below.join(names.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key"))
+    pairs = own.withColumnRenamed("parent", "a").join(own.withColumnRenamed("parent", "b"), "key").where("a <= b").select("a", "b").distinct()
+    # A leaf's sets with their components, and a parent's leaves: no more than a leaf and a parent hold.
     held = at.select("leaf", "node", "component").distinct().groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("node", "component"))).alias("of"))
-    known = leaves.join(wanted, "id").join(held, F.col("id") == F.col("leaf"))
-    known = known.select("id", "low", "high", "surplus", "bits", "nodes", "sizes", "each", F.transform("nodes", lambda n: F.coalesce(F.element_at("of", n), F.lit(-1))).alias("components"))
-    found = _both(leaf_pairs, materialised(known)).mapInArrow(_candidates(percent), "a long, b long")
+    known = leaves.join(held, F.col("id") == F.col("leaf"))
+    known = materialised(known.select("id", "parent", "low", "high", "surplus", "bits", "nodes", "sizes", "each", F.transform("nodes", lambda n: F.coalesce(F.element_at("of", n), F.lit(-1))).alias("components")))
+    parents = materialised(known.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("id", "low", "high", "surplus", "bits")).alias("leaves")))
+    leaf_pairs = materialised(_both(pairs, parents).mapInArrow(_leaf_pairs(percent), "a long, b long"))
+    found = _both(leaf_pairs, known.select("id", "nodes", "sizes", "each", "components")).mapInArrow(_candidates(percent), "a long, b long")
     return near_dup._confirmed(materialised(found.distinct()), sets, percent)
 
 
-def classes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+def classes(texts: DataFrame, width: int, percent: int, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """id, n_shingles and component_id of each row of (id, text)."""
     keyed = materialised(texts.mapInArrow(_keyed(width, percent), "id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     name = ["n_shingles", "d1", "d2"]
@@ -405,12 +419,12 @@ def classes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     wanted = groups.join(met, "node", "left_semi").select(*name, "node")
     order = ["wide", "m1", "m2", "node"]
     sets = materialised(full.join(wanted, name).select("node", "n_shingles", "wide", "m1", "m2", "items").dropDuplicates(["node"]))
-    tree = materialised(sets.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "wide", "items").mapInArrow(_tree(percent), _NODE_SCHEMA))
-    links = tree.where("level = 1").select(F.explode("links").alias("l")).select("l.a", "l.b")
+    leaves = materialised(sets.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "wide", "items").mapInArrow(_leaves(percent, leaf, fan), _LEAF_SCHEMA))
+    links = leaves.select(F.explode("links").alias("l")).select("l.a", "l.b")
     if (same := near_dup._same_document(keyed, groups)) is not None:
         links = links.union(same)
     component = near_dup.connected_components(links)
-    for search in (lambda o: _led(o, sets, percent), lambda o: _traversed(o, tree, sets, percent)):
+    for search in (lambda o: _led(o, sets, percent), lambda o: _traversed(o, leaves, sets, percent)):
         open_ = _open(members, component)
         if not open_.limit(1).count():
             break
@@ -424,8 +438,8 @@ def classes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return keyed.select("id", *name).join(named, name, "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row."""
-    found = classes(near_dup._named(docs), width, percent)
+    found = classes(near_dup._named(docs), width, percent, leaf, fan)
     own = lambda c: F.when(F.col(c) < near_dup.UNNAMED, F.col(c))
     return found.select(own("id").alias("doc_id"), "n_shingles", own("component_id").alias("component_id"))

@@ -12,8 +12,8 @@ from tests.conftest import SF
 from tests.llm.test_operators import ODD, brute_components, by_id, documents, frame  # noqa: F401
 
 
-def check(spark, rows, width=3, percent=90):
-    got = signature_tree.similar_documents(frame(spark, rows).repartition(3), width, percent).collect()
+def check(spark, rows, width=3, percent=90, **nodes):
+    got = signature_tree.similar_documents(frame(spark, rows).repartition(3), width, percent, **nodes).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in brute_components(rows, width, percent).items()}
     return got
@@ -53,15 +53,13 @@ def test_texts_cut_short(spark):
     check(spark, [(i, t, None, None) for i, t in enumerate(rows)])
 
 
-def test_large_group_is_traversed(spark, monkeypatch):
+def test_large_group_is_traversed(spark):
     """Hundreds of variants that share keys, most of them not linked with their neighbours in the tree: small nodes
     make many levels' pairs."""
-    monkeypatch.setattr(signature_tree, "LEAF", 3)
-    monkeypatch.setattr(signature_tree, "FAN", 2)
     rng = random.Random(5)
     texts = variants(rng, 400, 120, 7) + variants(rng, 100, 130, 9)
     rng.shuffle(texts)
-    check(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    check(spark, [(i, t, None, None) for i, t in enumerate(texts)], leaf=3, fan=2)
 
 
 @pytest.mark.parametrize("width,percent", [(1, 80), (2, 60), (5, 95), (3, 100)])
@@ -113,6 +111,11 @@ def test_bounds_hold_for_nodes_of_different_widths():
         (xs, bx, sx), (ys, by, sy) = nodes
         exact = np.array([[len(np.intersect1d(x, y)) for y in ys] for x in xs])
         assert (signature_tree.overlap_bound(bx, sx, by, sy) >= exact).all()
+        na, nb = (np.array([len(s) for s in sets]) for sets in (xs, ys))
+        odd = [np.stack([signature_tree.parities(s, b.shape[1] * 64) for s in sets]) for sets, b in ((xs, bx), (ys, by))]
+        for percent in (50, 90):
+            reach = 100 * exact >= percent * (na[:, None] + nb[None, :] - exact)
+            assert signature_tree.may_link(odd[0], na, odd[1], nb, percent)[reach].all()
         either = lambda b: np.bitwise_or.reduce(b)[None]
         assert signature_tree.overlap_bound(either(bx), sx.max(keepdims=True), either(by), sy.max(keepdims=True))[0, 0] >= exact.max()
 
