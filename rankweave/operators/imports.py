@@ -39,27 +39,44 @@ def fields(line: Column, delimiter: Column) -> Column:
     return F.coalesce(*(F.when(delimiter == d, split(d)) for d in DELIMITERS))
 
 
+def records(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """file, at and line of each record of (file, at, line): physical lines of which those that begin inside quotes
+    go on with the line before. Whether a line does is the parity of the quotes before it in its file, a prefix
+    sum in blocks of `block` places: blocks' sums are added up over a file, and lines within a block only, so
+    blocks are worked off apart. `at` is the first line's."""
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    placed = lines.select("file", "at", "line", quotes.alias("q"), F.floor(F.col("at") / block).alias("block"))
+    over = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("file", "block").agg(F.sum("q").alias("q"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("q").over(over("file", "block")), F.lit(0)).alias("above"))
+    inside = F.coalesce(F.sum("q").over(over("file", "block", "at")), F.lit(0))
+    opened = placed.join(blocks, ["file", "block"]).withColumn("starts", (F.col("above") + inside) % 2 == 0)
+    firsts = opened.groupBy("file", "block").agg(F.max(F.when(F.col("starts"), F.col("at"))).alias("last"))
+    firsts = firsts.select("file", "block", F.max("last").over(over("file", "block")).alias("begun"))
+    own = F.max(F.when(F.col("starts"), F.col("at"))).over(Window.partitionBy("file", "block").orderBy("at"))
+    whole = opened.join(firsts, ["file", "block"]).withColumn("first", F.coalesce(own, F.col("begun"), F.col("at")))
+    joined = whole.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts"))
+    return joined.select("file", F.col("first").alias("at"), F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line"))
+
+
 def delimited(lines: DataFrame) -> DataFrame:
-    """file, at and cells of each line of (file, at, line); a file's first line with text names its delimiter.
-    A byte-order mark before it goes."""
-    clean = lines.withColumn("line", F.regexp_replace("line", "^﻿", "")).where("trim(line) <> ''")
+    """file, at and cells of each record of (file, at, line); quoted cells may hold line breaks. A file's first record
+    with text names its delimiter. A byte-order mark before it goes."""
+    clean = records(lines).withColumn("line", F.regexp_replace("line", "^﻿", "")).where("trim(line) <> ''")
     heads = clean.groupBy("file").agg(F.min_by("line", "at").alias("head"), F.min("at").alias("first"))
     placed = clean.join(heads.select("file", "first", sniffed(F.col("head")).alias("d")), "file")
     return placed.select("file", "at", (F.col("at") == F.col("first")).alias("header"), fields(F.col("line"), F.col("d")).alias("cells"))
 
 
+#: Forms of dates that can't be misread; day and month by numbers alone are turned away.
+DATES = ["yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
+
+
 def as_date(cell: Column) -> Column:
-    """A date of one of four forms that can't be misread; day and month by numbers alone are turned away."""
-    months = "JanFebMarAprMayJunJulAugSepOctNovDec"
-    text = F.trim(cell)
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    number = lambda name: F.floor((F.instr(F.lit(months), F.initcap(F.substring(name, 1, 3))) + 2) / 3)
-    built = lambda y, m, d: F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
-    iso, slashed, first, named = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", r"^(\d{1,2})\s+([A-Za-z]{3,})\s+(\d{4})$", r"^([A-Za-z]{3,})\s+(\d{1,2}),?\s+(\d{4})$"
-    return (
-        F.when(text.rlike(iso), built(part(iso, 1), part(iso, 2), part(iso, 3))).when(text.rlike(slashed), built(part(slashed, 1), part(slashed, 2), part(slashed, 3)))
-        .when(text.rlike(first), built(part(first, 3), number(part(first, 2)), part(first, 1))).when(text.rlike(named), built(part(named, 3), number(part(named, 1)), part(named, 2)))
-    )
+    """A date in one of the forms of DATES, or in ISO's, whatever follows it."""
+    text = F.initcap(F.regexp_replace(F.trim(cell), r"\s+", " "))
+    iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.coalesce(iso, *(F.try_to_timestamp(text, F.lit(form)) for form in DATES)).cast("date")
 
 
 def as_position(cell: Column) -> Column:
@@ -83,17 +100,21 @@ def headers(rows: DataFrame) -> DataFrame:
 
 
 def ranks(rows: DataFrame) -> DataFrame:
-    """file, keyword, captured_on and position: long files as they are, wide ones (two or more headers that
-    are dates) a row a date; of several rows for a keyword and day the last one of the file counts."""
+    """file, keyword, captured_on, location, device, engine and position: long files as they are, wide ones (two
+    or more headers that are dates) a row a date; of several rows of one key the last one of the file counts."""
+    place = lambda field: F.max(F.when(F.col("field") == field, F.col("k")))
+    keyed = {"keyword": "kw", "position": "pos", "captured_on": "on", "location": "at_location", "device": "at_device", "engine": "at_engine"}
     heads = headers(rows).groupBy("file").agg(
-        F.count("day").alias("days"), F.max(F.when(F.col("field") == "keyword", F.col("k"))).alias("kw"), F.max(F.when(F.col("field") == "position", F.col("k"))).alias("pos"),
-        F.max(F.when(F.col("field") == "captured_on", F.col("k"))).alias("on"), F.collect_list(F.when(F.col("day").isNotNull(), F.struct("k", "day"))).alias("dated"),
-    )
+        F.count("day").alias("days"), *(place(f).alias(c) for f, c in keyed.items()), F.collect_list(F.when(F.col("day").isNotNull(), F.struct("k", "day"))).alias("dated")
+    )
+    cell = lambda c: F.get("cells", F.col(c))
+    given = lambda c, other: F.coalesce(F.when(F.trim(cell(c)) != "", F.trim(cell(c))), F.lit(other))
+    key = [cell("kw").alias("keyword"), given("at_location", "default").alias("location"), F.lower(given("at_device", "")).alias("device"), F.lower(given("at_engine", "")).alias("engine")]
     body = rows.where("NOT header").join(heads, "file")
-    wide = body.where("days >= 2").select("file", "at", F.get("cells", F.col("kw")).alias("keyword"), "cells", F.explode("dated").alias("c")).select("file", "at", "keyword", F.col("c.day").alias("captured_on"), F.get("cells", F.col("c.k")).alias("cell"))
-    long_ = body.where("days < 2").select("file", "at", F.get("cells", F.col("kw")).alias("keyword"), as_date(F.get("cells", F.col("on"))).alias("captured_on"), F.get("cells", F.col("pos")).alias("cell"))
+    wide = body.where("days >= 2").select("file", "at", *key, "cells", F.explode("dated").alias("c")).select("file", "at", "keyword", "location", "device", "engine", F.col("c.day").alias("captured_on"), cell("c.k").alias("cell"))
+    long_ = body.where("days < 2").select("file", "at", *key, as_date(cell("on")).alias("captured_on"), cell("pos").alias("cell"))
     both = wide.unionByName(long_).where("keyword <> '' AND captured_on IS NOT NULL")
-    return both.groupBy("file", "keyword", "captured_on").agg(as_position(F.max_by("cell", "at")).alias("position"))
+    return both.groupBy("file", "keyword", "captured_on", "location", "device", "engine").agg(as_position(F.max_by("cell", "at")).alias("position"))
 
 
 def facets(rows: DataFrame, columns: list[str], least: int = 2, most: int = 12) -> DataFrame:

@@ -20,19 +20,23 @@ def _array(values: list[str]) -> str:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, at and line of an export a user: wide where user_id % 3 = 0, delimited by user_id % 4."""
+    """file, at and line: the physical lines of an export a user, wide where user_id % 3 = 0, delimited by user_id % 4.
+    Some quoted keywords go over two lines."""
     d = "element_at(array(',', ';', '\\t', '|'), cast(user_id % 4 + 1 as int))"
     cell = f"element_at({_array([c for c, _ in _CELLS])}, cast(event_id % 8 + 1 as int))"
-    keyword = f"""if(event_id % 5 = 0, concat('"say ""', event_id % 40, '""', {d}, ' go"'), concat('kw ', event_id % 40))"""
+    keyword = f"""CASE WHEN event_id % 5 = 0 THEN concat('"say ""', event_id % 40, '""', {d}, ' go"') WHEN event_id % 7 = 0 THEN concat('"kw ', event_id % 40, '\\n', {d}, 'more"') ELSE concat('kw ', event_id % 40) END"""
     events = table(spark, sf_dir, "events")
-    heads = events.select("user_id").distinct().selectExpr("user_id AS file", "-1L AS at", f"if(user_id % 3 = 0, concat_ws({d}, '﻿Keyword', '2024-01-05', 'Jan 6, 2024'), concat_ws({d}, 'Search_Term', 'Current Rank', 'Note', 'Check Date')) AS line")
-    day = f"element_at({_array(_DAYS)}, cast(event_id % 5 + 1 as int))"
-    dated = f"""if({day} LIKE concat('%', {d}, '%'), concat('"', {day}, '"'), {day})"""
-    body = events.selectExpr("user_id AS file", "event_id AS at", f"if(user_id % 3 = 0, concat_ws({d}, {keyword}, {cell}, '5'), concat_ws({d}, {keyword}, {cell}, 'x', {dated})) AS line")
-    return heads.union(body)
+    quoted = lambda x: f"if({x} LIKE concat('%', {d}, '%'), concat('\"', {x}, '\"'), {x})"
+    wide = f"concat_ws({d}, '﻿Keyword', '2024-01-05', {quoted("'Jan 6, 2024'")})"
+    heads = events.select("user_id").distinct().selectExpr("user_id AS file", "-4L AS at", f"if(user_id % 3 = 0, {wide}, concat_ws({d}, 'Search_Term', 'Current Rank', 'Note', 'Check Date', 'Device', 'Market')) AS text")
+    day = quoted(f"element_at({_array(_DAYS)}, cast(event_id % 5 + 1 as int))")
+    long_ = f"concat_ws({d}, {keyword}, {cell}, 'x', {day}, if(event_id % 2 = 0, 'Mobile', ''), if(event_id % 3 = 0, 'Leeds', ''))"
+    body = events.selectExpr("user_id AS file", "event_id * 4 AS at", f"if(user_id % 3 = 0, concat_ws({d}, {keyword}, {cell}, '5'), {long_}) AS text")
+    return heads.union(body).select("file", "at", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("file", (F.col("at") + F.col("k")).alias("at"), "line")
 
 
-_KEYWORD = """CASE WHEN event_id % 5 = 0 THEN 'say "' || (event_id % 40) || '"' || [',', ';', chr(9), '|'][user_id % 4 + 1] || ' go' ELSE 'kw ' || (event_id % 40) END"""
+_D = "[',', ';', chr(9), '|'][user_id % 4 + 1]"
+_KEYWORD = f"""CASE WHEN event_id % 5 = 0 THEN 'say "' || (event_id % 40) || '"' || {_D} || ' go' WHEN event_id % 7 = 0 THEN 'kw ' || (event_id % 40) || chr(10) || {_D} || 'more' ELSE 'kw ' || (event_id % 40) END"""
 _CELL = "[" + ", ".join(f"'{c}'" for c, _ in _CELLS) + "][event_id % 8 + 1]"
 _RANK = "[" + ", ".join("NULL" if r is None else str(r) for _, r in _CELLS) + "][event_id % 8 + 1]"
 
@@ -43,7 +47,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file and xml: a feed a source of the documents' openings, fifty ids each."""
-    entry = "concat('<item><title>', regexp_replace(substring(coalesce(text, ''), 1, 20), '[&<>]', ' '), '</title><link>https://n.example/', doc_id, '</link><pubDate>2024-02-', lpad(cast(doc_id % 28 + 1 as string), 2, '0'), '</pubDate></item>')"
+    entry = "concat('<item><title>', regexp_replace(coalesce(text, ''), '[&<>]', ' '), '</title><link>https://n.example/', doc_id, '</link><pubDate>2024-02-', lpad(cast(doc_id % 28 + 1 as string), 2, '0'), '</pubDate></item>')"
     return table(spark, sf_dir, "documents").selectExpr("doc_id div 50 AS file", f"{entry} AS e").groupBy("file").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("e"), ""), F.lit("</channel></rss>")).alias("xml"))
 
 
@@ -105,19 +109,20 @@ def _runs(events: DataFrame) -> DataFrame:
 
 def register(add: Callable, given: Callable) -> None:
     """Adds this module's queries."""
-    heads = "CASE WHEN user_id % 3 = 0 THEN 'Keyword¦2024-01-05¦Jan 6, 2024' ELSE 'Search_Term¦Current Rank¦Note¦Check Date' END"
+    heads = "CASE WHEN user_id % 3 = 0 THEN 'Keyword¦2024-01-05¦Jan 6, 2024' ELSE 'Search_Term¦Current Rank¦Note¦Check Date¦Device¦Market' END"
     day = f"{_DAYS}[event_id % 5 + 1]"
-    # A wide header of a comma-delimited file has a comma inside its last date, which is a cell of its own then.
-    add("SRC17", lambda s, d: _rows(s, d).where("file % 12 <> 0").select("file", "at", F.array_join("cells", "¦").alias("cells")), f"""SELECT DISTINCT user_id AS file, -1 AS at, {heads} AS cells FROM events WHERE user_id % 12 <> 0 UNION ALL SELECT user_id, event_id,
-        {_KEYWORD} || '¦' || {_CELL} || CASE WHEN user_id % 3 = 0 THEN '¦5' ELSE '¦x¦' || {day} END FROM events WHERE user_id % 12 <> 0""".replace("-1 AS at", '-1 AS "at"'))
-    add("SRC18", lambda s, d: imports.headers(_rows(s, d)).where("file % 12 <> 0").select("file", "k", "name", "field", "day"), """WITH f AS (SELECT DISTINCT user_id AS file FROM events WHERE user_id % 12 <> 0), h AS (SELECT file, unnest(CASE WHEN file % 3 = 0
+    device, market = "CASE WHEN event_id % 2 = 0 THEN 'Mobile' ELSE '' END", "CASE WHEN event_id % 3 = 0 THEN 'Leeds' ELSE '' END"
+    add("SRC17", lambda s, d: _rows(s, d).select("file", "at", F.array_join("cells", "¦").alias("cells")), f"""SELECT DISTINCT user_id AS file, -4 AS "at", {heads} AS cells FROM events UNION ALL SELECT user_id, event_id * 4,
+        {_KEYWORD} || '¦' || {_CELL} || CASE WHEN user_id % 3 = 0 THEN '¦5' ELSE '¦x¦' || {day} || '¦' || {device} || '¦' || {market} END FROM events""")
+    add("SRC18", lambda s, d: imports.headers(_rows(s, d)).select("file", "k", "name", "field", "day"), """WITH f AS (SELECT DISTINCT user_id AS file FROM events), h AS (SELECT file, unnest(CASE WHEN file % 3 = 0
         THEN [{'k': 0, 'name': 'Keyword', 'field': 'keyword', 'day': NULL}, {'k': 1, 'name': '2024-01-05', 'field': NULL, 'day': '2024-01-05'}, {'k': 2, 'name': 'Jan 6, 2024', 'field': NULL, 'day': '2024-01-06'}]
-        ELSE [{'k': 0, 'name': 'Search_Term', 'field': 'keyword', 'day': NULL}, {'k': 1, 'name': 'Current Rank', 'field': 'position', 'day': NULL}, {'k': 2, 'name': 'Note', 'field': NULL, 'day': NULL}, {'k': 3, 'name': 'Check Date', 'field': 'captured_on', 'day': NULL}] END) AS x FROM f)
+        ELSE [{'k': 0, 'name': 'Search_Term', 'field': 'keyword', 'day': NULL}, {'k': 1, 'name': 'Current Rank', 'field': 'position', 'day': NULL}, {'k': 2, 'name': 'Note', 'field': NULL, 'day': NULL}, {'k': 3, 'name': 'Check Date', 'field': 'captured_on', 'day': NULL},
+            {'k': 4, 'name': 'Device', 'field': 'device', 'day': NULL}, {'k': 5, 'name': 'Market', 'field': 'location', 'day': NULL}] END) AS x FROM f)
         SELECT file, CAST(x.k AS INTEGER) AS k, x.name AS name, x.field AS field, CAST(x.day AS DATE) AS day FROM h""")
-    add("SRC19", lambda s, d: imports.ranks(_rows(s, d)).where("file % 12 <> 0"), f"""WITH e AS (SELECT user_id AS file, event_id, {_KEYWORD} AS keyword, {_RANK} AS rank FROM events WHERE user_id % 12 <> 0),
-        x AS (SELECT file, event_id, keyword, DATE '2024-01-05' AS captured_on, rank FROM e WHERE file % 3 = 0 UNION ALL SELECT file, event_id, keyword, DATE '2024-01-06', 5 FROM e WHERE file % 3 = 0
-            UNION ALL SELECT file, event_id, keyword, DATE '2024-03-04', rank FROM e WHERE file % 3 <> 0 AND event_id % 5 <> 4)
-        SELECT file, keyword, captured_on, CAST(rank AS DOUBLE) AS position FROM x QUALIFY row_number() OVER (PARTITION BY file, keyword, captured_on ORDER BY event_id DESC) = 1""")
+    add("SRC19", lambda s, d: imports.ranks(_rows(s, d)), f"""WITH e AS (SELECT user_id AS file, event_id, {_KEYWORD} AS keyword, {_RANK} AS rank, lower({device}) AS device, coalesce(nullif({market}, ''), 'default') AS location FROM events),
+        x AS (SELECT file, event_id, keyword, DATE '2024-01-05' AS captured_on, 'default' AS location, '' AS device, rank FROM e WHERE file % 3 = 0 UNION ALL SELECT file, event_id, keyword, DATE '2024-01-06', 'default', '', 5 FROM e WHERE file % 3 = 0
+            UNION ALL SELECT file, event_id, keyword, DATE '2024-03-04', location, device, rank FROM e WHERE file % 3 <> 0 AND event_id % 5 <> 4)
+        SELECT file, keyword, captured_on, location, device, '' AS engine, CAST(rank AS DOUBLE) AS position FROM x QUALIFY row_number() OVER (PARTITION BY file, keyword, captured_on, location, device ORDER BY event_id DESC) = 1""")
     add("STR19", given("events", lambda e: e.selectExpr("event_id", f"element_at({_array([c for c, _ in _CELLS])}, cast(event_id % 8 + 1 as int)) AS cell", f"element_at({_array(_DAYS)}, cast(event_id % 5 + 1 as int)) AS day").select("event_id", imports.as_position(F.col("cell")).alias("position"), imports.as_date(F.col("day")).alias("day"))),
         f"SELECT event_id, CAST({_RANK} AS DOUBLE) AS position, CASE WHEN event_id % 5 < 4 THEN DATE '2024-03-04' END AS day FROM events")
     add("STR20", _payloads, """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '/q' || (o_orderkey % 9) ELSE '/p' || (o_orderkey % 9) END AS page, round(o_totalprice, 2) AS value,
@@ -128,10 +133,10 @@ def register(add: Callable, given: Callable) -> None:
     add("SRC21", given("pages", lambda p: merged(p).withColumn("matched", F.col("u").rlike(r"/en/"))), "SELECT regexp_replace(lower(url), '([?#].*|/+)$', '') AS u, count(*) AS rows, CAST(sum(page_id + 1) AS BIGINT) AS impressions, sum((page_id + 1) * (page_id % 50 + 1))::DOUBLE / sum(page_id + 1) AS position, contains(regexp_replace(lower(url), '([?#].*|/+)$', ''), '/en/') AS matched FROM pages GROUP BY 1")
     add("SRC22", given("part", lambda p: imports.facets(p, ["p_type", "p_brand", "p_size"])), """WITH c AS (SELECT 'p_type' AS name, p_type AS value FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part), n AS (SELECT name, value, count(*) AS rows FROM c GROUP BY ALL)
         SELECT * FROM n WHERE name IN (SELECT name FROM n GROUP BY name HAVING count(*) BETWEEN 2 AND 12)""")
-    audits = lambda e: e.groupBy("user_id").agg(F.to_json(F.struct(F.slice(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("id"), F.col("value").cast("int").alias("failed")))), 1, 20).alias("findings"))).alias("doc"))
+    audits = lambda e: e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(F.struct("event_id", F.col("event_type").alias("id"), F.col("value").cast("int").alias("failed"))).alias("findings"))).alias("doc"))
     add("SRC23", given("events", lambda e: audits(e).select("user_id", F.explode(F.from_json("doc", "findings array<struct<id string, failed int>>")["findings"]).alias("f")).groupBy("user_id", "f.id").agg(F.sum("f.failed").alias("failed"), F.count("*").alias("n"))), """
-        SELECT user_id, event_type AS id, CAST(sum(CAST(trunc(value) AS INTEGER)) AS BIGINT) AS failed, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 20 GROUP BY ALL""")
-    add("SRC28", lambda s, d: _items(_feed(s, d)), "SELECT 'https://n.example/' || doc_id AS url, trim(regexp_replace(left(coalesce(text, ''), 20), '[&<>]', ' ', 'g'), ' ' || chr(9) || chr(10)) AS title, DATE '2024-02-01' + CAST(doc_id % 28 AS INTEGER) AS published FROM documents")
+        SELECT user_id, event_type AS id, CAST(sum(CAST(trunc(value) AS INTEGER)) AS BIGINT) AS failed, count(*) AS n FROM events GROUP BY ALL""")
+    add("SRC28", lambda s, d: _items(_feed(s, d)), "SELECT 'https://n.example/' || doc_id AS url, trim(regexp_replace(coalesce(text, ''), '[&<>]', ' ', 'g'), ' ' || chr(9) || chr(10)) AS title, DATE '2024-02-01' + CAST(doc_id % 28 AS INTEGER) AS published FROM documents")
     add("SRC32", given("events", lambda e: e.select("event_id", F.to_json(F.struct(F.struct((F.col("value") / 1000).alias("score")).alias("performance"), F.struct(F.struct((F.col("value") * 40).alias("numericValue")).alias("lcp")).alias("audits"))).alias("doc")).select("event_id", F.round(F.get_json_object("doc", "$.performance.score").cast("double"), 6).alias("score"), F.round(F.get_json_object("doc", "$.audits.lcp.numericValue").cast("double"), 6).alias("lcp"))),
         "SELECT event_id, round(value / 1000, 6) AS score, round(value * 40, 6) AS lcp FROM events")
     add("SRC14", _inspected, f"""WITH {site.FACTS}, i AS (SELECT q, count(DISTINCT p) AS sources FROM (SELECT p, q FROM links UNION ALL SELECT p, 0 FROM ok) WHERE p <> q GROUP BY q),

@@ -50,7 +50,7 @@ def _duck_intents() -> str:
     for k, (name, weight, pattern) in enumerate(language.INTENTS):
         hit = f"regexp_matches(keyword, '{pattern}')"
         if name == "Local":
-            weak = f"regexp_matches(keyword, '\\b(?:near|in)\\s+[a-z][a-z.''-]{{2,}}\\b') AND NOT list_contains({language.NOT_PLACES}, regexp_extract(keyword, '\\b(?:near|in)\\s+([a-z][a-z.''-]{{2,}})\\b', 1))"
+            weak = f"regexp_matches(keyword, '\\b(?:near|in)\\s+[a-z][a-z.''-]{{2,}}\\b') AND NOT list_contains({language.NOT_PLACES + [x for x in language.WIDE_PLACES if chr(39) not in x]}, regexp_extract(keyword, '\\b(?:near|in)\\s+([a-z][a-z.''-]{{2,}})\\b', 1))"
             parts.append(f"SELECT keyword, '{name}' AS intent, {k} AS k, CASE WHEN {hit} THEN {weight}.0 WHEN {weak} THEN {weight / 2} END AS score FROM keywords")
         else:
             parts.append(f"SELECT keyword, '{name}' AS intent, {k} AS k, CASE WHEN {hit} THEN {weight}.0 END AS score FROM keywords")
@@ -128,8 +128,8 @@ def register(add: Callable, given: Callable) -> None:
         b AS (SELECT *, list_transform(e, lambda x: regexp_replace(x, '^[.!?]\\s+', '')) AS n, len(regexp_extract_all(lower(text), '{_WORD}')) AS words FROM r)
         SELECT doc_id, CAST(len(n) AS INTEGER) AS named, CAST(len(regexp_extract_all(text, '{language.STATISTIC}')) AS INTEGER) AS figures, CASE WHEN words > 0 THEN round(len(list_distinct(n)) * 100.0::DOUBLE / words, 4) ELSE 0 END AS density FROM b""")
     add("STR14", given("documents", lambda d: d.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p")).where("trim(p) <> ''").groupBy("doc_id").agg(F.count("*").alias("passages"), F.count_if(language.passage_points(F.col("p")) >= 65).alias("strong"), F.sum(language.passage_points(F.col("p"))).alias("points"))),
-        f"""WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents), s AS (SELECT doc_id, CASE WHEN regexp_matches(lower(trim(p)), '^(this|that|these|those|it|they|he|she|such|however|therefore|moreover|furthermore|additionally|also)\\b') THEN 0 ELSE 40 END
-            + CASE WHEN len(regexp_extract_all(p, '[0-9]')) >= 2 OR regexp_matches(p, '[0-9].*[%$£€]|[%$£€].*[0-9]') THEN 25 ELSE 0 END + CASE WHEN len(regexp_extract_all(lower(p), '{_WORD}')) BETWEEN 40 AND 120 THEN 25 ELSE 0 END
+        f"""WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents), s AS (SELECT doc_id, CASE WHEN regexp_matches(lower(trim(p)), '{language.OPENERS}') THEN 0 ELSE 40 END
+            + CASE WHEN len(regexp_extract_all(p, '[0-9]')) >= 2 OR regexp_matches(p, '[0-9]') AND regexp_matches(p, '%|\\$|£|€|\\b(19|20)\\d{{2}}\\b') THEN 25 ELSE 0 END + CASE WHEN len(regexp_extract_all(lower(p), '{_WORD}')) BETWEEN 40 AND 120 THEN 25 ELSE 0 END
             + CASE WHEN len(regexp_extract_all(lower(regexp_extract(p, '^[^.!?]*', 0)), '{_WORD}')) BETWEEN 1 AND 30 THEN 10 ELSE 0 END AS pts FROM p WHERE trim(p, ' ') <> '')
         SELECT doc_id, count(*) AS passages, count(CASE WHEN pts >= 65 THEN 1 END) AS strong, CAST(sum(pts) AS BIGINT) AS points FROM s GROUP BY 1""")
     add("STR15", lambda s, d: phrases.mentions(s, d).select("conv_id", "turn", language.sentiment(F.col("said")).alias("score"), language.risk(F.col("said")).alias("risk")), f"WITH {MENTIONS} SELECT conv_id, turn, CAST(score AS DOUBLE) AS score, risk FROM mentions")
