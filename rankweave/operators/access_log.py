@@ -114,28 +114,50 @@ def parse(lines: DataFrame, by: str | None = "file") -> DataFrame:
 
 
 def address(ip: Column) -> Column:
-    """An IPv4 address as a number; null for anything else."""
-    part = lambda k: F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("long")
-    return ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
+    """An address in canonical form: 8 hexadecimal digits for IPv4, 32 for IPv6, whatever way it is written
+    (leading zeros, `::`, an IPv4 address at its end, letters of either case); null for anything else."""
+    text = F.lower(F.trim(ip))
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    quad = rf"{octet}\.{octet}\.{octet}\.{octet}$"
+    digits = lambda k: F.lpad(F.lower(F.hex(F.regexp_extract(text, quad, k).try_cast("long"))), 2, "0")
+    four = F.when(text.rlike("^" + quad), F.concat(*map(digits, range(1, 5))))
+    tail = F.when(text.rlike(":" + quad), F.concat(digits(1), digits(2), F.lit(":"), digits(3), digits(4)))
+    plain = F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[^:]*$", ""), tail)).otherwise(text)
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+
+    halves = F.split(plain, "::")
+    left, right = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    given = F.size(left) + F.size(right)
+    whole = (F.size(halves) == 2) & (given < 8) | (F.size(halves) == 1) & (given == 8)
+    known = whole & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.when(known, 8 - given).otherwise(0)), right)
+    six = F.when(known, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.coalesce(four, six)
+
+
+def prefix(digits: Column, bits: Column) -> Column:
+    """The first bits of an address in canonical form, as a key: whole digits, and what is left of the next one."""
+    rest = (F.conv(F.substring(digits, F.floor(bits / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int") / F.pow(F.lit(2), 4 - bits % 4)).cast("int")
+    return F.concat_ws("/", F.substring(digits, F.lit(1), F.floor(bits / 4).cast("int")), F.when(bits % 4 > 0, F.hex(rest)))
 
 
 def in_networks(hits: DataFrame, networks: DataFrame) -> DataFrame:
-    """hits (with ip) and the name of the network (cidr, name) that holds them: IPv4 by ranges, cut into pieces
-    of 65,536 addresses for an equi-join; IPv6 by prefixes of whole groups, which meet on the prefix."""
-    from rankweave.operators import matching
-
-    bits = F.substring_index("cidr", "/", -1).cast("int")
-    size = F.pow(F.lit(2.0), 32 - bits).cast("long")
-    lo = F.floor(address(F.substring_index("cidr", "/", 1)) / size) * size
-    four = networks.where("cidr NOT LIKE '%:%'").select("name", lo.alias("lo"), (lo + size - 1).alias("hi"))
-    narrow = matching.in_ranges(hits.withColumn("n", address(F.col("ip"))).where("n IS NOT NULL"), four, "n", 65_536).drop("n")
-    groups = (bits / 16).cast("int")
-    six = networks.where("cidr LIKE '%:%'").select("name", F.slice(F.split("cidr", "[:/]"), F.lit(1), groups).alias("prefix"))
-    lengths = [r[0] for r in six.select(F.size("prefix")).distinct().collect()]  # eight at most
-    if not lengths:
-        return narrow
-    own = F.explode(F.array(*(F.slice(F.split("ip", ":"), F.lit(1), F.lit(k)) for k in lengths)))
-    return narrow.unionByName(hits.where("ip LIKE '%:%'").withColumn("prefix", own).join(six, "prefix").drop("prefix"))
+    """hits (with ip) and the names of the networks (cidr, name) that hold them. The networks are a binary trie by
+    levels: those of one length meet the addresses on so many first bits, an equi-join. An address has a key for
+    each length that its family's networks have (33 and 129 at most). What isn't an address or a network is in none."""
+    base, bits = address(F.substring_index("cidr", "/", 1)), F.substring_index("cidr", "/", -1).try_cast("int")
+    known = networks.select("name", base.alias("digits"), bits.alias("bits")).where("digits IS NOT NULL AND bits BETWEEN 0 AND 4 * length(digits)")
+    nets = known.select("name", F.length("digits").alias("family"), "bits", prefix(F.col("digits"), F.col("bits")).alias("key"))
+    levels = [(r["family"], r["bits"]) for r in nets.select("family", "bits").distinct().collect()]  # 162 at most
+    digits = F.col("digits")
+    own = F.array_compact(F.array(*(F.when(F.length(digits) == family, F.struct(F.lit(family).alias("family"), F.lit(n).alias("bits"), prefix(digits, F.lit(n)).alias("key"))) for family, n in levels)))
+    if not levels:
+        return hits.join(nets.select("name"), F.lit(False))
+    placed = hits.withColumn("digits", address(F.col("ip"))).where("digits IS NOT NULL").withColumn("at", F.explode(own))
+    same = [F.col(f"at.{c}") == nets[c] for c in ("family", "bits", "key")]
+    return placed.join(nets, same).select(*hits.columns, "name")
 
 
 def counters(hits: DataFrame) -> DataFrame:
