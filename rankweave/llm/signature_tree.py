@@ -1,7 +1,7 @@
 """Similarity join of texts on word shingles by signature trees.
 
 A document's set is its distinct word shingles; equal sets fall together first (a hash aggregation), so copies
-by the thousand are one set. Each set has a bitmap of about four times as many bits as it has shingles. Sets
+by the thousand are one set. Each set has a bitmap of at least eight times as many bits as it has shingles. Sets
 that may have a partner lie in a tree: leaves of similar sets (sorted by width of bitmap and two minima of
 hashes) and parents of consecutive leaves. A node holds the OR of its bitmaps, its range of sizes and its
 surplus: by how much a set's size exceeds its bits, at most. Two sets below two nodes share no more than the
@@ -16,7 +16,8 @@ that isn't empty, so its digest is a key they share.
 
 Sets of a leaf and of the leaf before it are compared while leaves are made. Keys whose sets are all
 linked by then are done. In the others each component's first set is compared with a few leaders of the
-key, and what is still open is traversed, where pairs of one component count as done. Candidates are
+key, and what is still open is traversed, where pairs of one component count as done: first for the likeliest
+pair of each two components in a pair of leaves, then, where keys are open still, for all. Candidates are
 confirmed on full sets. So no key is expanded into all its pairs of sets, and no pair over the bound is missed.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing. Texts with fewer words
@@ -47,7 +48,7 @@ FAN = 32
 #: A leaf is closed once it holds so many shingles, or its bitmap so many times the bits of its largest set.
 LEAF_ITEMS = 1 << 18
 SPREAD = 2
-BITS_EACH = 4
+BITS_EACH = 8
 #: Sizes of a range differ by this factor at most.
 RANGE = 1.25
 _MINIMA = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -90,7 +91,7 @@ def keys(items: np.ndarray, percent: int) -> np.ndarray:
 
 def width_of(size: int) -> int:
     """Bits of a set's bitmap."""
-    return max(256, 1 << (BITS_EACH * size - 1).bit_length())
+    return max(512, 1 << (BITS_EACH * size - 1).bit_length())
 
 
 def bitmap(items: np.ndarray, width: int) -> np.ndarray:
@@ -115,11 +116,16 @@ def folded(bits: np.ndarray, words: int, join=np.bitwise_or) -> np.ndarray:
 
 def may_link(odd_a: np.ndarray, sizes_a: np.ndarray, odd_b: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
     """Which sets of a (rows) and b (columns) aren't ruled out by sizes and parities."""
+    return _reach(odd_a, sizes_a, odd_b, sizes_b, percent)[0]
+
+
+def _reach(odd_a: np.ndarray, sizes_a: np.ndarray, odd_b: np.ndarray, sizes_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """may_link, and in how large a part of both sets the parities differ."""
     words = min(odd_a.shape[-1], odd_b.shape[-1])
     a, b = (folded(x, words, np.bitwise_xor) for x in (odd_a, odd_b))
     differ = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
     na, nb = sizes_a[:, None], sizes_b[None, :]
-    return (np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+    return (np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)) & (differ * (100 + percent) <= (na + nb) * (100 - percent)), differ / (na + nb)
 
 
 def overlap_bound(bits_a: np.ndarray, surplus_a: np.ndarray, bits_b: np.ndarray, surplus_b: np.ndarray) -> np.ndarray:
@@ -338,8 +344,9 @@ def _leaf_pairs(percent: int):
     return run
 
 
-def _candidates(percent: int):
-    """Pairs of sets of two leaves, of different components, that sizes and parities don't rule out."""
+def _candidates(percent: int, best: bool):
+    """Pairs of sets of two leaves, of different components, that sizes and parities don't rule out; or of the
+    pairs of each two components only the one whose parities differ least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in near_dup._parts(batches, 32):
@@ -348,7 +355,13 @@ def _candidates(percent: int):
                 (nodes_x, cx, nx, ox), (nodes_y, cy, ny, oy) = ((*(np.array(s[k], np.int64) for k in ("nodes", "components", "sizes")), _bits(s["each"], len(s["nodes"]))) for s in (r["x"], r["y"]))
                 open_ = (cx[:, None] != cy[None, :]) & (cx[:, None] >= 0) & (cy[None, :] >= 0)
                 if open_.any():
-                    i, j = np.nonzero(open_ & may_link(ox, nx, oy, ny, percent))
+                    may, apart_ = _reach(ox, nx, oy, ny, percent)
+                    i, j = np.nonzero(open_ & may)
+                    if best:
+                        order = np.argsort(apart_[i, j], kind="stable")
+                        i, j = i[order], j[order]
+                        first = np.unique(np.sort(np.stack([cx[i], cy[j]]), axis=0), axis=1, return_index=True)[1]
+                        i, j = i[first], j[first]
                     found.append(np.sort(np.stack([nodes_x[i], nodes_y[j]]), axis=0))
             pairs = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_PAIR_FIELDS)
@@ -386,8 +399,9 @@ def _both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
 
 
-def _traversed(open_: DataFrame, leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the open keys' sets, by levels from parents to leaves to sets."""
+def _traversed(open_: DataFrame, leaves: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Links of the open keys' sets, by levels from parents to leaves to sets; of the pairs of two components
+    that meet in a pair of leaves, all or the likeliest."""
     lies = leaves.select(F.explode("nodes").alias("node"), F.col("id").alias("leaf"), "parent")
     at = materialised(open_.join(lies, "node").select("key", "node", "component", "leaf", "parent"))
     below = at.select("key", "parent").distinct()
@@ -401,7 +415,7 @@ def _traversed(open_: DataFrame, leaves: DataFrame, sets: DataFrame, percent: in
     known = materialised(known.select("id", "parent", "low", "high", "surplus", "bits", "nodes", "sizes", "each", F.transform("nodes", lambda n: F.coalesce(F.element_at("of", n), F.lit(-1))).alias("components")))
     parents = materialised(known.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("id", "low", "high", "surplus", "bits")).alias("leaves")))
     leaf_pairs = materialised(_both(pairs, parents).mapInArrow(_leaf_pairs(percent), "a long, b long"))
-    found = _both(leaf_pairs, known.select("id", "nodes", "sizes", "each", "components")).mapInArrow(_candidates(percent), "a long, b long")
+    found = _both(leaf_pairs, known.select("id", "nodes", "sizes", "each", "components")).mapInArrow(_candidates(percent, best), "a long, b long")
     return near_dup._confirmed(materialised(found.distinct()), sets, percent)
 
 
@@ -424,7 +438,8 @@ def classes(texts: DataFrame, width: int, percent: int, leaf: int = LEAF, fan: i
     if (same := near_dup._same_document(keyed, groups)) is not None:
         links = links.union(same)
     component = near_dup.connected_components(links)
-    for search in (lambda o: _led(o, sets, percent), lambda o: _traversed(o, leaves, sets, percent)):
+    searches = [lambda o: _led(o, sets, percent), lambda o: _traversed(o, leaves, sets, percent, True), lambda o: _traversed(o, leaves, sets, percent, False)]
+    for search in searches:
         open_ = _open(members, component)
         if not open_.limit(1).count():
             break
