@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rankweave.operators import html
 from rankweave.operators.content import all_matches
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute(href: pd.Series, url: pd.Series) -> pd.Series:
     """A reference's target as an absolute URL without its fragment; null for anchors, scripts and mail."""
     return pd.Series([html.resolve(h, u or "") for h, u in zip(href, url, strict=True)], dtype=object)

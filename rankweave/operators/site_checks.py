@@ -12,7 +12,15 @@ GENERIC_ANCHORS = ["click here", "here", "read more", "more", "learn more", "thi
 FILES = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|rar|csv)([?#]|$)"
 RETRIEVAL_AGENTS = ["oai-searchbot", "chatgpt-user", "perplexitybot"]
 #: Properties that a markup type must or should have.
-MARKUP_RULES = {"Product": (["name", "offers"], []), "Article": (["headline"], ["datePublished"]), "BreadcrumbList": (["itemListElement"], [])}
+#: Properties that a node of a type must have, must have one of, and should have.
+MARKUP_RULES = {
+    "Product": (["name"], [["offers", "review", "aggregateRating"]], []),
+    "Article": (["headline"], [], ["datePublished"]),
+    "BreadcrumbList": (["itemListElement"], [], []),
+}
+#: Properties whose nested nodes are looked at in their own right, and how deep documents are followed.
+NESTED = ["author", "publisher", "provider", "mainEntityOfPage", "itemReviewed"]
+DEPTH = 6
 
 
 def answered(records: DataFrame) -> DataFrame:
@@ -98,25 +106,38 @@ def heading_skips() -> Column:
 
 
 # Markup.
-def nodes(records: DataFrame) -> DataFrame:
-    """page_id, node (variant) and type of each markup node: documents, arrays, @graph members and two
-    kinds of nested nodes. Broken documents are left out."""
-    many = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+def nodes(records: DataFrame, nested: tuple[str, ...] = (*NESTED, "offers", "itemListElement"), depth: int = DEPTH) -> DataFrame:
+    """page_id, node (variant) and type of each markup node: documents, members of arrays and of @graph, and what
+    lies in `nested` properties, down to `depth`. A node of several types comes once for each, one without a type
+    with null. Broken documents are left out. A document's levels are unfolded one by one in its own row."""
+    many = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+    def below(v: Column) -> Column:
+        inner = F.array_compact(F.array(*(F.try_variant_get(v, f"$.{k}", "variant") for k in nested)))
+        return F.concat(many(v, "$"), many(v, "$['@graph']"), inner)
+
+    def level(sums: Column, _: Column) -> Column:
+        return F.struct(F.concat(sums["found"], sums["next"]).alias("found"), F.flatten(F.transform(sums["next"], below)).alias("next"))
+
     docs = answered(records).select("page_id", F.explode("json_ld").alias("raw")).select("page_id", F.try_parse_json("raw").alias("v")).where("v IS NOT NULL")
-    top = docs.select("page_id", F.explode(F.coalesce(many(F.col("v"), "$"), F.array("v"))).alias("v"))
-    graph = top.select("page_id", F.explode(F.coalesce(many(F.col("v"), "$['@graph']"), F.array("v"))).alias("v"))
-    inner = lambda path: graph.select("page_id", F.try_variant_get("v", path, "variant").alias("v")).where("v IS NOT NULL")
-    listed = inner("$.itemListElement").select("page_id", F.explode(many(F.col("v"), "$")).alias("v"))
-    every = graph.unionByName(inner("$.offers")).unionByName(listed)
-    return every.select("page_id", F.col("v").alias("node"), F.try_variant_get("v", "$['@type']", "string").alias("type"))
+    start = F.struct(F.array().cast("array<variant>").alias("found"), F.array("v").alias("next"))
+    every = docs.select("page_id", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, level, lambda x: x["found"])).alias("node"))
+    objects = every.where(F.schema_of_variant("node").startswith("OBJECT"))
+    kinds = F.coalesce(F.try_variant_get("node", "$['@type']", "array<string>"), F.array(F.try_variant_get("node", "$['@type']", "string")))
+    return objects.select("page_id", "node", F.explode_outer(kinds).alias("type"))
 
 
 def markup_faults(records: DataFrame) -> DataFrame:
-    """page_id, type, required and recommended: the properties that nodes of known types lack."""
-    rules = F.create_map(*(F.lit(x) if isinstance(x, str) else x for t, (must, should) in MARKUP_RULES.items() for x in (t, F.struct(F.array(*map(F.lit, must)).cast("array<string>").alias("must"), F.array(*map(F.lit, should)).cast("array<string>").alias("should")))))
+    """page_id, type, required and recommended: the properties that nodes of known types lack. Of a group of which
+    one is enough, all are named. Blank texts, empty arrays and nulls count as lacking."""
+    text = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    rule = lambda must, one, should: F.struct(text(must).alias("must"), (F.array(*map(text, one)) if one else F.array().cast("array<array<string>>")).alias("one"), text(should).alias("should"))
+    rules = F.create_map(*(x for kind, r in MARKUP_RULES.items() for x in (F.lit(kind), rule(*r))))
     typed = nodes(records).withColumn("rule", F.try_element_at(rules, F.col("type"))).where("rule IS NOT NULL")
-    keys = F.json_object_keys(F.to_json("node"))
-    return typed.select("page_id", "type", F.array_except(F.col("rule.must"), keys).alias("required"), F.array_except(F.col("rule.should"), keys).alias("recommended"))
+    given = F.from_json(F.to_json("node"), "map<string,string>")
+    keys = F.map_keys(F.map_filter(given, lambda _, v: v.isNotNull() & ~F.trim(v).isin("", "[]", "null")))
+    lacking = F.concat(F.array_except(F.col("rule.must"), F.col("keys")), F.transform(F.filter("rule.one", lambda g: ~F.arrays_overlap(g, F.col("keys"))), lambda g: F.array_join(g, "|")))
+    return typed.withColumn("keys", keys).select("page_id", "type", lacking.alias("required"), F.array_except(F.col("rule.should"), F.col("keys")).alias("recommended"))
 
 
 def schema_scores(records: DataFrame) -> DataFrame:

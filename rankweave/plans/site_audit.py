@@ -170,7 +170,7 @@ def _register_markup(add: Callable) -> None:
     types = """CASE p % 6 WHEN 2 THEN ['Product'] WHEN 3 THEN ['Product', 'BreadcrumbList', 'Offer'] WHEN 4 THEN ['Article'] WHEN 5 THEN ['WebPage', 'Product'] ELSE [] END"""
     add("ARR1", _records(lambda r: checks.nodes(r).where("type IS NOT NULL").groupBy("page_id", "type").agg(F.count("*").alias("nodes"))), _facts(f"SELECT p AS page_id, unnest({types}) AS type, CAST(1 AS BIGINT) AS nodes FROM ok"))
     add("ARR2", _records(lambda r: checks.markup_faults(r).select("page_id", "type", F.array_join("required", ",").alias("required"), F.array_join("recommended", ",").alias("recommended"))), _facts(f"""
-        WITH t AS (SELECT p, unnest({types}) AS type FROM ok) SELECT p AS page_id, type, CASE WHEN p % 6 = 2 THEN 'offers' ELSE '' END AS required, CASE WHEN type = 'Article' THEN 'datePublished' ELSE '' END AS recommended
+        WITH t AS (SELECT p, unnest({types}) AS type FROM ok) SELECT p AS page_id, type, CASE WHEN p % 6 = 2 THEN 'offers|review|aggregateRating' ELSE '' END AS required, CASE WHEN type = 'Article' THEN 'datePublished' ELSE '' END AS recommended
         FROM t WHERE type IN ('Product', 'Article', 'BreadcrumbList')"""))
     named = lambda r: checks.nodes(r).select("page_id", F.coalesce(F.try_variant_get("node", "$.headline", "string"), F.try_variant_get("node", "$.name", "string")).alias("name")).where("name LIKE 'Item %'").distinct()
     add("ARR3", _records(lambda r: named(r).join(r.select("page_id", "text"), "page_id").select("page_id", "name", F.lower("text").contains(F.lower("name")).alias("shown"))),
