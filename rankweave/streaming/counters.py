@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,30 +60,53 @@ def drained(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFra
 
 
 _SEEN = "key long, rows long, changes long, first_id long, last_id long, most long, status string, before string, ok1 long, ok2 long, ok3 long, oks long"
+_KEPT = "rows long, changes long, first_id long, last_id long, most long, status string, before string, ok1 long, ok2 long, ok3 long"
+_PENDING = "seens array<long>, ids array<long>, statuses array<string>, cents array<long>"
+_NOTHING = (0, 0, None, None, None, None, None, None, None, None)
+
+
+def _folded(known: tuple, rows: list[tuple]) -> tuple:
+    """What is known after some more measurements (seen, id, status, value) in order."""
+    n, changes, first_id, last_id, most, status, before, *ok = known
+    for _, id_, now, value in rows:
+        n, changes = n + 1, changes + (n > 0 and now != status)
+        first_id, last_id = (id_ if first_id is None else first_id), id_
+        most = value if most is None else max(most, value)
+        before, status = status, now
+        if now != "error":
+            ok = [value, *ok[:2]]
+    return (n, changes, first_id, last_id, most, status, before, *ok)
 
 
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Takes a key's new measurements in the order of their times; state is of one size whatever has been seen."""
-    rows, changes, first_id, last_id, most, status, before, *ok = state.get if state.exists else (0, 0, None, None, None, None, None, None, None, None)
-    news = pd.concat(list(batches)).sort_values(["seen", "id"])
-    for id_, now, value in news[["id", "status", "value"]].itertuples(index=False):
-        rows, changes = rows + 1, changes + (rows > 0 and now != status)
-        first_id, last_id = (int(id_) if first_id is None else first_id), int(id_)
-        most = int(value) if most is None else max(most, int(value))
-        before, status = status, now
-        if now != "error":
-            ok = [int(value), *ok[:2]]
-    state.update((rows, changes, first_id, last_id, most, status, before, *ok))
+    """Measurements wait until the watermark has passed them, and are then taken in the order of their times, so that
+    files may come in any order within the bound on lateness. What is told includes those that wait."""
+    known, waiting = (tuple(state.get[:10]), list(zip(*state.get[10:], strict=True))) if state.exists else (_NOTHING, [])
+    mark = state.getCurrentWatermarkMs()
+    if not state.hasTimedOut:
+        for news in batches:
+            seen = news["seen"].astype("datetime64[us]").astype("int64")
+            rows = zip(seen.tolist(), news["id"].tolist(), news["status"].tolist(), news["value"].tolist(), strict=True)
+            waiting += [r for r in rows if r[0] >= mark * 1000]
+    waiting.sort()
+    ready = bisect_left(waiting, (mark * 1000,))
+    known, waiting = _folded(known, waiting[:ready]), waiting[ready:]
+    state.update((*known, *(list(c) for c in zip(*waiting, strict=True))) if waiting else (*known, [], [], [], []))
+    if waiting:
+        state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 + 1))
+    rows, changes, first_id, last_id, most, status, before, *ok = _folded(known, waiting)
+    if not rows:
+        return
     found = {"key": key[0], "rows": rows, "changes": changes, "first_id": first_id, "last_id": last_id, "most": most, "status": status, "before": before, "ok1": ok[0], "ok2": ok[1], "ok3": ok[2], "oks": sum(x is not None for x in ok)}
     yield pd.DataFrame({k: pd.array([v], dtype="string" if k in ("status", "before") else "Int64") for k, v in found.items()})
 
 
-def monitored(stream: DataFrame) -> DataFrame:
-    """What is known of each key of measurements (key, seen, id, status, value): counts, the last two states
-    and the last three values that are no errors. Rows of one micro-batch are put in order by time;
-    those of a later batch count as later."""
-    kept = "rows long, changes long, first_id long, last_id long, most long, status string, before string, ok1 long, ok2 long, ok3 long"
-    return stream.groupBy("key").applyInPandasWithState(_follow, _SEEN, kept, "update", GroupStateTimeout.NoTimeout)
+def monitored(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """What is known of each key of measurements (key, seen, id, status, value): counts, the last two states and the
+    last three values that are no errors, in the order of times. A key's state holds its measurements of the
+    time that the watermark leaves open; those that come later than `late` are dropped."""
+    timed = stream.withWatermark("seen", late)
+    return timed.groupBy("key").applyInPandasWithState(_follow, _SEEN, f"{_KEPT}, {_PENDING}", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,16 +117,17 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recounted_days(stream: DataFrame, lag: int = 2) -> DataFrame:
     """Events and value (cents) of each type and day, however late rows come: each batch adds its rows, and the
-    days that it touches are counted anew and written over. Days newer than `lag` before the newest one are
+    days that it touches are counted anew, from their own partitions, and written over. Days newer than `lag` before the newest one are
     held back, as they may still grow. A batch that is run again writes the same."""
     spark = stream.sparkSession
     folder = shared.folder(spark)
     rows = stream.select(F.to_date("ts").alias("day"), "event_type", F.round(F.col("value") * 100).cast("long").alias("value"))
 
     def recount(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/raw/batch={number}")
-        touched = spark.read.parquet(f"{folder}/raw/batch={number}").select("day").distinct()
-        every = spark.read.option("basePath", f"{folder}/raw").parquet(f"{folder}/raw").join(touched, "day", "left_semi")
+        placed = batch.withColumn("batch", F.lit(number))
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{folder}/raw")
+        touched = [r["day"] for r in batch.select("day").distinct().collect()]  # the days of one batch
+        every = spark.read.schema("event_type string, value long, day date, batch int").parquet(f"{folder}/raw").where(F.col("day").isin(touched))
         counted = every.groupBy("day", "event_type").agg(F.count("*").alias("hits"), F.sum("value").alias("value"))
         counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{folder}/days")
 
