@@ -87,6 +87,7 @@ class ByteBpe:
         self._build_matcher([(self.token_bytes[number], number) for number in self.made])
         self.pairs: dict[int, bool] = {}
         self.ids_of: dict[str, bytes] = {}  # ids as packed 32-bit numbers
+        self.old_ids_of: dict[str, bytes] = {}
 
     def _stay_apart(self, left: int, right: int, limit: int = 1 << 60) -> bool:
         """Whether merging the bytes of two tokens joins nothing across their border by a merge of a rank
@@ -189,10 +190,14 @@ class ByteBpe:
         return list(chain.from_iterable([p] if k % 2 else words.findall(p) for k, p in enumerate(parts)))
 
     def learn(self, pieces: list[list[str]]) -> None:
-        """Puts the ids of all words of a block into the table of known words."""
+        """Puts the ids of all words of a block into the table of known words. A full table becomes the old one, from
+        which words that are met again come back; the others go with the next change."""
         if len(self.ids_of) >= KEPT_WORDS:
-            self.ids_of.clear()
+            self.ids_of, self.old_ids_of = {}, self.ids_of
         new = set().union(*pieces) - self.ids_of.keys()
+        again = new & self.old_ids_of.keys()
+        self.ids_of.update(zip(again, map(self.old_ids_of.__getitem__, again), strict=True))
+        new -= again
         for special in new & self.special.keys():
             self.ids_of[special] = array("i", [self.special[special]]).tobytes()
             new.discard(special)
@@ -300,6 +305,7 @@ def round_trip_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = (),
                 } | ({"ids": _id_lists(ids)} if with_ids else {})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns.values()], names=[*kept, *columns])
         bpe.ids_of.clear()  # the worker stays for other stages
+        bpe.old_ids_of.clear()
         bpe.pairs.clear()
         give_back()
 
