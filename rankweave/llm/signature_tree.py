@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm import near_dup
 from rankweave.llm.memory import give_back
-from rankweave.llm.shared import cut, materialised, mix64
+from rankweave.llm.shared import materialised, mix64
 
 #: Sets of a leaf, and leaves of a parent, at most.
 LEAF = 32
@@ -191,6 +191,7 @@ class _Leaf:
 
     def __init__(self, wide: int) -> None:
         self.wide, self.nodes, self.sets, self.bits, self.odd = wide, [], [], [], []
+        self.heads: list[int] = []
         self.either, self.total, self.largest = np.zeros(wide // 64, np.uint64), 0, 0
 
     def takes(self, wide: int, bits: np.ndarray, most: int) -> bool:
@@ -231,12 +232,18 @@ def _near_links(leaf: _Leaf, before: _Leaf | None, percent: int) -> list[dict]:
             k = root[k]
         return k
 
-    found = []
     for j, i in zip(*np.nonzero(may.T), strict=True):
-        j = int(j) + first
-        if i < j and top(int(i)) != top(j) and linked(sets[i], sets[j], percent):
-            root[top(int(i))] = top(j)
-            found.append({"a": nodes[i], "b": nodes[j]})
+        i, j = int(i), int(j) + first
+        if i < j and top(i) != top(j) and linked(sets[i], sets[j], percent):
+            root[top(i)] = top(j)
+    # Links as stars: each component's sets with the first set that is known of it, from leaf to leaf.
+    heads, found = {}, []
+    for k, node in enumerate(nodes):
+        own = before.heads[k] if k < first else node
+        head = heads.setdefault(top(k), own)
+        if head != own:
+            found.append({"a": head, "b": own})
+    leaf.heads = [heads[top(k)] for k in range(first, len(nodes))]
     return found
 
 
@@ -399,23 +406,28 @@ def _both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
 
 
-def _traversed(open_: DataFrame, leaves: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Links of the open keys' sets, by levels from parents to leaves to sets; of the pairs of two components
-    that meet in a pair of leaves, all or the likeliest."""
+def _near_leaves(open_: DataFrame, leaves: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of leaves that may have links between the open keys' sets, by levels from parents on, and the leaves."""
     lies = leaves.select(F.explode("nodes").alias("node"), F.col("id").alias("leaf"), "parent")
-    at = materialised(open_.join(lies, "node").select("key", "node", "component", "leaf", "parent"))
+    at = materialised(open_.join(lies, "node").select("key", "leaf", "parent").distinct())
     below = at.select("key", "parent").distinct()
     # Keys below the same parents lead to the same pairs: one of them is enough.
     names = below.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("parent").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("parent", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
-    own = materialised(below.join(names.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key"))
+    own = below.join(names.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key")
     pairs = own.withColumnRenamed("parent", "a").join(own.withColumnRenamed("parent", "b"), "key").where("a <= b").select("a", "b").distinct()
-    # A leaf's sets with their components, and a parent's leaves: no more than a leaf and a parent hold.
-    held = at.select("leaf", "node", "component").distinct().groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("node", "component"))).alias("of"))
-    known = leaves.join(held, F.col("id") == F.col("leaf"))
-    known = materialised(known.select("id", "parent", "low", "high", "surplus", "bits", "nodes", "sizes", "each", F.transform("nodes", lambda n: F.coalesce(F.element_at("of", n), F.lit(-1))).alias("components")))
-    parents = materialised(known.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("id", "low", "high", "surplus", "bits")).alias("leaves")))
-    leaf_pairs = materialised(_both(pairs, parents).mapInArrow(_leaf_pairs(percent), "a long, b long"))
-    found = _both(leaf_pairs, known.select("id", "nodes", "sizes", "each", "components")).mapInArrow(_candidates(percent, best), "a long, b long")
+    known = materialised(leaves.drop("links").join(at.select(F.col("leaf").alias("id")).distinct(), "id"))
+    parents = known.groupBy(F.col("parent").alias("id")).agg(F.collect_list(F.struct("id", "low", "high", "surplus", "bits")).alias("leaves"))  # a parent's leaves, no more
+    return materialised(_both(pairs, materialised(parents)).mapInArrow(_leaf_pairs(percent), "a long, b long")), known
+
+
+def _traversed(near: tuple[DataFrame, DataFrame], open_: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Links of the open keys' sets below pairs of leaves; of the pairs of two components that meet in a pair of
+    leaves, all or the likeliest."""
+    leaf_pairs, known = near
+    placed = known.select("id", F.explode("nodes").alias("node")).join(open_.select("node", "component").distinct(), "node")
+    held = placed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("node", "component"))).alias("of"))  # a leaf's sets, no more
+    own = known.join(held, "id").select("id", "nodes", "sizes", "each", F.transform("nodes", lambda n: F.coalesce(F.element_at("of", n), F.lit(-1))).alias("components"))
+    found = _both(leaf_pairs, materialised(own)).mapInArrow(_candidates(percent, best), "a long, b long")
     return near_dup._confirmed(materialised(found.distinct()), sets, percent)
 
 
@@ -438,12 +450,14 @@ def classes(texts: DataFrame, width: int, percent: int, leaf: int = LEAF, fan: i
     if (same := near_dup._same_document(keyed, groups)) is not None:
         links = links.union(same)
     component = near_dup.connected_components(links)
-    searches = [lambda o: _led(o, sets, percent), lambda o: _traversed(o, leaves, sets, percent, True), lambda o: _traversed(o, leaves, sets, percent, False)]
-    for search in searches:
+    near = None
+    for step in ("leaders", "likeliest", "all"):
         open_ = _open(members, component)
         if not open_.limit(1).count():
             break
-        more = cut(search(open_))
+        if step != "leaders" and near is None:
+            near = _near_leaves(open_, leaves, percent)
+        more = _led(open_, sets, percent) if step == "leaders" else _traversed(near, open_, sets, percent, step == "likeliest")
         if more.limit(1).count():
             links = links.union(more)
             component = near_dup.connected_components(links)
