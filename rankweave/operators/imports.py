@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from rankweave.operators import graph
 from rankweave.operators.content import all_matches
 from rankweave.sources import shared
 
@@ -142,6 +144,37 @@ def written_csv(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
 
 
+class Upserts:
+    """A table of rows by key in the shared folder, in hash buckets of the key. A load replaces the rows of its keys
+    and adds new ones: the buckets that it touches are read, merged and written over, the others stay as they
+    are. A load that is run again leaves the same rows. Of a load's rows of one key the last by `order` counts."""
+
+    def __init__(self, schema: StructType, keys: list[str], order: list[str], folder: str, buckets: int = 16) -> None:
+        self.schema, self.keys, self.order, self.folder, self.buckets = schema, keys, order, folder, buckets
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.schema.names, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket"))
+
+    def read(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets."""
+        whole = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
+        if not shared.exists(spark, self.folder):
+            return spark.createDataFrame([], whole)
+        rows = spark.read.schema(whole).parquet(self.folder)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def load(self, rows: DataFrame) -> Upserts:
+        spark = rows.sparkSession
+        news = graph.checkpointed(newest(self._placed(rows), self.keys, self.order))
+        touched = [r["bucket"] for r in news.select("bucket").distinct().collect()]  # self.buckets at most
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
+        kept = self.read(spark, touched).alias("o").join(news.alias("n"), [F.col("o.bucket") == F.col("n.bucket"), *same], "left_anti")
+        # Merged rows are complete before any bucket is written over.
+        merged = graph.checkpointed(kept.unionByName(news))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+        return self
+
+
 def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: an upsert in which the last write wins."""
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))

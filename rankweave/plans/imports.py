@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators import documents, imports, site_checks
-from rankweave.sources import site, tables
+from rankweave.sources import shared, site, tables
 from rankweave.sources.tables import table, twin
 
 _CELLS = [("12", 12.0), (">100", None), ("100+", None), ("-", None), ("n/a", None), ("7.5", 7.5), ("101", None), ("#3", 3.0)]
@@ -154,11 +154,12 @@ def register(add: Callable, given: Callable) -> None:
         twin("SELECT brand, '{\"clicks\":' || CAST(sum(clicks) AS BIGINT) || ',\"impressions\":' || CAST(sum(impressions) AS BIGINT) || '}' AS snapshot FROM metric GROUP BY brand", "metric"))
     add("SRC6", lambda s, d: tables.metric_daily(s, d).groupBy("brand").agg(F.max("date").alias("date"), F.sum("clicks").alias("clicks"), F.countDistinct("entity").alias("kinds")), twin("SELECT brand, max(date) AS date, CAST(sum(clicks) AS BIGINT) AS clicks, count(DISTINCT entity) AS kinds FROM metric GROUP BY brand", "metric"))
     def upserts(key: str) -> tuple[Callable, str]:
-        """Rows of two loads of visits by day and a dimension, of which the later one counts."""
+        """Visits by day and a dimension, stored by a load and by a second one that overlaps and is run twice."""
         def run(s: SparkSession, d: str) -> DataFrame:
-            v = tables.visits_daily(s, d)
-            loads = v.withColumn("synced", F.lit(1)).unionByName(v.where("entity % 2 = 0").withColumn("sessions", F.col("sessions") + 1).withColumn("synced", F.lit(2)))
-            return imports.newest(loads, ["brand", "date", "entity"], ["synced"]).groupBy(key).agg(F.count("*").alias("rows"), F.sum("sessions").alias("sessions"), F.sum("conversions").alias("conversions"))
+            v = tables.visits_daily(s, d).withColumn("synced", F.lit(1))
+            again = v.where("entity % 2 = 0").withColumn("sessions", F.col("sessions") + 1).withColumn("synced", F.lit(2))
+            stored = imports.Upserts(v.schema, ["brand", "date", "entity"], ["synced"], shared.folder(s)).load(v).load(again).load(again)
+            return stored.read(s).groupBy(key).agg(F.count("*").alias("rows"), F.sum("sessions").alias("sessions"), F.sum("conversions").alias("conversions"))
 
         return run, twin(f"SELECT {key}, count(*) AS rows, CAST(sum(sessions + CASE WHEN entity % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS sessions, CAST(sum(conversions) AS BIGINT) AS conversions FROM visits GROUP BY {key}", "visits")
 
@@ -178,8 +179,6 @@ def register(add: Callable, given: Callable) -> None:
     add("WIN10", cohorts, cohort_sql)
     def probe_log(s: SparkSession, d: str) -> DataFrame:
         """Probes appended in two loads, errors as rows, read back and counted by day."""
-        from rankweave.sources import shared
-
         e, path = table(s, d, "events"), shared.folder(s)
         rows = e.select(F.to_date("ts").alias("day"), F.when(F.col("event_type") == "error", "failed").otherwise("fine").alias("outcome"), "value")
         for half in ("day < DATE '2024-01-16'", "day >= DATE '2024-01-16'"):

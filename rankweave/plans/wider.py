@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.safe import ratio_null
-from rankweave.operators import content, performance
-from rankweave.sources import tables
+from rankweave.operators import content, imports, performance
+from rankweave.sources import shared, tables
 from rankweave.sources.tables import table, twin
 
 
@@ -81,7 +81,14 @@ def register(add: Callable, over: Callable, given: Callable, compared: Callable[
     runs = lambda o: _newest(o.select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], 2, F.desc("o_orderkey"))
     add("WIN4", given("orders", lambda o: runs(o).groupBy("o_custkey").agg(F.max(F.when(F.col("k") == 1, F.col("o_orderkey"))).alias("latest"), F.max(F.when(F.col("k") == 2, F.col("o_orderkey"))).alias("previous"))),
         "WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) SELECT o_custkey, max(CASE WHEN k = 1 THEN o_orderkey END) AS latest, max(CASE WHEN k = 2 THEN o_orderkey END) AS previous FROM n WHERE k <= 2 GROUP BY o_custkey")
-    add("SRC4", given("orders", lambda o: _newest(o.select("o_custkey", "o_orderstatus", "o_orderkey", "o_orderdate"), ["o_custkey", "o_orderstatus"], 1, F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderstatus", "o_orderkey")),
+    def loads(o: DataFrame) -> DataFrame:
+        """The newest order of each customer and status, stored by a load of each half of the days; the second one is run twice."""
+        rows = o.select("o_custkey", "o_orderstatus", "o_orderkey", "o_orderdate")
+        early, late = rows.where("o_orderdate < DATE '1995-01-01'"), rows.where("o_orderdate >= DATE '1995-01-01'")
+        stored = imports.Upserts(rows.schema, ["o_custkey", "o_orderstatus"], ["o_orderdate", "o_orderkey"], shared.folder(o.sparkSession)).load(early).load(late).load(late)
+        return stored.read(o.sparkSession).select("o_custkey", "o_orderstatus", "o_orderkey")
+
+    add("SRC4", given("orders", loads),
         "SELECT o_custkey, o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
     add("SRC11", over(tables.leads, lambda x: x.groupBy("channel", "status").agg(F.count("*").alias("leads"), F.sum("value").alias("value")).unpivot(["channel", "status"], ["leads", "value"], "metric", "amount")),
         twin("WITH s AS (SELECT channel, status, count(*) AS n, CAST(sum(value) AS BIGINT) AS v FROM leads GROUP BY 1, 2) SELECT channel, status, 'leads' AS metric, n AS amount FROM s UNION ALL SELECT channel, status, 'value', v FROM s", "leads"))

@@ -23,3 +23,9 @@ def folder(spark: SparkSession) -> str:
     """A new folder below it."""
     ensure_checkpoints(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -48,3 +48,24 @@ def test_ranks_by_place_and_device(spark):
     rows = imports.delimited(spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "file long, at long, line string"))
     got = sorted((r["location"], r["device"], r["position"]) for r in imports.ranks(rows).collect())
     assert got == [("Leeds", "mobile", 5.0), ("default", "mobile", 4.0)]
+
+
+def test_upserts_rewrite_only_the_buckets_they_touch(spark, tmp_path):
+    """Two loads that overlap and a rerun; keys with nulls; several rows of a key in one load."""
+    folder = f"{tmp_path}/table"
+    frame = lambda rows: spark.createDataFrame(rows, "k string, day int, v long, at int")
+    first = [(f"k{i}", i % 3, i, 1) for i in range(60)] + [(None, 1, 7, 1), ("k1", 1, 1000, 0)]
+    table = imports.Upserts(frame(first).schema, ["k", "day"], ["at"], folder, 8).load(frame(first))
+    rows = lambda: {(r["k"], r["day"]): r["v"] for r in table.read(spark).collect()}
+    want = {(k, d): v for k, d, v, at in first if at}
+    assert rows() == want and table.read(spark).count() == len(want)
+    files = lambda: {p.relative_to(folder): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before, second = files(), [("k5", 2, 555, 2), (None, 1, 8, 2), ("new", None, 9, 2), ("k5", 2, 556, 3)]
+    table.load(frame(second))
+    want |= {("k5", 2): 556, (None, 1): 8, ("new", None): 9}
+    assert rows() == want
+    changed = {p.parts[0] for p in set(before.items()) ^ set(files().items()) for p in [p[0]]}
+    assert len(changed) <= 3 and len({p.parts[0] for p in before}) > 3
+    table.load(frame(second))
+    assert rows() == want and table.read(spark).count() == len(want)
+    assert table.load(frame([])) is table and rows() == want
