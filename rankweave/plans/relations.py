@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.operators import documents, language, site_checks
+from rankweave.operators import cosines, documents, language, site_checks
 from rankweave.plans.texts import _STOP, _TOKENS
 from rankweave.sources import phrases, site, tables
 from rankweave.sources.phrases import KEYWORDS
@@ -86,21 +86,22 @@ def _rivals_by_host(pages: DataFrame) -> DataFrame:
 
 
 def _link_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, b and 0.65 of the Jaccard of their places and modifiers plus 0.35 of the cosine of their stems, of
-    phrases that share their rarest-but-common stem; at least 0.08."""
-    t = phrases.keywords(spark, sf_dir).where("page <= 10").select("keyword", language.phrase_tokens(F.col("keyword"), _STOP).alias("t"))
-    e = t.select("keyword", "t", F.explode("t").alias("m"))
-    pairs = e.select("m", F.col("keyword").alias("a"), F.col("t").alias("x")).join(e.select("m", F.col("keyword").alias("b"), F.col("t").alias("y")), "m").where("a < b").groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.count("*").alias("n"))
+    """a, b and 0.65 of the Jaccard of their stems plus 0.35 of their cosine, of all phrases at or over 0.6. The
+    cosine of two sets is never below their Jaccard, so it has to reach that as well."""
+    t = phrases.keywords(spark, sf_dir).select("keyword", language.phrase_tokens(F.col("keyword"), _STOP).alias("t"))
+    near = cosines.cosine_pairs(t.select(F.col("keyword").alias("id"), F.explode("t").alias("term"), F.lit(1).alias("n")), 0.599)
+    side = lambda c, name: t.select(F.col("keyword").alias(c), F.col("t").alias(name))
+    met = near.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     nx, ny = F.size("x"), F.size("y")
     score = F.round(0.65 * F.col("n") / (nx + ny - F.col("n")) + 0.35 * F.col("n") / F.sqrt(nx * ny * 1.0), 3)
-    return pairs.select("a", "b", score.alias("score")).where("score >= 0.6")
+    return met.select("a", "b", score.alias("score")).where("score >= 0.6")
 
 
 def _best_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey and the best phrase head for its name: equal 100, contained 80, containing 60. Candidates
     meet on a word."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    heads = table(spark, sf_dir, "part").select(F.lower("p_name").alias("h")).distinct().where("h LIKE '%e%'").select("h").union(table(spark, sf_dir, "part").select(F.lower("p_name").alias("h")).distinct().selectExpr("concat(h, ' set') AS h"))
+    heads = table(spark, sf_dir, "part").select(F.lower("p_name").alias("h")).distinct().union(table(spark, sf_dir, "part").select(F.lower("p_name").alias("h")).distinct().selectExpr("concat(h, ' set') AS h"))
     word = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
     met = parts.select("p_partkey", "name", word("name").alias("w")).join(heads.select("h", word("h").alias("w")), "w").drop("w").distinct()
     score = F.when(F.col("h") == F.col("name"), 100).when(F.contains("h", F.col("name")), 80).when(F.contains("name", F.col("h")), 60)
@@ -110,8 +111,11 @@ def _best_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _brief_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """keyword and its best pages by shared words: top 8 by overlap, then page."""
     k = phrases.keywords(spark, sf_dir).select("keyword", F.explode(F.split("keyword", " ")).alias("w")).distinct()
-    p = table(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w")).distinct()
-    met = k.join(p, "w").groupBy("keyword", "p_partkey").agg(F.count("*").alias("shared")).where("shared >= 2")
+    # Of pages with the same text the first 8 are enough for any phrase's best 8, and one stands for all in the join.
+    text = F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))), " ")
+    ranked = table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy("p_partkey"))).where("k <= 8")
+    words = ranked.where("k = 1").select("text", F.explode(F.split("text", " ")).alias("w"))
+    met = k.join(words, "w").groupBy("keyword", "text").agg(F.count("*").alias("shared")).where("shared >= 2").join(ranked, "text")
     return met.withColumn("place", F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("shared"), "p_partkey"))).where("place <= 8").select("keyword", "p_partkey", "shared")
 
 
@@ -215,9 +219,9 @@ def register(add: Callable, given: Callable) -> None:
     add("JOIN20", over(_standings), f"""WITH {_CAPTURES}, s AS (SELECT keyword, min(CASE WHEN site = 0 THEN position END) AS o, min(CASE WHEN site <> 0 THEN position END) AS t FROM c GROUP BY 1)
         SELECT keyword, CASE WHEN o IS NULL AND t IS NULL THEN 'nobody ranks' WHEN o IS NULL THEN 'absent' WHEN t IS NULL OR o <= t THEN 'we lead' ELSE 'behind' END AS state FROM s""")
     add("JOIN21", _suggested, f"WITH {KEYWORDS} SELECT keyword, CASE WHEN page <= 20 THEN 'measured' WHEN page > 25 THEN 'suggested' ELSE 'both' END AS evidence, CASE WHEN page <= 25 THEN impressions END AS impressions FROM keywords")
-    add("JOIN24", _brief_pages, f"""WITH {KEYWORDS}, k AS (SELECT DISTINCT keyword, unnest(string_split(keyword, ' ')) AS w FROM keywords), p AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part WHERE p_partkey < 400)
+    add("JOIN24", _brief_pages, f"""WITH {KEYWORDS}, k AS (SELECT DISTINCT keyword, unnest(string_split(keyword, ' ')) AS w FROM keywords), p AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part)
         SELECT keyword, p_partkey, count(*) AS shared FROM k JOIN p USING (w) GROUP BY 1, 2 HAVING shared >= 2 QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY shared DESC, p_partkey) <= 8""")
-    add("JOIN25", _best_fuzzy, """WITH n AS (SELECT DISTINCT lower(p_name) AS h FROM part), h AS (SELECT h FROM n WHERE h LIKE '%e%' UNION ALL SELECT h || ' set' FROM n), m AS (SELECT p_partkey, h, CASE WHEN h = lower(p_name) THEN 100 WHEN contains(h, lower(p_name)) THEN 80 WHEN contains(lower(p_name), h) THEN 60 END AS score FROM part, h)
+    add("JOIN25", _best_fuzzy, """WITH n AS (SELECT DISTINCT lower(p_name) AS h FROM part), h AS (SELECT h FROM n UNION ALL SELECT h || ' set' FROM n), m AS (SELECT p_partkey, h, CASE WHEN h = lower(p_name) THEN 100 WHEN contains(h, lower(p_name)) THEN 80 WHEN contains(lower(p_name), h) THEN 60 END AS score FROM part, h)
         SELECT p_partkey, h AS head, score FROM m WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, h DESC) = 1""")
     add("WIN13", lambda s, d: tables.metric_daily(s, d).groupBy("entity", "date").agg(F.sum("clicks").alias("clicks")).withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy("date"))).withColumn("n", F.count("*").over(Window.partitionBy("entity"))).groupBy("entity").agg(F.sum(F.when(F.col("k") <= F.floor(F.col("n") / 2), F.col("clicks")).otherwise(0)).alias("early"), F.sum(F.when(F.col("k") > F.floor(F.col("n") / 2), F.col("clicks")).otherwise(0)).alias("late")),
         twin("""WITH d AS (SELECT entity, date, sum(clicks) AS c, row_number() OVER (PARTITION BY entity ORDER BY date) AS k, count(*) OVER (PARTITION BY entity) AS n FROM metric GROUP BY entity, date)
@@ -233,7 +237,7 @@ def register(add: Callable, given: Callable) -> None:
         "SELECT p_size, count(*) AS n, CAST(greatest(CASE WHEN count(*) >= 8 THEN 3 ELSE 2 END, least(ceil(round(count(*) * 0.07, 9)), count(*))) AS BIGINT) AS bound FROM part GROUP BY 1")
     add("GRF9", given("pages", _rivals_by_host), r"""WITH r AS (SELECT regexp_extract(url, '^[a-zA-Z]+://[^/]+/([a-z]{2})/', 1) AS site, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host FROM pages)
         SELECT site, host, count(*) AS n FROM r WHERE site <> '' AND NOT contains(host, site || '.example') GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, host) <= 8""")
-    add("SCR11", _link_relevance, f"""WITH {KEYWORDS}, {_TOKENS}, u AS (SELECT keyword, len(tokens) AS n, unnest(tokens) AS m FROM k WHERE page <= 10)
+    add("SCR11", _link_relevance, f"""WITH {KEYWORDS}, {_TOKENS}, u AS (SELECT keyword, len(tokens) AS n, unnest(tokens) AS m FROM k)
         SELECT x.keyword AS a, y.keyword AS b, round(0.65 * count(*)::DOUBLE / (x.n + y.n - count(*)) + 0.35 * count(*) / sqrt(x.n * y.n), 3) AS score FROM u x JOIN u y ON x.m = y.m AND x.keyword < y.keyword GROUP BY x.keyword, y.keyword, x.n, y.n HAVING score >= 0.6""")
     add("SCR4", _architecture, f"""WITH {site.FACTS}, i AS (SELECT DISTINCT q FROM (SELECT p, q FROM links UNION ALL SELECT p, 0 FROM ok) WHERE p <> q), a AS (SELECT count(*) AS pages, avg(CASE WHEN p IN (SELECT q FROM i) THEN 1 ELSE 0 END) AS a, avg(CASE WHEN p IN (SELECT p FROM links WHERE p <> q) OR p % 21 = 0 OR p % 14 = 0 THEN 1 ELSE 0 END) AS b, avg(CASE WHEN p % 6 = 3 THEN 1 ELSE 0 END) AS c FROM ok)
         SELECT pages, round(a, 6) AS linked, round(b, 6) AS spokes, round(c, 6) AS crumbs, CAST(round(40 * a + 35 * b + 25 * c) AS INTEGER) AS score FROM a""")
