@@ -1,7 +1,7 @@
 """Similarity join of texts on word shingles by signature trees.
 
 A document's set is its distinct word shingles; equal sets fall together first (a hash aggregation), so copies
-by the thousand are one set. Each set has a bitmap of at least eight times as many bits as it has shingles. Sets
+by the thousand are one set. Each set has a bitmap of at least sixteen times as many bits as it has shingles. Sets
 that may have a partner lie in a tree: leaves of similar sets (sorted by width of bitmap and two minima of
 hashes) and parents of consecutive leaves. A node holds the OR of its bitmaps, its range of sizes and its
 surplus: by how much a set's size exceeds its bits, at most. Two sets below two nodes share no more than the
@@ -47,8 +47,8 @@ LEAF = 32
 FAN = 32
 #: A leaf is closed once it holds so many shingles, or its bitmap so many times the bits of its largest set.
 LEAF_ITEMS = 1 << 18
-SPREAD = 2
-BITS_EACH = 8
+SPREAD = 3
+BITS_EACH = 16
 #: Sizes of a range differ by this factor at most.
 RANGE = 1.25
 _MINIMA = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
