@@ -97,3 +97,13 @@ def test_robots_charset_and_scripts():
 def test_hostile_sources_take_no_time():
     for source in ("<a " + "x" * 200_000, "<a " + "b=" * 100_000, "<" * 200_000, "<a b='" * 20_000, "<!--" * 50_000, "<p>" * 50_000 + "</p>" * 50_000):
         html.record(source, "https://a.example/")
+
+
+def test_titles_of_given_pages_are_as_their_sql_reads_them(spark):
+    """Only `&amp;` is resolved: a title that is cut within a reference, and references of other characters, stay."""
+    from rankweave.operators import content
+
+    titles = ["Cut &amp;&amp", "A &quot;b&quot; &amp; c &copy; d"]
+    pages = spark.createDataFrame([(i, "https://a.example/", f"<html><head><title>{titles[i // 2]}</title></head><body><h1>x</h1></body></html>") for i in range(4)], "page_id long, url string, html string")
+    got = {(r["page_id"], r["title"], r["pages"]) for r in content.duplicate_titles(content.page_record(pages)).collect()}
+    assert got == {(0, "Cut &&amp", 2), (1, "Cut &&amp", 2), (2, "A &quot;b&quot; & c &copy; d", 2), (3, "A &quot;b&quot; & c &copy; d", 2)}
