@@ -107,3 +107,18 @@ def test_titles_of_given_pages_are_as_their_sql_reads_them(spark):
     pages = spark.createDataFrame([(i, "https://a.example/", f"<html><head><title>{titles[i // 2]}</title></head><body><h1>x</h1></body></html>") for i in range(4)], "page_id long, url string, html string")
     got = {(r["page_id"], r["title"], r["pages"]) for r in content.duplicate_titles(content.page_record(pages)).collect()}
     assert got == {(0, "Cut &&amp", 2), (1, "Cut &&amp", 2), (2, "A &quot;b&quot; & c &copy; d", 2), (3, "A &quot;b&quot; & c &copy; d", 2)}
+
+
+def test_texts_of_given_records_are_as_their_sql_reads_them(spark, tmp_path):
+    """SRC26 of titles and headings with references, cut ones too, against its SQL."""
+    import duckdb
+
+    from rankweave.plans.registry import ORACLES, QUERIES
+
+    texts = ["Cut &amp;&amp", 'token = &quot;77&quot; &amp; x', "a&nbsp;b &copy; c"]
+    page = "<!DOCTYPE html><html><head><title>{0}</title></head><body><nav><a href=\"/x\">x</a></nav><article><h1>{0}</h1><p>{0}</p></article></body></html>"
+    spark.createDataFrame([(i, "https://a.example/", page.format(t)) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(ORACLES["SRC26"])
+    assert {tuple(r) for r in QUERIES["SRC26"](spark, str(tmp_path)).select(*want.columns).collect()} == set(want.fetchall())
