@@ -51,3 +51,18 @@ def test_odd_rows(spark):
     assert cosines.cosine_pairs(spark.createDataFrame([], "id long, term string, n long"), 0.5).collect() == []
     rows = [("a", "x", 1), (None, "x", 1), ("b", None, 1), ("b", "x", 3), ("c", "only", 5)]
     check(spark, rows, 0.5, 2)
+
+
+def test_nothing_is_shuffled_for_pairs_of_blocks(spark):
+    rows = [(f"d{i}", f"t{(i * k) % 17}", k) for i in range(50) for k in range(1, 6)]
+    plan = cosines.cosine_pairs(spark.createDataFrame(rows, "id string, term string, n long"), 0.9, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_texts_of_several_rows_and_fractions_as_counts(spark):
+    texts = [("a", ["x", "y", "x"]), ("b", ["x"]), ("b", ["y", "x"]), ("c", ["y", "z", "z"]), (None, ["x"]), ("d", None), ("e", ["x"])]
+    got = cosines.text_cosines(spark.createDataFrame(texts, "id string, tokens array<string>"), 0.9, 2).collect()
+    assert [tuple(r) for r in got] == [("a", "b", 1.0)]
+    rows = [("a", "x", 0.5), ("a", "y", 1.25), ("b", "x", 1.0), ("b", "y", 2.5), ("c", "y", 3.0)]
+    got = cosines.cosine_pairs(spark.createDataFrame(rows, "id string, term string, n double"), 0.9).collect()
+    assert {(r["a"], r["b"]): r["cosine"] for r in got} == {("a", "b"): 1.0, ("a", "c"): 0.928477, ("b", "c"): 0.928477}
