@@ -85,3 +85,23 @@ def test_pairs_of_sets_with_one_hot_member(spark):
         got = matching.shared_members(spark.createDataFrame([(e, m) for e, x in sets.items() for m in x], "e long, m long"), "e", "m", percent)
         shared = {(a, b): len((x & y) - {None}) for a, x in sets.items() for b, y in sets.items() if a < b}
         assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == {(a, b): n for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def test_pairs_of_sets_are_not_shuffled(spark):
+    """JOIN16: nothing is written for a pair of sets; members that are texts, and sets of many blocks."""
+    from rankweave.operators import matching
+
+    sets = {e: {f"m{(e * 31 + k * k * (e % 7 + 1)) % 400}" for k in range(40 + e % 30)} for e in range(1300)}
+    members = spark.createDataFrame([(e, m) for e, x in sets.items() for m in x], "e long, m string")
+    found = matching.shared_members(members, "e", "m", 40)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    held: dict = {}
+    for e, x in sets.items():
+        for m in x:
+            held.setdefault(m, []).append(e)
+    from collections import Counter
+
+    shared = Counter((a, b) for x in held.values() for i, a in enumerate(sorted(x)) for b in sorted(x)[i + 1 :])
+    want = {p: n for p, n in shared.items() if 100 * n >= 40 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    assert want and {(r["a"], r["b"]): r["shared"] for r in found.collect()} == want
